@@ -197,8 +197,7 @@ def variant_effects(scores: DataFrame, reference: str = "reference",
                     threshold: float = 0.10) -> DataFrame:
     """Per cleaning variant: change of the total, customers moved by more than the threshold.
 
-    ``scores`` is long: variant, customer_id, score. Customers scored twice by a variant must not
-    occur. The reference score rides along on the customer's group, so no join is needed.
+    ``scores`` is long: variant, customer_id, score, one row per variant and customer.
     """
     both = _with_reference(scores, reference)
     ratio = F.try_divide("score", "ref")
