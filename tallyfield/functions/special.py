@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 SHIFT = 8
 
@@ -68,7 +69,7 @@ def normal_two_sided(z: Column) -> Column:
     return erfc(F.abs(z) / math.sqrt(2.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def hyp2f1(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]
            ) -> Iterator[pd.Series]:
     """Gauss hypergeometric series for 0 <= z < 1, summed until no row changes.

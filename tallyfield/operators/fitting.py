@@ -22,9 +22,10 @@ def maximize(data: DataFrame, weight: str, names: Sequence[str], start: Sequence
              ) -> dict[str, float]:
     """Maximize the weighted mean log-likelihood over log parameters.
 
-    ``data`` holds distinct cases with their count in ``weight``. One job evaluates the centre and
-    the shifted points of a central-difference Hessian; another tries several step lengths at once.
-    The points travel as a literal array, so Spark compiles the expression only once.
+    ``data`` holds distinct cases with their count in ``weight``. One job per Newton step evaluates
+    the new point and the shifted points of a central-difference Hessian; only a step that lowers the
+    likelihood costs another job, which tries several lengths at once. The points travel as a literal
+    array, so Spark compiles the expression only once.
     """
     names = list(names)
     k = len(names)
@@ -48,34 +49,36 @@ def maximize(data: DataFrame, weight: str, names: Sequence[str], start: Sequence
             grad[i] = [row[f"g{j}"] / total for j in range(k)] * np.exp(points[i])
         return value, grad
 
-    theta = np.log(np.asarray(start, dtype=float))
     h = 1e-5
-    hess = np.full((k, k), np.nan)
-    g = np.full(k, np.nan)
+    around = [np.zeros(k)] + [s * h * np.eye(k)[j] for j in range(k) for s in (1, -1)]
+
+    def derivatives(at: np.ndarray):
+        value, grad = evaluate([at + d for d in around])
+        hess = np.array([(grad[1 + 2 * j] - grad[2 + 2 * j]) / (2 * h) for j in range(k)])
+        return value[0], grad[0], 0.5 * (hess + hess.T)
+
+    theta = np.log(np.asarray(start, dtype=float))
+    base, g, hess = derivatives(theta)
     for _ in range(steps):
-        shifted = [theta] + [theta + s * h * np.eye(k)[j] for j in range(k) for s in (1, -1)]
-        value, grad = evaluate(shifted)
-        base, g = value[0], grad[0]
         if not np.isfinite(base) or np.max(np.abs(theta)) > LOG_BOUND:
             raise FitError(f"no maximum at finite parameters: {_named(names, theta)}")
-        hess = np.array([(grad[1 + 2 * j] - grad[2 + 2 * j]) / (2 * h) for j in range(k)])
-        hess = 0.5 * (hess + hess.T)
         curve, axes = np.linalg.eigh(hess)
-        downhill = -np.maximum(np.abs(curve), 1e-9)
-        step = -axes @ ((axes.T @ g) / downhill)
+        step = axes @ ((axes.T @ g) / np.maximum(np.abs(curve), 1e-9))
         if np.max(np.abs(step)) < 1e-9 or np.max(np.abs(g)) < 1e-12:
             break
-        longest = np.max(np.abs(step))
-        if longest > 2.0:
-            step *= 2.0 / longest
-        lengths = [1.0, 0.5, 0.25, 0.0625, 0.015625]
-        tried, _g = evaluate([theta + s * step for s in lengths])
-        best = int(np.nanargmax(np.where(np.isfinite(tried), tried, -np.inf)))
-        if not tried[best] >= base - 1e-12 * max(1.0, abs(base)):
-            break
-        if tried[0] >= base - 1e-12 * max(1.0, abs(base)) and np.max(np.abs(step)) < 1e-3:
-            best = 0
-        theta = theta + lengths[best] * step
+        step *= min(1.0, 2.0 / np.max(np.abs(step)))
+        noise = 1e-12 * max(1.0, abs(base))
+        ahead = derivatives(theta + step)
+        if not ahead[0] >= base - noise:
+            lengths = [0.5, 0.25, 0.0625, 0.015625]
+            tried, _unused = evaluate([theta + s * step for s in lengths])
+            best = int(np.argmax(np.where(np.isfinite(tried), tried, -np.inf)))
+            if not tried[best] >= base - noise:
+                break
+            step = lengths[best] * step
+            ahead = derivatives(theta + step)
+        theta = theta + step
+        base, g, hess = ahead
     if np.max(np.abs(theta)) > LOG_BOUND:
         raise FitError(f"no maximum at finite parameters: {_named(names, theta)}")
     if not np.max(np.abs(g)) < GRADIENT_TOLERANCE or not np.all(np.linalg.eigvalsh(hess) < 0):

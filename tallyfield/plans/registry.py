@@ -22,6 +22,7 @@ class Query:
     name: str
     run: Callable[[SparkSession, str], DataFrame]
     sql: str | None
+    area: str
 
 
 REGISTRY: dict[str, Query] = {}
@@ -39,7 +40,8 @@ def query(survey_id: str, name: str, spec: str, roles: str = "", sql: str | None
             return shaped(fn(spark, sf_dir), columns)
 
         text = None if sql is None else sql_with(roles.split(), sql_shape(sql, columns))
-        REGISTRY[name] = Query(survey_id, name, run, text)
+        area = fn.__module__.rsplit(".", 1)[-1]
+        REGISTRY[name] = Query(survey_id, name, run, text, area)
         return fn
 
     return wrap

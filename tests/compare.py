@@ -67,7 +67,7 @@ def main() -> None:
             importlib.import_module(f"tallyfield.plans.{area}")
     from tallyfield.plans.registry import REGISTRY
 
-    names = [w for w in wanted if w in REGISTRY] or list(REGISTRY)
+    names = [n for n, q in REGISTRY.items() if not wanted or n in wanted or q.area in wanted]
     spark = local_session()
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
