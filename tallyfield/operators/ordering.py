@@ -107,9 +107,10 @@ def with_ntile(df: DataFrame, n: int, order: Sequence[str], name: str) -> DataFr
     return rows.withColumn(name, tile.cast("int")).drop("_rn", "_size")
 
 
-def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
+def average_rank(df: DataFrame, value: str, name: str, by: Sequence[str] = ()) -> DataFrame:
     """Rank with ties at their mean, as Spearman's correlation uses."""
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_ties"))
-    running = cumulate(counts, [value], {"_cum": "_ties"})
-    table = running.select(value, (F.col("_cum") - (F.col("_ties") - 1) / 2.0).alias(name))
-    return df.join(table, value)
+    by = list(by)
+    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_ties"))
+    running = cumulate(counts, [value], {"_cum": "_ties"}, by)
+    table = running.select(*by, value, (F.col("_cum") - (F.col("_ties") - 1) / 2.0).alias(name))
+    return df.join(table, [*by, value])
