@@ -1,12 +1,27 @@
-"""Multi-touch attribution."""
+"""Multi-touch attribution.
+
+A journey is a row with ``path`` (array of channels in time order) and ``converted``. Most operators
+start from distinct (path, converted) rows with their count, as no credit rule can tell equal journeys
+apart. Every operator takes ``by`` columns, so bootstrap resamples run side by side.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from statistics import NormalDist
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyfield.functions.uniform import standard_normal, uniform
+from tallyfield.operators.ordering import exact_quantiles
+
+START, CONV, NULL = "start", "conv", "null"
+RULES = ("last", "first", "linear")
+
 
 def journeys(touches: DataFrame, conversions: DataFrame, keys: Sequence[str],
              channel: str = "channel", ts: str = "ts", touch_id: str = "event_id") -> DataFrame:
@@ -21,3 +36,296 @@ def journeys(touches: DataFrame, conversions: DataFrame, keys: Sequence[str],
     bought = conversions.select(*keys).distinct().withColumn("_c", F.lit(1))
     return paths.join(bought, list(keys), "left").select(
         *keys, "path", F.coalesce("_c", F.lit(0)).alias("converted"))
+
+
+def path_counts(made: DataFrame) -> DataFrame:
+    """Distinct (path, converted) with the number of journeys ``n``."""
+    return made.groupBy("path", "converted").agg(F.count(F.lit(1)).alias("n"))
+
+
+def position_table(made: DataFrame, channels: Sequence[str]) -> DataFrame:
+    """Per channel: share of journeys it is in; among its journeys with two or more channels, how
+    often it opens and closes. One pass."""
+    multi = F.size(F.array_distinct("path")) >= 2
+    cells = []
+    for c in channels:
+        has = F.array_contains("path", c)
+        both = has & multi
+        cells.append(F.struct(
+            F.lit(c).alias("channel"), F.avg(has.cast("double")).alias("share"),
+            F.avg(F.when(both, (F.element_at("path", 1) == c).cast("double"))).alias("opens"),
+            F.avg(F.when(both, (F.element_at("path", -1) == c).cast("double"))).alias("closes")))
+    return made.agg(F.array(*cells).alias("c")).select(F.inline("c"))
+
+
+def _zero_filled(credit: DataFrame, channels: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """One row per channel (and ``by``), absent ones with credit 0."""
+    sums = {c: F.coalesce(F.sum(F.when(F.col("channel") == c, F.col("credit"))), F.lit(0.0))
+            for c in channels}
+    cells = [F.struct(F.lit(c).alias("channel"), v.alias("credit")) for c, v in sums.items()]
+    return credit.groupBy(*by).agg(F.array(*cells).alias("c")).select(*by, F.inline("c"))
+
+
+def heuristic_credit(counts: DataFrame, channels: Sequence[str], rule: str,
+                     by: Sequence[str] = (), n: str = "n") -> DataFrame:
+    """Conversions credited to each channel by the last, first or linear rule."""
+    if rule not in RULES:
+        raise ValueError(f"rule must be one of {RULES}, not {rule!r}")
+    won = counts.filter(F.col("converted") == 1)
+    if rule == "linear":
+        rows = won.select(*by, F.explode("path").alias("channel"),
+                          (F.col(n) / F.size("path")).alias("credit"))
+    else:
+        at = F.element_at("path", -1 if rule == "last" else 1)
+        rows = won.select(*by, at.alias("channel"), F.col(n).cast("double").alias("credit"))
+    return _zero_filled(rows, channels, by)
+
+
+def all_heuristics(counts: DataFrame, channels: Sequence[str], by: Sequence[str] = (),
+                   n: str = "n") -> DataFrame:
+    """The three rules as long rows (method, channel, credit), counted in one pass."""
+    won = counts.filter(F.col("converted") == 1)
+    w = F.col(n).cast("double")
+    linear = F.transform("path", lambda c: F.struct(
+        F.lit("linear").alias("method"), c.alias("channel"), (w / F.size("path")).alias("credit")))
+    ends = F.array(*[F.struct(F.lit(m).alias("method"), F.element_at("path", i).alias("channel"),
+                              w.alias("credit")) for m, i in (("last", -1), ("first", 1))])
+    rows = won.select(*by, F.inline(F.concat(linear, ends)))
+    return _zero_filled(rows, channels, [*by, "method"])
+
+
+# ---- Markov chain -----------------------------------------------------------------------------------
+def transition_matrix(counts: DataFrame, by: Sequence[str] = (), n: str = "n") -> DataFrame:
+    """First-order transitions (s, s2, n, p) from start through the touches to conv or null.
+
+    The two absorbing states keep themselves with probability 1.
+    """
+    by = list(by)
+    end = F.when(F.col("converted") == 1, CONV).otherwise(NULL)
+    states = F.concat(F.array(F.lit(START)), F.col("path"), F.array(end))
+    pairs = F.zip_with(F.slice(states, F.lit(1), F.size(states) - 1),
+                       F.slice(states, F.lit(2), F.size(states) - 1),
+                       lambda a, b: F.struct(a.alias("s"), b.alias("s2")))
+    moves = counts.select(*by, F.col(n).alias("_n"), F.inline(pairs)).groupBy(*by, "s", "s2").agg(
+        F.sum("_n").cast("double").alias("n"))
+    absorbing = F.array(*[F.struct(F.lit(a).alias("s"), F.lit(a).alias("s2"), F.lit(1.0).alias("n"))
+                          for a in (CONV, NULL)])
+    head = (counts.select(*by).distinct() if by else counts.sparkSession.range(1).select())
+    rows = moves.unionByName(head.select(*by, F.inline(absorbing)))
+    out = F.sum("n").over(W.partitionBy(*by, "s"))
+    return rows.withColumn("p", F.col("n") / out)
+
+
+def _absorb(p: np.ndarray, conv: np.ndarray, start: int) -> float:
+    return float(np.linalg.solve(np.eye(len(p)) - p, conv)[start])
+
+
+def markov(transitions: DataFrame, channels: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Conversion probability and every channel's removal effect, per ``by`` group.
+
+    Removing a channel sends its journeys to null. A group is one transition matrix: (channels + 3)
+    states squared at most, whatever the number of journeys.
+    """
+    by = list(by)
+    states = [START, *channels]
+    index = {s: i for i, s in enumerate(states)}
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        q = np.zeros((len(states), len(states)))
+        conv = np.zeros(len(states))
+        for s, s2, p in zip(pdf["s"], pdf["s2"], pdf["p"], strict=True):
+            if s in index and s2 in index:
+                q[index[s], index[s2]] = p
+            elif s in index and s2 == CONV:
+                conv[index[s]] = p
+        whole = _absorb(q, conv, 0)
+        rows = []
+        for c in channels:
+            q2, conv2 = q.copy(), conv.copy()
+            q2[index[c], :], conv2[index[c]] = 0.0, 0.0
+            rows.append((c, whole, 1 - _absorb(q2, conv2, 0) / whole if whole else np.nan))
+        out = pd.DataFrame(rows, columns=["channel", "conversion_probability", "removal_effect"])
+        for b in by:
+            out.insert(0, b, pdf[b].iloc[0])
+        return out
+
+    types = dict(transitions.dtypes)
+    keyed = transitions if by else transitions.withColumn("_one", F.lit(1))
+    schema = ", ".join([f"{b} {types[b]}" for b in reversed(by)] + [
+        "channel string", "conversion_probability double", "removal_effect double"])
+    return keyed.groupBy(*(by or ["_one"])).applyInPandas(solve, schema)
+
+
+def markov_credit(effects: DataFrame, conversions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Conversions shared out in proportion to removal effects (``conversions``: by, conversions)."""
+    by = list(by)
+    share = F.col("removal_effect") / F.sum("removal_effect").over(W.partitionBy(*by))
+    rows = effects.withColumn("_share", share)
+    if by:
+        rows = rows.join(conversions, by)
+    else:
+        rows = rows.withColumn("conversions", conversions.select("conversions").scalar())
+    return rows.select(*by, "channel", (F.col("conversions") * F.col("_share")).alias("credit"))
+
+
+def converted_total(counts: DataFrame, by: Sequence[str] = (), n: str = "n") -> DataFrame:
+    return counts.groupBy(*by).agg(
+        F.sum(F.when(F.col("converted") == 1, F.col(n)).otherwise(0)).alias("conversions"))
+
+
+# ---- Shapley values ----------------------------------------------------------------------------------
+def coalition_table(counts: DataFrame, by: Sequence[str] = (), n: str = "n") -> DataFrame:
+    """Per exact set of channels: its size, journeys, conversions and conversion rate."""
+    sets = counts.withColumn("channels", F.array_sort(F.array_distinct("path")))
+    return sets.groupBy(*by, "channels").agg(
+        F.sum(n).alias("journeys"),
+        F.sum(F.when(F.col("converted") == 1, F.col(n)).otherwise(0)).alias("conversions")).select(
+        *by, F.array_join("channels", " + ").alias("set"), "channels",
+        F.size("channels").alias("size"), "journeys", "conversions",
+        (F.col("conversions") / F.col("journeys")).alias("rate"))
+
+
+def shapley_credit(coalitions: DataFrame, channels: Sequence[str], by: Sequence[str] = (),
+                   absent: float | None = None) -> DataFrame:
+    """Credit by Shapley shares of v(T) = rate of exactly T, within each converting set.
+
+    A subset U of a set S adds v(U) to its members and takes it from the others of S, with the usual
+    weights; so each set is unfolded to its subsets once and joined to the table by key. A subset
+    nobody has is an error, unless ``absent`` gives its value.
+    """
+    by = list(by)
+    value = coalitions.select(*by, F.col("set").alias("_u"), F.col("rate").alias("_v"))
+    won = coalitions.filter("conversions > 0")
+    mask = F.explode(F.sequence(F.lit(1), (F.pow(F.lit(2), F.col("size")) - 1).cast("int")))
+    subsets = won.select(*by, "channels", "size", "conversions", "rate", mask.alias("_m"))
+    member = F.expr("filter(channels, (c, i) -> (shiftright(_m, i) & 1) = 1)")
+    keyed = subsets.withColumn("_in", member).withColumn("_u", F.array_join("_in", " + "))
+    joined = keyed.join(value, [*by, "_u"], "left")
+    fallback = F.lit(float(absent)) if absent is not None else F.raise_error(F.concat(
+        F.lit("no journey has exactly the channels "), F.col("_u")))
+    k, n = F.size("_in"), F.col("size")
+    rest = F.greatest(n - k - 1, F.lit(0))
+    gives = F.factorial(k - 1) * F.factorial(n - k) / F.factorial(n)
+    takes = -(F.factorial(k) * F.factorial(rest) / F.factorial(n))
+    rows = joined.withColumn("_v", F.when(F.col("_v").isNull(), fallback).otherwise(F.col("_v")))
+    rows = rows.withColumn("channel", F.explode("channels"))
+    part = F.when(F.array_contains("_in", F.col("channel")), gives).otherwise(takes)
+    credit = F.col("conversions") * part * F.col("_v") / F.col("rate")
+    return _zero_filled(rows.select(*by, "channel", credit.alias("credit")), channels, by)
+
+
+def shapley_count_based(coalitions: DataFrame, channels: Sequence[str],
+                        by: Sequence[str] = ()) -> DataFrame:
+    """Shapley values when v(S) counts the conversions inside S: an equal split per set."""
+    rows = coalitions.select(*by, F.explode("channels").alias("channel"),
+                             (F.col("conversions") / F.col("size")).alias("credit"))
+    return _zero_filled(rows, channels, by)
+
+
+# ---- all methods, comparison, bootstrap ----------------------------------------------------------------
+def all_methods(counts: DataFrame, channels: Sequence[str], by: Sequence[str] = (), n: str = "n",
+                absent: float | None = None) -> DataFrame:
+    """Long credit (by, method, channel, credit) of the five methods."""
+    by = list(by)
+    chain = markov(transition_matrix(counts, by, n), channels, by)
+    removal = markov_credit(chain, converted_total(counts, by, n), by)
+    shapley = shapley_credit(coalition_table(counts, by, n), channels, by, absent)
+    return (all_heuristics(counts, channels, by, n)
+            .unionByName(removal.withColumn("method", F.lit("markov")))
+            .unionByName(shapley.withColumn("method", F.lit("shapley"))))
+
+
+def credit_vs_truth(credit: DataFrame, truth: DataFrame) -> DataFrame:
+    """Per method: total variation distance of the shares and the channel with the largest gap.
+
+    ``truth``: channel, incremental. The first channel by name wins a tie.
+    """
+    everyone = W.partitionBy()
+    true_share = truth.select("channel", (F.col("incremental") / F.sum("incremental").over(everyone))
+                              .alias("_true"))
+    share = F.col("credit") / F.sum("credit").over(W.partitionBy("method"))
+    gaps = credit.withColumn("_share", share).join(true_share, "channel").withColumn(
+        "gap", F.col("_share") - F.col("_true"))
+    size = F.round(F.abs("gap"), 12)
+    worst = F.min(F.struct((-size).alias("s"), F.col("channel").alias("c"), F.col("gap").alias("g")))
+    return gaps.groupBy("method").agg((0.5 * F.sum(F.abs("gap"))).alias("tvd"),
+                                      worst.alias("_w")).select(
+        "method", "tvd", F.col("_w.c").alias("largest_gap_channel"),
+        F.col("_w.g").alias("largest_gap"))
+
+
+POISSON_EXACT = 500
+
+
+def poisson_weight(n: Column, salt: str, *keys: Column | str) -> Column:
+    """Poisson(n) by inverting the CDF at a hash uniform; a rounded normal draw above 500.
+
+    That is the total weight of n equal journeys, each drawn Poisson(1) times.
+    """
+    u = uniform(salt, *keys)
+    start = F.struct(F.exp(-n.cast("double")).alias("pmf"), F.exp(-n.cast("double")).alias("cdf"),
+                     F.when(u >= F.exp(-n.cast("double")), 1).otherwise(0).alias("k"))
+
+    def step(acc: Column, i: Column) -> Column:
+        pmf = acc["pmf"] * n / i
+        cdf = acc["cdf"] + pmf
+        return F.struct(pmf.alias("pmf"), cdf.alias("cdf"),
+                        (acc["k"] + F.when(u >= cdf, 1).otherwise(0)).alias("k"))
+
+    last = (n + 12 * F.sqrt(n.cast("double")) + 20).cast("int")
+    small = F.aggregate(F.sequence(F.lit(1), F.least(last, F.lit(2 * POISSON_EXACT))), start, step,
+                        lambda acc: acc["k"].cast("bigint"))
+    z = standard_normal(salt, *keys)
+    large = F.greatest(F.lit(0.0), F.round(n + F.sqrt(n.cast("double")) * z)).cast("bigint")
+    return F.when(n <= POISSON_EXACT, small).otherwise(large)
+
+
+def resampled_counts(counts: DataFrame, resamples: int, salt: str = "journeys") -> DataFrame:
+    """Path counts of every resample b: distinct paths times resamples, not journeys."""
+    rows = counts.select("*", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"))
+    key = F.array_join("path", ">")
+    return rows.withColumn("w", poisson_weight(F.col("n"), salt, key, "converted", "b")).filter(
+        "w > 0")
+
+
+def bootstrap_credit(counts: DataFrame, channels: Sequence[str], resamples: int = 200,
+                     salt: str = "journeys", absent: float | None = None) -> DataFrame:
+    """Credit of all five methods on every resample (b, method, channel, credit)."""
+    return all_methods(resampled_counts(counts, resamples, salt), channels, ["b"], "w", absent)
+
+
+# ---- decisions -------------------------------------------------------------------------------------------
+def cost_per_credit(boot: DataFrame, credit: DataFrame, spend: Mapping[str, float],
+                    scalable: Sequence[str]) -> DataFrame:
+    """Spend per credited conversion with a 95% percentile interval, and the cheapest scalable
+    channel of each method."""
+    table = F.create_map(*[F.lit(x) for c, s in spend.items() for x in (c, float(s))])
+    cost = F.try_divide(table[F.col("channel")], "credit")
+    ends = exact_quantiles(boot.withColumn("_cost", cost), "_cost", {"lo": 0.025, "hi": 0.975},
+                           ["method", "channel"])
+    rows = credit.withColumn("cost", cost).join(ends, ["method", "channel"], "left")
+    best = F.min(F.when(F.col("channel").isin(*scalable), F.struct("cost", "channel"))).over(
+        W.partitionBy("method"))
+    return rows.withColumn("cheapest", F.coalesce(best["channel"] == F.col("channel"), F.lit(False)))
+
+
+def holdout_mde(made: DataFrame, credit: DataFrame, channel: str, spend: float, share: float,
+                margin: float, alpha: float = 0.05, power: float = 0.8) -> DataFrame:
+    """What a holdout of the channel could detect, against what would make its spend pay.
+
+    ``credit``: channel, credit of the method the decision rests on.
+    """
+    z = NormalDist().inv_cdf(1 - alpha / 2) + NormalDist().inv_cdf(power)
+    reached = made.filter(F.array_contains("path", channel)).agg(
+        F.count(F.lit(1)).alias("reached"), F.avg(F.col("converted").cast("double")).alias("rate"))
+    n0 = F.bround(F.lit(share) * F.col("reached"))
+    n1 = F.col("reached") - n0
+    mde = z * F.sqrt(F.col("rate") * (1 - F.col("rate")) * (1 / n1 + 1 / n0))
+    mine = credit.filter(F.col("channel") == channel).agg(F.max("credit").alias("c")).scalar()
+    rows = reached.withColumn("_credit", mine).withColumn("mde", mde)
+    return rows.select(
+        F.lit(channel).alias("channel"), "reached", "rate", "mde",
+        (F.col("mde") * F.col("reached")).alias("detectable_conversions"),
+        F.lit(spend / margin).alias("break_even"),
+        (F.lit(share * margin) * F.col("_credit")).alias("margin_at_risk"),
+        (F.col("mde") * F.col("reached") < spend / margin).alias("test_first"))
