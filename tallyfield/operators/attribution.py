@@ -1,8 +1,11 @@
 """Multi-touch attribution.
 
-A journey is a row with ``path`` (array of channels in time order) and ``converted``. Most operators
-start from distinct (path, converted) rows with their count, as no credit rule can tell equal journeys
-apart. Every operator takes ``by`` columns, so bootstrap resamples run side by side.
+Two inputs are possible. *Touches* are long rows (journey keys, time, channel): first and last touch,
+channel sets, counts and transitions come from them by partial aggregates and bounded windows, so a
+journey may be of any length. *Paths* are rows with ``path`` (array of channels in time order) and
+``converted``, as stored journeys are; they are collapsed to distinct (path, converted) with a count,
+as no credit rule can tell equal journeys apart. Operators take ``by`` columns, so bootstrap resamples
+run side by side.
 """
 
 from __future__ import annotations
@@ -17,7 +20,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyfield.functions.uniform import standard_normal, uniform
-from tallyfield.operators.ordering import exact_quantiles
+from tallyfield.operators.ordering import exact_quantiles, ranked
+from tallyfield.session import cut_lineage
 
 START, CONV, NULL = "start", "conv", "null"
 RULES = ("last", "first", "linear")
@@ -27,8 +31,8 @@ def journeys(touches: DataFrame, conversions: DataFrame, keys: Sequence[str],
              channel: str = "channel", ts: str = "ts", touch_id: str = "event_id") -> DataFrame:
     """Touches in time order as a path per journey, and whether the journey converted.
 
-    ``keys`` name a journey, e.g. user and day: cut long histories by session or day before calling,
-    as a path is one row.
+    ``keys`` name a journey, e.g. user and day. A path is one row, so this is for journeys that fit
+    one; :func:`journey_facts` and :func:`touch_transitions` do without paths.
     """
     touch = F.struct(F.col(ts).alias("t"), F.col(touch_id).alias("i"), F.col(channel).alias("c"))
     paths = touches.groupBy(*keys).agg(F.array_sort(F.collect_list(touch)).alias("_p")).select(
@@ -43,19 +47,86 @@ def path_counts(made: DataFrame) -> DataFrame:
     return made.groupBy("path", "converted").agg(F.count(F.lit(1)).alias("n"))
 
 
-def position_table(made: DataFrame, channels: Sequence[str]) -> DataFrame:
+def journey_facts(touches: DataFrame, conversions: DataFrame, keys: Sequence[str],
+                  channels: Sequence[str], channel: str = "channel", ts: str = "ts",
+                  touch_id: str = "event_id") -> DataFrame:
+    """Per journey: first and last channel, touches, distinct channels, touches per channel, converted.
+
+    Everything is a partial aggregate; the set holds at most the listed channels.
+    """
+    at = F.struct(ts, touch_id)
+    per = F.array(*[F.struct(F.lit(c).alias("channel"), F.count_if(F.col(channel) == c).alias("k"))
+                    for c in channels])
+    facts = touches.groupBy(*keys).agg(
+        F.min_by(channel, at).alias("first"), F.max_by(channel, at).alias("last"),
+        F.count(F.lit(1)).alias("touches"),
+        F.array_sort(F.collect_set(channel)).alias("channels"), per.alias("per_channel"))
+    bought = conversions.select(*keys).distinct().withColumn("_c", F.lit(1))
+    return facts.join(bought, list(keys), "left").withColumn(
+        "converted", F.coalesce("_c", F.lit(0))).drop("_c")
+
+
+def path_facts(counts: DataFrame, channels: Sequence[str]) -> DataFrame:
+    """The same facts from paths, with the count ``n`` of equal journeys."""
+    def touches_of(c: str) -> Column:
+        return F.size(F.filter("path", lambda x: x == c)).cast("bigint")
+
+    per = F.array(*[F.struct(F.lit(c).alias("channel"), touches_of(c).alias("k"))
+                    for c in channels])
+    return counts.withColumns({
+        "first": F.element_at("path", 1), "last": F.element_at("path", -1),
+        "touches": F.size("path").cast("bigint"),
+        "channels": F.array_sort(F.array_distinct("path")), "per_channel": per})
+
+
+def touch_positions(touches: DataFrame, keys: Sequence[str], channel: str = "channel",
+                    ts: str = "ts", touch_id: str = "event_id") -> DataFrame:
+    """Journeys as long rows: the position of each touch, from 1, for journeys of any length."""
+    return ranked(touches.select(*keys, ts, touch_id, channel), [ts, touch_id], keys, "position")
+
+
+def touch_transitions(touches: DataFrame, facts: DataFrame, keys: Sequence[str],
+                      channel: str = "channel", ts: str = "ts", touch_id: str = "event_id",
+                      bucket_seconds: int = 3600) -> DataFrame:
+    """First-order transitions (s, s2, n, p) counted from touches.
+
+    The touch before is found inside a time bucket of the journey; the first touch of a bucket takes
+    the last touch of the journey's bucket before (one row per journey and bucket).
+    """
+    keys = list(keys)
+    rows = touches.select(*keys, F.col(channel).alias("s2"), F.struct(ts, touch_id).alias("_at"),
+                          F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / bucket_seconds)
+                          .alias("_b"))
+    inside = W.partitionBy(*keys, "_b").orderBy("_at")
+    seen = rows.withColumn("_prev", F.lag("s2").over(inside))
+    ends = rows.groupBy(*keys, "_b").agg(F.max_by("s2", "_at").alias("_end"))
+    earlier = ends.withColumn("_carry", F.lag("_end").over(W.partitionBy(*keys).orderBy("_b"))).drop(
+        "_end")
+    moves = seen.join(earlier, [*keys, "_b"]).select(
+        F.coalesce("_prev", "_carry", F.lit(START)).alias("s"), "s2").groupBy("s", "s2").agg(
+        F.count(F.lit(1)).cast("double").alias("n"))
+    closing = facts.groupBy(F.col("last").alias("s"), F.when(F.col("converted") == 1, CONV).otherwise(
+        NULL).alias("s2")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    return _with_absorbing(moves.unionByName(closing), ())
+
+
+def position_table(facts: DataFrame, channels: Sequence[str], n: str | None = None) -> DataFrame:
     """Per channel: share of journeys it is in; among its journeys with two or more channels, how
-    often it opens and closes. One pass."""
-    multi = F.size(F.array_distinct("path")) >= 2
+    often it opens and closes. One pass over journey facts (``n`` counts equal journeys)."""
+    w = F.col(n) if n else F.lit(1)
+    multi = F.size("channels") >= 2
+
+    def share(hit: Column, among: Column) -> Column:
+        return F.try_divide(F.sum(F.when(hit & among, w).otherwise(0)),
+                            F.sum(F.when(among, w).otherwise(0)))
+
     cells = []
     for c in channels:
-        has = F.array_contains("path", c)
-        both = has & multi
-        cells.append(F.struct(
-            F.lit(c).alias("channel"), F.avg(has.cast("double")).alias("share"),
-            F.avg(F.when(both, (F.element_at("path", 1) == c).cast("double"))).alias("opens"),
-            F.avg(F.when(both, (F.element_at("path", -1) == c).cast("double"))).alias("closes")))
-    return made.agg(F.array(*cells).alias("c")).select(F.inline("c"))
+        has = F.array_contains("channels", c)
+        cells.append(F.struct(F.lit(c).alias("channel"), share(has, F.lit(True)).alias("share"),
+                              share(F.col("first") == c, has & multi).alias("opens"),
+                              share(F.col("last") == c, has & multi).alias("closes")))
+    return facts.agg(F.array(*cells).alias("c")).select(F.inline("c"))
 
 
 def _zero_filled(credit: DataFrame, channels: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -66,32 +137,29 @@ def _zero_filled(credit: DataFrame, channels: Sequence[str], by: Sequence[str])
     return credit.groupBy(*by).agg(F.array(*cells).alias("c")).select(*by, F.inline("c"))
 
 
-def heuristic_credit(counts: DataFrame, channels: Sequence[str], rule: str,
-                     by: Sequence[str] = (), n: str = "n") -> DataFrame:
+def heuristic_credit(facts: DataFrame, channels: Sequence[str], rule: str,
+                     by: Sequence[str] = (), n: str | None = None) -> DataFrame:
     """Conversions credited to each channel by the last, first or linear rule."""
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}, not {rule!r}")
-    won = counts.filter(F.col("converted") == 1)
-    if rule == "linear":
-        rows = won.select(*by, F.explode("path").alias("channel"),
-                          (F.col(n) / F.size("path")).alias("credit"))
-    else:
-        at = F.element_at("path", -1 if rule == "last" else 1)
-        rows = won.select(*by, at.alias("channel"), F.col(n).cast("double").alias("credit"))
-    return _zero_filled(rows, channels, by)
+    return all_heuristics(facts, channels, by, n, (rule,)).drop("method")
+
+
+def all_heuristics(facts: DataFrame, channels: Sequence[str], by: Sequence[str] = (),
+                   n: str | None = None, rules: Sequence[str] = RULES) -> DataFrame:
+    """The rules as long rows (method, channel, credit), all counted in one pass."""
+    w = (F.col(n) if n else F.lit(1)).cast("double")
 
+    def touches_of(c: str) -> Column:
+        return F.filter("per_channel", lambda x: x["channel"] == c)[0]["k"]
 
-def all_heuristics(counts: DataFrame, channels: Sequence[str], by: Sequence[str] = (),
-                   n: str = "n") -> DataFrame:
-    """The three rules as long rows (method, channel, credit), counted in one pass."""
-    won = counts.filter(F.col("converted") == 1)
-    w = F.col(n).cast("double")
-    linear = F.transform("path", lambda c: F.struct(
-        F.lit("linear").alias("method"), c.alias("channel"), (w / F.size("path")).alias("credit")))
-    ends = F.array(*[F.struct(F.lit(m).alias("method"), F.element_at("path", i).alias("channel"),
-                              w.alias("credit")) for m, i in (("last", -1), ("first", 1))])
-    rows = won.select(*by, F.inline(F.concat(linear, ends)))
-    return _zero_filled(rows, channels, [*by, "method"])
+    per = {"last": lambda c: F.when(F.col("last") == c, w).otherwise(0.0),
+           "first": lambda c: F.when(F.col("first") == c, w).otherwise(0.0),
+           "linear": lambda c: w * touches_of(c) / F.col("touches")}
+    cells = [F.struct(F.lit(r).alias("method"), F.lit(c).alias("channel"),
+                      F.coalesce(F.sum(F.when(F.col("converted") == 1, per[r](c))), F.lit(0.0))
+                      .alias("credit")) for r in rules for c in channels]
+    return facts.groupBy(*by).agg(F.array(*cells).alias("c")).select(*by, F.inline("c"))
 
 
 # ---- Markov chain -----------------------------------------------------------------------------------
@@ -108,9 +176,13 @@ def transition_matrix(counts: DataFrame, by: Sequence[str] = (), n: str = "n") -
                        lambda a, b: F.struct(a.alias("s"), b.alias("s2")))
     moves = counts.select(*by, F.col(n).alias("_n"), F.inline(pairs)).groupBy(*by, "s", "s2").agg(
         F.sum("_n").cast("double").alias("n"))
+    return _with_absorbing(moves, by)
+
+
+def _with_absorbing(moves: DataFrame, by: Sequence[str]) -> DataFrame:
     absorbing = F.array(*[F.struct(F.lit(a).alias("s"), F.lit(a).alias("s2"), F.lit(1.0).alias("n"))
                           for a in (CONV, NULL)])
-    head = (counts.select(*by).distinct() if by else counts.sparkSession.range(1).select())
+    head = moves.select(*by).distinct() if by else moves.sparkSession.range(1).select()
     rows = moves.unionByName(head.select(*by, F.inline(absorbing)))
     out = F.sum("n").over(W.partitionBy(*by, "s"))
     return rows.withColumn("p", F.col("n") / out)
@@ -168,18 +240,19 @@ def markov_credit(effects: DataFrame, conversions: DataFrame, by: Sequence[str]
     return rows.select(*by, "channel", (F.col("conversions") * F.col("_share")).alias("credit"))
 
 
-def converted_total(counts: DataFrame, by: Sequence[str] = (), n: str = "n") -> DataFrame:
-    return counts.groupBy(*by).agg(
-        F.sum(F.when(F.col("converted") == 1, F.col(n)).otherwise(0)).alias("conversions"))
+def converted_total(facts: DataFrame, by: Sequence[str] = (), n: str | None = None) -> DataFrame:
+    w = F.col(n) if n else F.lit(1)
+    return facts.groupBy(*by).agg(
+        F.sum(F.when(F.col("converted") == 1, w).otherwise(0)).alias("conversions"))
 
 
 # ---- Shapley values ----------------------------------------------------------------------------------
-def coalition_table(counts: DataFrame, by: Sequence[str] = (), n: str = "n") -> DataFrame:
+def coalition_table(facts: DataFrame, by: Sequence[str] = (), n: str | None = None) -> DataFrame:
     """Per exact set of channels: its size, journeys, conversions and conversion rate."""
-    sets = counts.withColumn("channels", F.array_sort(F.array_distinct("path")))
-    return sets.groupBy(*by, "channels").agg(
-        F.sum(n).alias("journeys"),
-        F.sum(F.when(F.col("converted") == 1, F.col(n)).otherwise(0)).alias("conversions")).select(
+    w = F.col(n) if n else F.lit(1)
+    return facts.groupBy(*by, "channels").agg(
+        F.sum(w).alias("journeys"),
+        F.sum(F.when(F.col("converted") == 1, w).otherwise(0)).alias("conversions")).select(
         *by, F.array_join("channels", " + ").alias("set"), "channels",
         F.size("channels").alias("size"), "journeys", "conversions",
         (F.col("conversions") / F.col("journeys")).alias("rate"))
@@ -225,12 +298,13 @@ def shapley_count_based(coalitions: DataFrame, channels: Sequence[str],
 # ---- all methods, comparison, bootstrap ----------------------------------------------------------------
 def all_methods(counts: DataFrame, channels: Sequence[str], by: Sequence[str] = (), n: str = "n",
                 absent: float | None = None) -> DataFrame:
-    """Long credit (by, method, channel, credit) of the five methods."""
+    """Long credit (by, method, channel, credit) of the five methods, from path counts."""
     by = list(by)
+    facts = path_facts(counts, channels)
     chain = markov(transition_matrix(counts, by, n), channels, by)
-    removal = markov_credit(chain, converted_total(counts, by, n), by)
-    shapley = shapley_credit(coalition_table(counts, by, n), channels, by, absent)
-    return (all_heuristics(counts, channels, by, n)
+    removal = markov_credit(chain, converted_total(facts, by, n), by)
+    shapley = shapley_credit(coalition_table(facts, by, n), channels, by, absent)
+    return (all_heuristics(facts, channels, by, n)
             .unionByName(removal.withColumn("method", F.lit("markov")))
             .unionByName(shapley.withColumn("method", F.lit("shapley"))))
 
@@ -254,35 +328,46 @@ def credit_vs_truth(credit: DataFrame, truth: DataFrame) -> DataFrame:
         F.col("_w.g").alias("largest_gap"))
 
 
-POISSON_EXACT = 500
+POISSON_BLOCK, POISSON_EXACT = 500, 50_000
 
 
 def poisson_weight(n: Column, salt: str, *keys: Column | str) -> Column:
-    """Poisson(n) by inverting the CDF at a hash uniform; a rounded normal draw above 500.
+    """Poisson(n): the total weight of n equal journeys, each drawn Poisson(1) times.
 
-    That is the total weight of n equal journeys, each drawn Poisson(1) times.
+    Blocks of 500 journeys are drawn exactly by inverting the CDF at a hash uniform and added up.
+    Above 50,000 equal journeys a rounded normal draw stands in for the sum.
     """
-    u = uniform(salt, *keys)
-    start = F.struct(F.exp(-n.cast("double")).alias("pmf"), F.exp(-n.cast("double")).alias("cdf"),
-                     F.when(u >= F.exp(-n.cast("double")), 1).otherwise(0).alias("k"))
-
-    def step(acc: Column, i: Column) -> Column:
-        pmf = acc["pmf"] * n / i
-        cdf = acc["cdf"] + pmf
-        return F.struct(pmf.alias("pmf"), cdf.alias("cdf"),
-                        (acc["k"] + F.when(u >= cdf, 1).otherwise(0)).alias("k"))
-
-    last = (n + 12 * F.sqrt(n.cast("double")) + 20).cast("int")
-    small = F.aggregate(F.sequence(F.lit(1), F.least(last, F.lit(2 * POISSON_EXACT))), start, step,
-                        lambda acc: acc["k"].cast("bigint"))
+    def block(i: Column) -> Column:
+        m = F.least(F.lit(POISSON_BLOCK), n - i * POISSON_BLOCK).cast("double")
+        u = uniform(salt, *keys, i)
+        none = F.exp(-m)
+        start = F.struct(none.alias("pmf"), none.alias("cdf"),
+                         F.when(u >= none, 1).otherwise(0).alias("k"))
+
+        def step(acc: Column, j: Column) -> Column:
+            pmf = acc["pmf"] * m / j
+            cdf = acc["cdf"] + pmf
+            return F.struct(pmf.alias("pmf"), cdf.alias("cdf"),
+                            (acc["k"] + F.when(u >= cdf, 1).otherwise(0)).alias("k"))
+
+        last = (m + 8 * F.sqrt(m) + 10).cast("int")  # beyond it less than 1e-14 is left
+        return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["k"])
+
+    blocks = F.sequence(F.lit(0), F.floor(
+        (F.least(n, F.lit(POISSON_EXACT)) - 1) / POISSON_BLOCK).cast("int"))
+    exact = F.aggregate(F.transform(blocks, block), F.lit(0).cast("bigint"), lambda a, x: a + x)
     z = standard_normal(salt, *keys)
     large = F.greatest(F.lit(0.0), F.round(n + F.sqrt(n.cast("double")) * z)).cast("bigint")
-    return F.when(n <= POISSON_EXACT, small).otherwise(large)
+    return F.when(n <= POISSON_EXACT, exact).otherwise(large)
 
 
 def resampled_counts(counts: DataFrame, resamples: int, salt: str = "journeys") -> DataFrame:
-    """Path counts of every resample b: distinct paths times resamples, not journeys."""
-    rows = counts.select("*", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"))
+    """Path counts of every resample b: distinct paths times resamples, not journeys.
+
+    The counts are few rows with much work each, so they are spread over all cores first.
+    """
+    cores = counts.sparkSession.sparkContext.defaultParallelism
+    rows = counts.repartition(cores).select("*", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"))
     key = F.array_join("path", ">")
     return rows.withColumn("w", poisson_weight(F.col("n"), salt, key, "converted", "b")).filter(
         "w > 0")
@@ -290,8 +375,12 @@ def resampled_counts(counts: DataFrame, resamples: int, salt: str = "journeys")
 
 def bootstrap_credit(counts: DataFrame, channels: Sequence[str], resamples: int = 200,
                      salt: str = "journeys", absent: float | None = None) -> DataFrame:
-    """Credit of all five methods on every resample (b, method, channel, credit)."""
-    return all_methods(resampled_counts(counts, resamples, salt), channels, ["b"], "w", absent)
+    """Credit of all five methods on every resample (b, method, channel, credit).
+
+    The resampled counts are written out once, as the methods read them separately.
+    """
+    drawn = cut_lineage(resampled_counts(counts, resamples, salt))
+    return all_methods(drawn, channels, ["b"], "w", absent)
 
 
 # ---- decisions -------------------------------------------------------------------------------------------
@@ -309,14 +398,14 @@ def cost_per_credit(boot: DataFrame, credit: DataFrame, spend: Mapping[str, floa
     return rows.withColumn("cheapest", F.coalesce(best["channel"] == F.col("channel"), F.lit(False)))
 
 
-def holdout_mde(made: DataFrame, credit: DataFrame, channel: str, spend: float, share: float,
+def holdout_mde(facts: DataFrame, credit: DataFrame, channel: str, spend: float, share: float,
                 margin: float, alpha: float = 0.05, power: float = 0.8) -> DataFrame:
     """What a holdout of the channel could detect, against what would make its spend pay.
 
     ``credit``: channel, credit of the method the decision rests on.
     """
     z = NormalDist().inv_cdf(1 - alpha / 2) + NormalDist().inv_cdf(power)
-    reached = made.filter(F.array_contains("path", channel)).agg(
+    reached = facts.filter(F.array_contains("channels", channel)).agg(
         F.count(F.lit(1)).alias("reached"), F.avg(F.col("converted").cast("double")).alias("rate"))
     n0 = F.bround(F.lit(share) * F.col("reached"))
     n1 = F.col("reached") - n0

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.operators.asof import asof_left_join
 from tallyfield.operators.ordering import exact_quantiles
+from tallyfield.operators.purchases import up_to
 
 LINE_COLUMNS = ("invoice", "stock_code", "description", "quantity", "invoice_date", "price",
                 "customer_id", "country")
@@ -116,7 +117,7 @@ def rfm_by_invoice(tx: DataFrame, cal_end, tiebreak: str = "tiebreak") -> DataFr
     One aggregate per customer: nothing is sorted, so a customer with many rows costs no more.
     """
     end = F.lit(str(cal_end)).cast("date")
-    rows = tx.filter(F.col("date").cast("date") <= end)
+    rows = tx.filter(up_to("date", cal_end))
     n = F.count(F.lit(1))
     first = F.min_by("amount", F.struct("date", tiebreak))
     mean = (F.sum("amount") - first) / F.nullif(n - 1, F.lit(0))
@@ -237,7 +238,7 @@ def largest_purchase_days(tx: DataFrame, k: int, wholesale: Column) -> DataFrame
 
 def amount_cap(tx: DataFrame, pct: float, cal_end) -> DataFrame:
     """The exact percentile of calibration amounts (one row)."""
-    cal = tx.filter(F.col("date").cast("date") <= F.lit(str(cal_end)).cast("date"))
+    cal = tx.filter(up_to("date", cal_end))
     return exact_quantiles(cal, "amount", {"cap": pct / 100.0})
 
 
@@ -275,8 +276,7 @@ def holdout_forecast_error(forecast: DataFrame, tx: DataFrame, cal_end, hold_end
                            predicted: str = "expected_purchases") -> DataFrame:
     """Forecast total against the distinct holdout purchase days that happened."""
     d = F.col("date").cast("date")
-    window = tx.filter((d > F.lit(str(cal_end)).cast("date"))
-                       & (d <= F.lit(str(hold_end)).cast("date")))
+    window = tx.filter(~up_to("date", cal_end) & up_to("date", hold_end))
     actual = window.select("customer_id", d.alias("d")).distinct().agg(
         F.count(F.lit(1)).alias("actual"))
     total = forecast.agg(F.sum(predicted).alias("forecast"))

@@ -31,16 +31,16 @@ def maximize(data: DataFrame, weight: str, names: Sequence[str], start: Sequence
     k = len(names)
     total = float(data.agg(F.sum(weight)).first()[0])
 
+    at = {n: F.col(f"_p.{n}") for n in names}
+    sums = [F.sum(F.col(weight) * loglik(at)).alias("ll"),
+            *[F.sum(F.col(weight) * g).alias(f"g{i}") for i, g in enumerate(gradient(at))]]
+
     def evaluate(points: Sequence[np.ndarray]):
         array = F.array(*[F.struct(F.lit(i).alias("point"), *[
             F.lit(float(np.exp(v))).alias(n) for n, v in zip(names, p, strict=True)])
             for i, p in enumerate(points)])
         rows = data.select("*", F.explode(array).alias("_p"))
-        theta = {n: F.col(f"_p.{n}") for n in names}
-        grads = gradient(theta)
-        got = rows.groupBy("_p.point").agg(
-            F.sum(F.col(weight) * loglik(theta)).alias("ll"),
-            *[F.sum(F.col(weight) * g).alias(f"g{i}") for i, g in enumerate(grads)]).collect()
+        got = rows.groupBy("_p.point").agg(*sums).collect()
         value = np.full(len(points), -np.inf)
         grad = np.zeros((len(points), k))
         for row in got:

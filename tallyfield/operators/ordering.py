@@ -14,7 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyfield.session import cut_lineage
+
 BUCKETS = 256
+SMALL = 50_000  # rows one task orders without trouble
 
 
 def with_range_bucket(df: DataFrame, keys: Sequence[str], name: str = "_bucket",
@@ -43,10 +46,16 @@ def cumulate(df: DataFrame, order: Sequence[str], sums: dict[str, str],
     """Running sums in ascending ``order`` inside each ``by`` group.
 
     ``sums`` maps a new column to the column it accumulates. ``by`` plus ``order`` must identify a
-    row: aggregate ties away or add an id first.
+    row: aggregate ties away or add an id first. The input is read three times (cut points, bucket
+    totals, rows), so it is written out once before; pass only the columns that are needed. If the
+    written table turns out to have few rows, a plain window is enough.
     """
     by, order = list(by), list(order)
-    rows = with_range_bucket(df, by + order, buckets=buckets)
+    written = cut_lineage(df)
+    if written.count() <= SMALL:
+        run = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        return written.select("*", *[F.sum(c).over(run).alias(out) for out, c in sums.items()])
+    rows = with_range_bucket(written, by + order, buckets=buckets)
     local = W.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     totals = rows.groupBy(*by, "_bucket").agg(
         *[F.sum(src).alias(f"_t_{out}") for out, src in sums.items()])

@@ -13,7 +13,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyfield.operators.ordering import with_ntile
-from tallyfield.session import cut_lineage
 
 DAYS_PER_WEEK = 7
 
@@ -26,6 +25,11 @@ def _as_date(value) -> Column:
     return F.lit(str(value)).cast("date")
 
 
+def up_to(date: str, end) -> Column:
+    """On or before the day ``end``, with the column left bare so that the scan can use the filter."""
+    return F.col(date) < F.date_add(_as_date(end), 1)
+
+
 def customer_table(tx: DataFrame, customer: str = "customer_id", date: str = "date",
                    amount: str = "amount") -> DataFrame:
     """First and last purchase, number of transactions and total spend per customer."""
@@ -87,7 +91,7 @@ def rfm(tx: DataFrame, cutoff, unit_days: int = DAYS_PER_WEEK, customer: str = "
         date: str = "date", amount: str = "amount") -> DataFrame:
     """Frequency, recency, age and mean repeat spend on purchase days up to the cutoff."""
     end = _as_date(cutoff)
-    days = purchase_days(tx.filter(_day(date) <= end), customer, date, amount)
+    days = purchase_days(tx.filter(up_to(date, cutoff)), customer, date, amount)
     n = F.count(F.lit(1))
     mean = (F.sum("day_amount") - F.min_by("day_amount", "purchase_date")) / F.nullif(
         n - 1, F.lit(0))
@@ -147,8 +151,8 @@ def calibration_holdout(tx: DataFrame, cal_end, hold_end, customer: str = "custo
 
     Only customers seen in the calibration period are kept.
     """
-    cal, hold = _as_date(cal_end), _as_date(hold_end)
-    days = tx.select(customer, _day(date).alias("d")).filter(F.col("d") <= hold).distinct()
+    cal = _as_date(cal_end)
+    days = tx.filter(up_to(date, hold_end)).select(customer, _day(date).alias("d")).distinct()
     in_cal = F.col("d") <= cal
     cal_day = F.when(in_cal, F.col("d"))
     out = days.groupBy(customer).agg(
@@ -234,7 +238,7 @@ def purchases_between(tx: DataFrame, start, end, customer: str = "customer_id",
                       date: str = "date") -> DataFrame:
     """Distinct purchase days per customer after ``start`` and up to ``end``."""
     d = _day(date)
-    window = tx.filter((d > _as_date(start)) & (d <= _as_date(end)))
+    window = tx.filter(~up_to(date, start) & up_to(date, end))
     return (window.select(customer, d.alias("d")).distinct().groupBy(customer)
             .agg(F.count(F.lit(1)).alias("purchases")))
 
@@ -244,7 +248,7 @@ def make_features(tx: DataFrame, cutoff, customers: DataFrame | None = None,
                   amount: str = "amount") -> DataFrame:
     """Predictors known at the cutoff; nothing later enters."""
     end = _as_date(cutoff)
-    days = purchase_days(tx.filter(_day(date) <= end), customer, date, amount)
+    days = purchase_days(tx.filter(up_to(date, cutoff)), customer, date, amount)
     ago = F.datediff(end, F.col("purchase_date"))
     out = days.groupBy(customer).agg(
         (F.count(F.lit(1)) - 1).cast("double").alias("frequency"),
@@ -293,11 +297,8 @@ def customer_segments(channel: str = "acquisition_channel",
 
 
 def rfm_quintiles(rfm_table: DataFrame, alive: Column, customer: str = "customer_id") -> DataFrame:
-    """Alive share in the 25 cells of recency quintile x frequency quintile.
-
-    The first ordering is written out before the second, which reads its input several times.
-    """
-    tiles = cut_lineage(with_ntile(rfm_table, 5, ["recency", customer], "recency_quintile"))
+    """Alive share in the 25 cells of recency quintile x frequency quintile."""
+    tiles = with_ntile(rfm_table, 5, ["recency", customer], "recency_quintile")
     tiles = with_ntile(tiles, 5, ["frequency", customer], "frequency_quintile")
     return tiles.groupBy("recency_quintile", "frequency_quintile").agg(
         F.count(F.lit(1)).alias("customers"), F.avg(alive.cast("double")).alias("alive_share"))

@@ -47,20 +47,20 @@ def life_table(df: DataFrame, duration: str = "tenure_months", event: str = "chu
     """Per time: events d, at risk n (ties and those censored at t included), and S around t.
 
     ``before`` and ``survival`` are S just before and just after t; ``greenwood`` is the running sum
-    of d / (n (n - d)). The counts per time are written out once, as two ordered passes follow.
+    of d / (n (n - d)).
     """
     by = list(by)
     w = F.col(weight) if weight else F.lit(1)
-    counts = cut_lineage(df.groupBy(*by, F.col(duration).alias("t")).agg(
-        F.sum(F.when(F.col(event) == 1, w).otherwise(0)).alias("d"), F.sum(w).alias("leaving")))
+    counts = df.groupBy(*by, F.col(duration).alias("t")).agg(
+        F.sum(F.when(F.col(event) == 1, w).otherwise(0)).alias("d"), F.sum(w).alias("leaving"))
     risk = cumulate(counts.withColumn("_down", -F.col("t")), ["_down"], {"n": "leaving"}, by)
     died = risk.filter("d > 0").select(*by, "t", "d", "n", "leaving")
     alive = F.greatest(F.col("n") - F.col("d"), F.lit(0))
     gone = alive <= F.col("n") * 1e-12
-    steps = cut_lineage(died.withColumns({
+    steps = died.withColumns({
         "_log": F.when(~gone, F.log(alive / F.col("n"))).otherwise(0.0),
         "_end": gone.cast("int"),
-        "_v": F.when(~gone, F.col("d") / (F.col("n") * alive)).otherwise(0.0)}))
+        "_v": F.when(~gone, F.col("d") / (F.col("n") * alive)).otherwise(0.0)})
     run = cumulate(steps, ["t"], {"_logs": "_log", "_ends": "_end", "greenwood": "_v"}, by)
 
     def curve(logs: Column, ends: Column) -> Column:
@@ -326,7 +326,7 @@ def ph_test(df: DataFrame, covariates: Sequence[str], duration: str = "tenure_mo
     sums = _risk_sums(cells, covariates, beta)
     resid = [(F.col(f"x{i}") - F.col("d") * F.col(f"s1_{i}") / F.col("s0")).alias(f"r{i}")
              for i in range(k)]
-    ranked = cumulate(cut_lineage(sums.select("t", "d", *resid)), ["t"], {"cum": "d"})
+    ranked = cumulate(sums.select("t", "d", *resid), ["t"], {"cum": "d"})
     g = F.col("cum") - (F.col("d") - 1) / 2.0
     one = ranked.agg(
         F.sum("d").alias("n"), F.sum(g * F.col("d")).alias("sg"),

@@ -25,6 +25,15 @@ def counts(spark, sf):
     return cut_lineage(A.path_counts(made(spark, sf)))
 
 
+def facts(spark, sf):
+    return A.journey_facts(R.touches(spark, sf), R.conversions(spark, sf), ["user_id", "day"],
+                           CHANNELS)
+
+
+def chain(spark, sf):
+    return A.touch_transitions(R.touches(spark, sf), facts(spark, sf), ["user_id", "day"])
+
+
 @query("T1", "journeys", "user_id:i day:d path:s converted:i", "journeys", """
     SELECT user_id, day, array_to_string(path, ' > ') AS path, converted FROM journeys""")
 def _(spark, sf):
@@ -39,7 +48,7 @@ def _(spark, sf):
     FROM (SELECT path, c, list_contains(path, c) AS has, len(list_distinct(path)) >= 2 AS multi
           FROM journeys, (SELECT unnest({CH}) AS c) AS k) AS j GROUP BY 1""")
 def _(spark, sf):
-    return A.position_table(made(spark, sf), CHANNELS)
+    return A.position_table(facts(spark, sf), CHANNELS)
 
 
 CREDIT = {
@@ -56,12 +65,13 @@ R.role_sql("heuristics", "journeys touch_rows", " UNION ALL ".join(f"""
 @query("T3", "heuristic_credit", "method:s channel:s credit:6", "heuristics",
        "SELECT * FROM heuristics")
 def _(spark, sf):
-    paths = counts(spark, sf)
-    out = None
-    for rule in A.RULES:
-        one = A.heuristic_credit(paths, CHANNELS, rule).withColumn("method", F.lit(rule))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return A.all_heuristics(facts(spark, sf), CHANNELS)
+
+
+@query("T1", "touch_positions", "user_id:i day:d position:i channel:s", "touch_rows", """
+    SELECT user_id, day, pos AS position, channel FROM touch_rows""")
+def _(spark, sf):
+    return A.touch_positions(R.touches(spark, sf), ["user_id", "day"])
 
 
 R.role_sql("chain", "journeys", """
@@ -74,6 +84,11 @@ R.role_sql("chain", "journeys", """
 
 
 @query("T4", "transition_matrix", "s:s s2:s n:1 p:7", "chain", "SELECT * FROM chain")
+def _(spark, sf):
+    return chain(spark, sf)
+
+
+@query("T4", "transition_matrix_of_paths", "s:s s2:s n:1 p:7", "chain", "SELECT * FROM chain")
 def _(spark, sf):
     return A.transition_matrix(counts(spark, sf))
 
@@ -93,7 +108,7 @@ def absorbed_sql(removed: str) -> str:
 @query("T5", "conversion_probability", "conversion_probability:7", "chain",
        f"SELECT p AS conversion_probability FROM ({absorbed_sql('')}) AS a")
 def _(spark, sf):
-    effects = A.markov(A.transition_matrix(counts(spark, sf)), CHANNELS)
+    effects = A.markov(chain(spark, sf), CHANNELS)
     return effects.agg(F.max("conversion_probability").alias("conversion_probability"))
 
 
@@ -104,7 +119,7 @@ R.role_sql("removal", "chain", " UNION ALL ".join(
 
 @query("T6", "removal_effects", "channel:s removal_effect:7", "removal", "SELECT * FROM removal")
 def _(spark, sf):
-    return A.markov(A.transition_matrix(counts(spark, sf)), CHANNELS)
+    return A.markov(chain(spark, sf), CHANNELS)
 
 
 R.role_sql("markov", "removal journeys", """
@@ -114,9 +129,8 @@ R.role_sql("markov", "removal journeys", """
 
 @query("T7", "markov_credit", "channel:s credit:5", "markov", "SELECT * FROM markov")
 def _(spark, sf):
-    paths = counts(spark, sf)
-    effects = A.markov(A.transition_matrix(paths), CHANNELS)
-    return A.markov_credit(effects, A.converted_total(paths))
+    effects = A.markov(chain(spark, sf), CHANNELS)
+    return A.markov_credit(effects, A.converted_total(facts(spark, sf)))
 
 
 R.role_sql("coalitions", "journeys", """
@@ -129,7 +143,7 @@ R.role_sql("coalitions", "journeys", """
 @query("T8", "coalition_table", "set:s size:i journeys:i conversions:i rate:7", "coalitions",
        "SELECT * FROM coalitions")
 def _(spark, sf):
-    return A.coalition_table(counts(spark, sf))
+    return A.coalition_table(facts(spark, sf))
 
 
 R.role_sql("shapley", "coalitions", f"""
@@ -148,14 +162,14 @@ R.role_sql("shapley", "coalitions", f"""
 
 @query("T9", "shapley_credit", "channel:s credit:6", "shapley", "SELECT * FROM shapley")
 def _(spark, sf):
-    return A.shapley_credit(A.coalition_table(counts(spark, sf)), CHANNELS)
+    return A.shapley_credit(A.coalition_table(facts(spark, sf)), CHANNELS)
 
 
 @query("T10", "shapley_count_based", "channel:s credit:6", "coalitions", """
     SELECT channel, sum(conversions / size) AS credit
     FROM (SELECT unnest(channels) AS channel, conversions, size FROM coalitions) AS c GROUP BY 1""")
 def _(spark, sf):
-    return A.shapley_count_based(A.coalition_table(counts(spark, sf)), CHANNELS)
+    return A.shapley_count_based(A.coalition_table(facts(spark, sf)), CHANNELS)
 
 
 R.role_sql("credit", "heuristics markov shapley", """
@@ -184,15 +198,17 @@ def _(spark, sf):
 B = 20
 R.role_sql("weights", "journeys", f"""
     SELECT path, converted, b, count(*) FILTER (WHERE u >= cdf) AS w
-    FROM (SELECT path, converted, b, n, {R.sql_uniform('journeys', "array_to_string(path, '>')",
-                                                       'converted', 'b')} AS u,
-                 sum(exp(-n + k * ln(n) - lgamma(k + 1))) OVER (PARTITION BY path, converted, b
+    FROM (SELECT path, converted, b, i, {R.sql_uniform('journeys', "array_to_string(path, '>')",
+                                                       'converted', 'b', 'i')} AS u,
+                 sum(exp(-m + k * ln(m) - lgamma(k + 1))) OVER (PARTITION BY path, converted, b, i
                                                                 ORDER BY k) AS cdf
-          FROM (SELECT *, unnest(range(0, n + 60)) AS k
-                FROM (SELECT path, converted, CAST(count(*) AS DOUBLE) AS n,
-                             unnest(range(1, {B + 1})) AS b
-                      FROM journeys GROUP BY 1, 2) AS p) AS q) AS r
-    GROUP BY path, converted, b""".replace("range(0, n + 60)", "range(0, CAST(n AS BIGINT) + 60)"))
+          FROM (SELECT *, unnest(range(0, CAST(m + 12 * sqrt(m) + 20 AS BIGINT) + 1)) AS k
+                FROM (SELECT *, least(500, n - i * 500) AS m
+                      FROM (SELECT *, unnest(range(0, CAST(floor((n - 1) / 500) AS BIGINT) + 1)) AS i
+                            FROM (SELECT path, converted, CAST(count(*) AS DOUBLE) AS n,
+                                         unnest(range(1, {B + 1})) AS b
+                                  FROM journeys GROUP BY 1, 2) AS p) AS p1) AS p2) AS q) AS r
+    GROUP BY path, converted, b""")
 
 
 @query("T12", "bootstrap_heuristic_credit", "b:i method:s channel:s credit:5", "weights", f"""
@@ -203,7 +219,8 @@ R.role_sql("weights", "journeys", f"""
           UNION ALL SELECT b, 'linear', unnest(path), CAST(w AS DOUBLE) / len(path) FROM weights
           WHERE converted = 1) AS r, (SELECT unnest({CH}) AS c) AS k GROUP BY 1, 2, 3""")
 def _(spark, sf):
-    return A.all_heuristics(A.resampled_counts(counts(spark, sf), B), CHANNELS, ["b"], "w")
+    drawn = A.path_facts(A.resampled_counts(counts(spark, sf), B), CHANNELS)
+    return A.all_heuristics(drawn, CHANNELS, ["b"], "w")
 
 
 @query("T12", "bootstrap_credit", "b:i method:s channel:s credit:4")
@@ -236,7 +253,6 @@ ZP = NormalDist().inv_cdf(0.975) + NormalDist().inv_cdf(0.8)
           FROM (SELECT CAST(count(*) AS DOUBLE) AS reached, avg(converted) AS rate FROM journeys
                 WHERE list_contains(path, 'click')) AS r) AS m""")
 def _(spark, sf):
-    paths = counts(spark, sf)
-    effects = A.markov(A.transition_matrix(paths), CHANNELS)
-    credit = A.markov_credit(effects, A.converted_total(paths))
-    return A.holdout_mde(made(spark, sf), credit, "click", 900.0, 0.2, 9.0)
+    rows = cut_lineage(facts(spark, sf))
+    credit = A.markov_credit(A.markov(chain(spark, sf), CHANNELS), A.converted_total(rows))
+    return A.holdout_mde(rows, credit, "click", 900.0, 0.2, 9.0)

@@ -14,7 +14,8 @@ from tallyfield.sources import tables as S
 @query("S1", "load_table", "customer_id:i date:d amount:2", "tx", "SELECT * FROM tx")
 def _(spark, sf):
     path = scratch_path(spark, "retailer_transactions")
-    R.transactions(spark, sf).write.option("header", True).csv(path)
+    R.transactions(spark, sf).withColumn("date", F.col("date").cast("date")).write.option(
+        "header", True).csv(path)
     return S.load_table(spark, "retailer_transactions", path)
 
 

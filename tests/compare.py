@@ -1,6 +1,8 @@
 """Compare registered queries with their SQL on the same tables.
 
-Usage: python tests/compare.py SF_DIR [area or query name ...]
+Usage: python tests/compare.py SF_DIR [--buckets] [area or query name ...]
+
+With --buckets every ordered sum takes the range-bucket path, whatever its size.
 """
 
 from __future__ import annotations
@@ -60,7 +62,11 @@ def main() -> None:
     from tallyfield.session import local_session
 
     sf = sys.argv[1]
-    wanted = sys.argv[2:]
+    wanted = [w for w in sys.argv[2:] if w != "--buckets"]
+    if "--buckets" in sys.argv:
+        from tallyfield.operators import ordering
+
+        ordering.SMALL = -1
     areas = [a for a in plans.AREAS if a in wanted] or plans.AREAS
     for area in areas:
         if os.path.exists(os.path.join(os.path.dirname(plans.__file__), f"{area}.py")):
