@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyfield.operators.asof import asof_left_join
 from tallyfield.operators.ordering import exact_quantiles
 from tallyfield.operators.purchases import up_to
+from tallyfield.session import cut_lineage
 
 LINE_COLUMNS = ("invoice", "stock_code", "description", "quantity", "invoice_date", "price",
                 "customer_id", "country")
@@ -46,8 +47,11 @@ def match_cancellations(kept: DataFrame,
     """Each cancellation line with the latest purchase line at or before it.
 
     The pair shares the ``keys``; a ``quantity`` key means the opposite quantity. Unmatched
-    cancellations keep a NULL ``original_id``; one purchase may match twice.
+    cancellations keep a NULL ``original_id``; one purchase may match twice. The few columns needed
+    are written out once, as both sides and both passes of the match read them.
     """
+    needed = dict.fromkeys([*keys, "quantity", "invoice_date", "invoice", "line_id"])
+    kept = cut_lineage(kept.select(*needed))
     cancel = kept.filter(is_cancellation()).withColumn("quantity", -F.col("quantity")).select(
         *keys, "invoice_date", F.col("line_id").alias("cancel_id"))
     bought = kept.filter(~is_cancellation()).select(

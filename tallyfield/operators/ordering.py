@@ -42,20 +42,21 @@ def with_range_bucket(df: DataFrame, keys: Sequence[str], name: str = "_bucket",
 
 
 def cumulate(df: DataFrame, order: Sequence[str], sums: dict[str, str],
-             by: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:
+             by: Sequence[str] = (), buckets: int = BUCKETS, written: bool = False) -> DataFrame:
     """Running sums in ascending ``order`` inside each ``by`` group.
 
     ``sums`` maps a new column to the column it accumulates. ``by`` plus ``order`` must identify a
     row: aggregate ties away or add an id first. The input is read three times (cut points, bucket
     totals, rows), so it is written out once before; pass only the columns that are needed. If the
-    written table turns out to have few rows, a plain window is enough.
+    written table turns out to have few rows, a plain window is enough. ``written`` says that the
+    input is such a table already (with columns derived row by row at most).
     """
     by, order = list(by), list(order)
-    written = cut_lineage(df)
-    if written.count() <= SMALL:
+    table = df if written else cut_lineage(df)
+    if table.count() <= SMALL:
         run = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-        return written.select("*", *[F.sum(c).over(run).alias(out) for out, c in sums.items()])
-    rows = with_range_bucket(written, by + order, buckets=buckets)
+        return table.select("*", *[F.sum(c).over(run).alias(out) for out, c in sums.items()])
+    rows = with_range_bucket(table, by + order, buckets=buckets)
     local = W.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     totals = rows.groupBy(*by, "_bucket").agg(
         *[F.sum(src).alias(f"_t_{out}") for out, src in sums.items()])

@@ -42,6 +42,14 @@ def share_onboarded(subs: DataFrame, plan: str = "plan", onboarded: str = "onboa
 
 
 # ---- Kaplan-Meier --------------------------------------------------------------------------------
+def time_counts(df: DataFrame, duration: str = "tenure_months", event: str = "churned",
+                by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """Events and leavers per distinct time, written out once."""
+    w = F.col(weight) if weight else F.lit(1)
+    return cut_lineage(df.groupBy(*by, F.col(duration).alias("t")).agg(
+        F.sum(F.when(F.col(event) == 1, w).otherwise(0)).alias("d"), F.sum(w).alias("leaving")))
+
+
 def life_table(df: DataFrame, duration: str = "tenure_months", event: str = "churned",
                by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Per time: events d, at risk n (ties and those censored at t included), and S around t.
@@ -49,12 +57,15 @@ def life_table(df: DataFrame, duration: str = "tenure_months", event: str = "chu
     ``before`` and ``survival`` are S just before and just after t; ``greenwood`` is the running sum
     of d / (n (n - d)).
     """
+    return life_table_of(time_counts(df, duration, event, by, weight), by)
+
+
+def life_table_of(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The life table of written time counts."""
     by = list(by)
-    w = F.col(weight) if weight else F.lit(1)
-    counts = df.groupBy(*by, F.col(duration).alias("t")).agg(
-        F.sum(F.when(F.col(event) == 1, w).otherwise(0)).alias("d"), F.sum(w).alias("leaving"))
-    risk = cumulate(counts.withColumn("_down", -F.col("t")), ["_down"], {"n": "leaving"}, by)
-    died = risk.filter("d > 0").select(*by, "t", "d", "n", "leaving")
+    risk = cumulate(counts.withColumn("_down", -F.col("t")), ["_down"], {"n": "leaving"}, by,
+                    written=True)
+    died = risk.filter("d > 0").select(*by, "t", "d", "n")
     alive = F.greatest(F.col("n") - F.col("d"), F.lit(0))
     gone = alive <= F.col("n") * 1e-12
     steps = died.withColumns({
@@ -119,10 +130,11 @@ def rmst(df: DataFrame, horizon: float, duration: str = "tenure_months", event:
          by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Restricted mean survival time; a group without any event gets the whole horizon."""
     by = list(by)
-    area = restricted_mean(life_table(df, duration, event, by, weight), horizon, by)
+    counts = time_counts(df, duration, event, by, weight)
+    area = restricted_mean(life_table_of(counts, by), horizon, by)
     if not by:
         return area.select(F.coalesce("rmst", F.lit(float(horizon))).alias("rmst"))
-    return df.select(*by).distinct().join(area, by, "left").withColumn(
+    return counts.select(*by).distinct().join(area, by, "left").withColumn(
         "rmst", F.coalesce("rmst", F.lit(float(horizon))))
 
 

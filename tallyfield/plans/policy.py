@@ -127,7 +127,7 @@ def model(spark, sf):
     return N.transition_model(log(spark, sf))
 
 
-@query("N9", "transition_model", "s:i a:i s2:i n:i p:6 visits:i reward:6", "model",
+@query("N9", "transition_model", "s:i a:i s2:i n:i p:8 visits:i reward:8", "model",
        "SELECT * FROM model")
 def _(spark, sf):
     return model(spark, sf)
@@ -159,8 +159,8 @@ def _(spark, sf):
 
 
 @query("N11", "greedy_policy", "s:i action:i", "model values30", """
-    SELECT s, coalesce(max_by(CASE WHEN visits >= 30 THEN a END, CASE WHEN visits >= 30 THEN q END), 0)
-             AS action
+    SELECT s, coalesce(max_by(CASE WHEN visits >= 30 THEN a END,
+                           CASE WHEN visits >= 30 THEN (round(q, 9), -a) END), 0) AS action
     FROM (SELECT m.s, a, max(visits) AS visits, max(reward) + 0.8 * sum(p * v[s2 + 1]) AS q
           FROM model AS m, values30 GROUP BY 1, 2) AS q GROUP BY 1""")
 def _(spark, sf):

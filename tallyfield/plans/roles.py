@@ -151,9 +151,11 @@ FIRST_END = "2000-12-31"
 
 def invoice_lines(spark, sf) -> DataFrame:
     """The two extracts put together, overlap included, with a unique line_id."""
-    one, two = extracts(spark, sf)
-    return one.withColumn("line_id", F.col("line_id") * 2).unionByName(
-        two.withColumn("line_id", F.col("line_id") * 2 + 1))
+    day = F.col("invoice_date").cast("date")
+    in_one, in_two = day <= F.lit(FIRST_END).cast("date"), day >= F.lit(SECOND_START).cast("date")
+    parts = F.array_compact(F.array(F.when(in_one, 0), F.when(in_two, 1)))
+    rows = _lines(spark, sf).withColumn("_part", F.explode(parts))
+    return rows.withColumn("line_id", F.col("line_id") * 2 + F.col("_part")).drop("_part")
 
 
 def extracts(spark, sf) -> tuple[DataFrame, DataFrame]:

@@ -16,6 +16,7 @@ def local_session(cpus: int | str = 8, app: str = "tallyfield") -> SparkSession:
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("TALLYFIELD_DRIVER_MEMORY", "12g"))
@@ -39,6 +40,8 @@ def shared_folder(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured
     if current is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallyfield-"))
         current = sc.getCheckpointDir()
     return current
