@@ -104,7 +104,7 @@ R.role_sql("spend", "drfm", f"""
     FROM (SELECT *, 6.0 * frequency / (6.0 * frequency + 3.0) AS w FROM drfm) AS r""")
 
 
-@query("C8", "gamma_gamma_expected_spend", "customer_id:i expected_spend:8", "spend",
+@query("C8", "gamma_gamma_expected_spend", "customer_id:i expected_spend:6", "spend",
        "SELECT * FROM spend")
 def _(spark, sf):
     return C.gamma_gamma_expected_spend(dropout_rfm(spark, sf), GG)
@@ -133,7 +133,7 @@ def _(spark, sf):
     return C.closest_to_bar(scored, "gain", 100.0, 10)
 
 
-@query("C11", "revenue_scores", "customer_id:i score:7", "expected spend", """
+@query("C11", "revenue_scores", "customer_id:i score:6", "expected spend", """
     SELECT customer_id, expected_purchases * expected_spend AS score
     FROM expected JOIN spend USING (customer_id)""")
 def _(spark, sf):

@@ -121,7 +121,7 @@ def dropout_log(spark, sf) -> DataFrame:
                     <= F.floor(F.col("c_nationkey") / 5) + 1))
     days = rows.groupBy(F.col("o_custkey").alias("customer_id"),
                         F.col("o_orderdate").cast("date").alias("date")).agg(
-        F.sum(F.col("o_totalprice") / (F.col("c_nationkey") + 1) / 4000).alias("amount"),
+        F.sum(F.col("o_totalprice") / (F.col("c_nationkey") + 1) / 4001).alias("amount"),
         F.max((F.col("o_totalprice") / 500000 > F.col("c_acctbal") / 10000).cast("int"))
         .alias("leaves"))
     end = F.min(F.when(F.col("leaves") == 1, F.col("date"))).over(W.partitionBy("customer_id"))
@@ -132,7 +132,7 @@ role_sql("dropout_days", "", """
     SELECT customer_id, date AS purchase_date, amount AS day_amount FROM (
       SELECT *, min(CASE WHEN leaves = 1 THEN date END) OVER (PARTITION BY customer_id) AS last_day
       FROM (SELECT o_custkey AS customer_id, CAST(o_orderdate AS DATE) AS date,
-                   sum(o_totalprice / (c_nationkey + 1) / 4000) AS amount,
+                   sum(o_totalprice / (c_nationkey + 1) / 4001) AS amount,
                    max(CASE WHEN o_totalprice / 500000 > c_acctbal / 10000 THEN 1 ELSE 0 END)
                      AS leaves
             FROM orders JOIN customer ON o_custkey = c_custkey
