@@ -88,13 +88,17 @@ def _arm_moments(y: str, t: str) -> list[Column]:
 
 
 def diff_in_means(df: DataFrame, y: str, t: str = "treatment", by: Sequence[str] = (),
-                  z: float = Z95) -> DataFrame:
-    """Treated minus control mean with the unpooled standard error and a normal interval."""
-    rows = df.groupBy(*by).agg(*_arm_moments(y, t))
+                  z: float = Z95, extra: Sequence[Column] = ()) -> DataFrame:
+    """Treated minus control mean with the unpooled standard error and a normal interval.
+
+    ``extra`` aggregates are computed in the same pass.
+    """
+    rows = df.groupBy(*by).agg(*_arm_moments(y, t), *extra)
+    kept = [c for c in rows.columns if c not in (*by, "m1", "v1", "n1", "m0", "v0", "n0")]
     est = F.col("m1") - F.col("m0")
     se = F.sqrt(F.try_divide("v1", "n1") + F.try_divide("v0", "n0"))
     return rows.select(*by, est.alias("estimate"), se.alias("se"), (est - z * se).alias("lo"),
-                       (est + z * se).alias("hi"), "n1", "n0")
+                       (est + z * se).alias("hi"), "n1", "n0", *kept)
 
 
 def cuped(df: DataFrame, y: str = "spend", x: str = "history", t: str = "treatment") -> DataFrame:
@@ -214,9 +218,9 @@ def lose_share(df: DataFrame, share: float, key: str, t: str = "treatment",
                salt: str = "lost") -> DataFrame:
     """Drop round(share * n) random treated rows: a broken log for testing the split alarm."""
     treated = df.filter(F.col(t) == 1).select(key).withColumn("_u", uniform(salt, key))
-    size = treated.agg(F.bround(F.count(F.lit(1)) * share).cast("bigint").alias("k")).scalar()
-    lost = ranked(treated, ["_u", key], name="_rank").withColumn("_k", size).filter(
-        "_rank <= _k").select(key)
+    order = ranked(treated, ["_u", key], name="_rank")
+    size = order.agg(F.bround(F.max("_rank") * share).cast("bigint").alias("k")).scalar()
+    lost = order.withColumn("_k", size).filter("_rank <= _k").select(key)
     return df.join(lost, key, "left_anti")
 
 

@@ -107,8 +107,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float],
 
 def with_ntile(df: DataFrame, n: int, order: Sequence[str], name: str) -> DataFrame:
     """NTILE(n) over a total order: the first ``size mod n`` tiles hold one row more."""
-    size = df.agg(F.count(F.lit(1)).alias("c")).scalar()
-    rows = ranked(df, order, name="_rn").withColumn("_size", size)
+    rows = ranked(df, order, name="_rn")
+    rows = rows.withColumn("_size", rows.agg(F.max("_rn").alias("c")).scalar())
     small = F.floor(F.col("_size") / n)
     extra = F.col("_size") % n
     edge = extra * (small + 1)

@@ -30,8 +30,9 @@ def one_hot_features(df: DataFrame, numeric: Sequence[str],
 def random_split(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
     """Exactly half of the rows train, by the order of a seeded hash."""
     keys = df.select(key).withColumn("_u", uniform(f"split{seed}", key))
-    size = keys.agg(F.floor(F.count(F.lit(1)) / 2).alias("h")).scalar()
-    sides = ranked(keys, ["_u", key], name="_rank").withColumn("_half", size).select(
+    order = ranked(keys, ["_u", key], name="_rank")
+    size = order.agg(F.floor(F.max("_rank") / 2).alias("h")).scalar()
+    sides = order.withColumn("_half", size).select(
         key, (F.col("_rank") <= F.col("_half")).alias("in_train"))
     return df.join(sides, key)
 
@@ -86,7 +87,7 @@ def cumulative_by_score(df: DataFrame, y: str = "spend", t: str = "treatment",
                    {c: f"d_{c}" for c in _SUMS}, by).drop("_order")
     if not leading_zero:
         return run
-    head = per.select(*by).distinct() if by else df.sparkSession.range(1).select()
+    head = run.select(*by).distinct() if by else df.sparkSession.range(1).select()
     zero = head.select(*by, F.lit(None).cast("double").alias(score),
                        *[F.lit(0).alias(c) for c in ("n_t", "n_c")],
                        *[F.lit(0.0).alias(c) for c in ("y_t", "y_c")])
@@ -108,7 +109,7 @@ def uplift_value(n_t: Column, n_c: Column, y_t: Column, y_c: Column) -> Column:
 def _curve(df: DataFrame, y: str, t: str, score: str, by: Sequence[str], value) -> DataFrame:
     run = cumulative_by_score(df, y, t, score, by)
     at = value(*[F.col(c) for c in _SUMS])
-    size = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
+    size = run.groupBy(*by).agg(F.max(F.col("n_t") + F.col("n_c")).alias("_size"))
     run = run.join(size, list(by)) if by else run.withColumn("_size", size.scalar())
     return run.select(*by, score, ((F.col("n_t") + F.col("n_c")) / F.col("_size"))
                       .alias("fraction"), at.alias("value"))
@@ -173,8 +174,9 @@ def uplift_at_k(df: DataFrame, k: float, key: str, y: str = "spend", t: str = "t
     if not 0 < k <= 1:
         raise ValueError("k is a fraction in (0, 1]")
     rows = df.select(key, y, t, (-F.col(score)).alias("_o"))
-    size = df.agg(F.ceil(F.count(F.lit(1)) * F.lit(float(k))).alias("m")).scalar()
-    top = ranked(rows, ["_o", key], name="_rank").withColumn("_m", size).filter("_rank <= _m")
+    order = ranked(rows, ["_o", key], name="_rank")
+    size = order.agg(F.ceil(F.max("_rank") * F.lit(float(k))).alias("m")).scalar()
+    top = order.withColumn("_m", size).filter("_rank <= _m")
     one = top.agg(F.avg(F.when(F.col(t) == 1, F.col(y))).alias("m1"),
                   F.avg(F.when(F.col(t) == 0, F.col(y))).alias("m0"),
                   F.count(F.lit(1)).alias("targeted"))

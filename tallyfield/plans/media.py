@@ -303,7 +303,24 @@ def curves(spark, sf):
         "upper": F.lit(3000.0)})
 
 
-@query("X17", "optimal_allocation", "draw:i channel:s spend:2")
+# Bisection on the common marginal value, by recursion: sixty halvings.
+ALLOC = """
+    WITH RECURSIVE c AS (SELECT draw, channel, beta * lam / 6000 AS k, 6000 / lam AS width FROM params),
+    step AS (
+      SELECT 0 AS i, draw, CAST(0 AS DOUBLE) AS lo, max(k) AS hi FROM c GROUP BY draw
+      UNION ALL
+      SELECT i + 1, draw, CASE WHEN over THEN mid ELSE lo END, CASE WHEN over THEN hi ELSE mid END
+      FROM (SELECT i, draw, lo, hi, mid, sum(least(3000, greatest(100,
+                     CASE WHEN mid / k >= 1 THEN 0 ELSE width * atanh(sqrt(1 - mid / k)) END))) > 5000
+                     AS over
+            FROM (SELECT i, draw, lo, hi, (lo + hi) / 2 AS mid FROM step WHERE i < 60) AS s
+            JOIN c USING (draw) GROUP BY i, draw, lo, hi, mid) AS h)
+    SELECT draw, channel, least(3000, greatest(100, CASE WHEN (lo + hi) / 2 / k >= 1 THEN 0
+             ELSE width * atanh(sqrt(1 - (lo + hi) / 2 / k)) END)) AS spend
+    FROM step JOIN c USING (draw) WHERE i = 60"""
+
+
+@query("X17", "optimal_allocation", "draw:i channel:s spend:2", "params", ALLOC)
 def _(spark, sf):
     return X.optimal_allocation(curves(spark, sf), 5000.0, ["draw"])
 
