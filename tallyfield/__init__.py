@@ -1 +1,9 @@
 """Customer and marketing analytics as Spark DataFrame operators."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# The few Python functions that run in tasks travel with the plan, so executors need no copy of the
+# package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

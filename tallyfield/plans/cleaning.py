@@ -41,10 +41,10 @@ R.role_sql("clicks_at", "", """
 
 @query("M3", "last_click", "order_id:i customer_id:i campaign:4 clicked_at:s",
        "orders_at clicks_at", """
-    SELECT order_id, o.customer_id, campaign,
-           strftime(clicked_at, '%Y-%m-%d %H:%M:%S') AS clicked_at
-    FROM orders_at AS o ASOF LEFT JOIN clicks_at AS c
-      ON o.customer_id = c.customer_id AND o.ordered_at >= c.clicked_at""")
+    SELECT order_id, o.customer_id, max_by(campaign, (clicked_at, click_id)) AS campaign,
+           strftime(max(clicked_at), '%Y-%m-%d %H:%M:%S') AS clicked_at
+    FROM orders_at AS o LEFT JOIN clicks_at AS c
+      ON c.customer_id = o.customer_id AND c.clicked_at <= o.ordered_at GROUP BY 1, 2""")
 def _(spark, sf):
     events = R.table(spark, sf, "events")
     orders = events.filter("event_type = 'purchase'").select(

@@ -124,12 +124,12 @@ def _(spark, sf):
     return S.read_scores(spark, path)
 
 
-@query("S8", "audit_scores", "nulls:i bad_p_alive:i bad_interval:i bad_tags:i", "scores", """
-    SELECT count(*) FILTER (WHERE customer_id IS NULL OR p_alive IS NULL OR clv_mean IS NULL) AS
-             nulls, count(*) FILTER (WHERE p_alive < 0 OR p_alive > 1) AS bad_p_alive,
-           count(*) FILTER (WHERE NOT (clv_hdi_low <= clv_mean AND clv_mean <= clv_hdi_high))
-             AS bad_interval,
-           count(*) FILTER (WHERE segment = 'social') AS bad_tags FROM scores""")
+@query("S8", "audit_scores", "incomplete:i p_outside:i mean_outside:i wrong_tags:i", "scores", """
+    SELECT sum(CASE WHEN customer_id || segment IS NULL OR p_alive + clv_mean IS NULL THEN 1 ELSE 0 END)
+             AS incomplete, sum(CASE WHEN p_alive BETWEEN 0 AND 1 THEN 0 ELSE 1 END) AS p_outside,
+           sum(CASE WHEN clv_mean BETWEEN clv_hdi_low AND clv_hdi_high THEN 0 ELSE 1 END)
+             AS mean_outside, sum(CASE segment WHEN 'social' THEN 1 ELSE 0 END) AS wrong_tags
+    FROM scores""")
 def _(spark, sf):
     tagged = scores(spark, sf).withColumn("model_version", F.lit("v1")).withColumn(
         "scored_at", F.when(F.col("segment") == "social", "2000-12-31").otherwise("2001-01-01")

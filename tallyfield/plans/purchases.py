@@ -28,8 +28,8 @@ def _(spark, sf):
 
 @query("P3", "clean_invoices", "customer_id:i invoice:s invoice_date:d amount:2", "base_lines", """
     SELECT customer_id, invoice, CAST(min(invoice_date) AS DATE) AS invoice_date,
-           sum(quantity * price) AS amount FROM base_lines
-    WHERE customer_id IS NOT NULL AND NOT starts_with(invoice, 'C') AND quantity > 0 AND price > 0
+           sum(price * quantity) AS amount FROM base_lines
+    WHERE customer_id >= 0 AND left(invoice, 1) <> 'C' AND least(quantity, price) > 0
     GROUP BY 1, 2""")
 def _(spark, sf):
     return P.clean_invoices(R._lines(spark, sf))
@@ -42,11 +42,10 @@ def _(spark, sf):
 
 
 GAPS_SQL = """
-    SELECT customer_id, purchase_date, day_amount,
-           row_number() OVER (PARTITION BY customer_id ORDER BY purchase_date) AS purchase_index,
-           purchase_date - lag(purchase_date) OVER (PARTITION BY customer_id
-                                                    ORDER BY purchase_date) AS days_since_prev
-    FROM days"""
+    SELECT customer_id, purchase_date, day_amount, rank() OVER c AS purchase_index,
+           purchase_date - max(purchase_date) OVER (c ROWS BETWEEN UNBOUNDED PRECEDING
+                                                    AND 1 PRECEDING) AS days_since_prev
+    FROM days WINDOW c AS (PARTITION BY customer_id ORDER BY purchase_date)"""
 
 
 @query("P5", "purchase_gaps",
@@ -128,13 +127,15 @@ def _(spark, sf):
 
 @query("P11", "cohort_retention",
        "cohort_month:d months_since_first:i cohort_size:i active_share:6", "tx", """
-    SELECT cohort_month, date_diff('month', cohort_month, month) AS months_since_first,
-           max(count(*)) OVER (PARTITION BY cohort_month) AS cohort_size,
-           count(*) / max(count(*)) OVER (PARTITION BY cohort_month) AS active_share
-    FROM (SELECT *, min(month) OVER (PARTITION BY customer_id) AS cohort_month
-          FROM (SELECT DISTINCT customer_id, CAST(date_trunc('month', date) AS DATE) AS month
-                FROM tx) AS m) AS c
-    GROUP BY cohort_month, month""")
+    SELECT f.m0 AS cohort_month, 12 * (year(a.m) - year(f.m0)) + month(a.m) - month(f.m0)
+             AS months_since_first, any_value(s.size) AS cohort_size,
+           count(DISTINCT a.customer_id) / any_value(s.size) AS active_share
+    FROM (SELECT customer_id, CAST(date_trunc('month', date) AS DATE) AS m FROM tx) AS a
+    JOIN (SELECT customer_id, CAST(date_trunc('month', min(date)) AS DATE) AS m0 FROM tx GROUP BY 1)
+      AS f USING (customer_id)
+    JOIN (SELECT m0, count(*) AS size FROM (SELECT customer_id, CAST(date_trunc('month', min(date))
+            AS DATE) AS m0 FROM tx GROUP BY 1) AS g GROUP BY 1) AS s ON s.m0 = f.m0
+    GROUP BY f.m0, a.m""")
 def _(spark, sf):
     return P.cohort_retention(R.transactions(spark, sf))
 

@@ -70,13 +70,12 @@ role_sql("days", "tx", """
     SELECT customer_id, date AS purchase_date, sum(amount) AS day_amount
     FROM tx GROUP BY 1, 2""")
 role_sql("rfm", "days", f"""
-    SELECT customer_id, CAST(count(*) - 1 AS DOUBLE) AS frequency,
-           (max(purchase_date) - min(first_day)) / 7.0 AS recency,
-           (DATE '{CAL_END}' - min(first_day)) / 7.0 AS "T",
-           coalesce(avg(day_amount) FILTER (WHERE purchase_date > first_day), 0) AS monetary_value
-    FROM (SELECT *, min(purchase_date) OVER (PARTITION BY customer_id) AS first_day
-          FROM days WHERE purchase_date <= DATE '{CAL_END}') AS m
-    GROUP BY customer_id""")
+    SELECT customer_id, CAST(n - 1 AS DOUBLE) AS frequency, (b - a) / 7.0 AS recency,
+           (DATE '{CAL_END}' - a) / 7.0 AS "T",
+           CASE WHEN n = 1 THEN 0 ELSE (total - opening) / (n - 1) END AS monetary_value
+    FROM (SELECT customer_id, count(*) AS n, min(purchase_date) AS a, max(purchase_date) AS b,
+                 sum(day_amount) AS total, min_by(day_amount, purchase_date) AS opening
+          FROM days WHERE purchase_date <= DATE '{CAL_END}' GROUP BY 1) AS per""")
 role_sql("holdout", "days", f"""
     SELECT customer_id, count(*) AS holdout_purchases FROM days
     WHERE purchase_date > DATE '{CAL_END}' AND purchase_date <= DATE '{HOLD_END}'
@@ -211,11 +210,10 @@ role_sql("lines", "extract_one extract_two", """
     SELECT * REPLACE (line_id * 2 AS line_id) FROM extract_one
     UNION ALL SELECT * REPLACE (line_id * 2 + 1 AS line_id) FROM extract_two""")
 role_sql("flags", "lines", f"""
-    SELECT line_id, customer_id IS NULL AS no_customer,
-           NOT regexp_matches(stock_code, '^[0-9]{{5}}') AS non_product,
-           row_number() OVER (PARTITION BY {', '.join(LINE_COLUMNS)} ORDER BY line_id) > 1
-             AS duplicate
-    FROM lines""")
+    SELECT l.line_id, l.customer_id IS NULL AS no_customer,
+           try_cast(left(stock_code, 5) AS INT) IS NULL AS non_product,
+           l.line_id <> min(l.line_id) OVER (PARTITION BY {', '.join(LINE_COLUMNS)}) AS duplicate
+    FROM lines AS l""")
 role_sql("kept", "lines flags", """
     SELECT lines.* FROM lines JOIN flags USING (line_id)
     WHERE NOT no_customer AND NOT non_product AND NOT duplicate""")

@@ -151,9 +151,9 @@ def audit_scores(scores: DataFrame, scored_at, model_version: str) -> DataFrame:
     wrong_tag = (F.col("scored_at") != F.lit(str(scored_at)).cast("date")) | (
         F.col("model_version") != model_version)
     return scores.agg(
-        F.count_if(missing).alias("nulls"),
-        F.count_if((F.col("p_alive") < 0) | (F.col("p_alive") > 1)).alias("bad_p_alive"),
-        F.count_if(~inside).alias("bad_interval"), F.count_if(wrong_tag).alias("bad_tags"))
+        F.count_if(missing).alias("incomplete"),
+        F.count_if((F.col("p_alive") < 0) | (F.col("p_alive") > 1)).alias("p_outside"),
+        F.count_if(~inside).alias("mean_outside"), F.count_if(wrong_tag).alias("wrong_tags"))
 
 
 def score_summary(scores: DataFrame) -> DataFrame:

@@ -200,7 +200,7 @@ def test_score_upsert(spark, tmp_path):
             for r in S.read_scores(spark, path).collect()}
     assert rows == {("a", "v1"): 0.5, ("b", "v1"): 0.9, ("a", "v2"): 0.5, ("b", "v2"): 0.6}
     audit = S.audit_scores(S.read_scores(spark, path), "2024-01-01", "v1").first()
-    assert (audit["nulls"], audit["bad_p_alive"], audit["bad_interval"], audit["bad_tags"]) == (
+    assert (audit["incomplete"], audit["p_outside"], audit["mean_outside"], audit["wrong_tags"]) == (
         0, 0, 0, 3)
 
 
