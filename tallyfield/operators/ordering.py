@@ -2,8 +2,8 @@
 
 A window with no (or a hot) partition key sends its rows to one task. Here rows are cut into range
 buckets of roughly equal size first, summed inside each bucket, and shifted by the totals of the
-buckets before. The cut points come from the rows with the smallest key hashes: a bounded sample that
-is the same on every evaluation, so a recomputed task lands in the same bucket.
+buckets before. The cut points come from rows chosen by the hash of their key: a bounded sample that is
+the same on every evaluation, so a recomputed task lands in the same bucket.
 """
 
 from __future__ import annotations
@@ -16,20 +16,33 @@ from pyspark.sql import functions as F
 
 from tallyfield.session import cut_lineage
 
-BUCKETS = 256
 SMALL = 50_000  # rows one task orders without trouble
+ROWS_PER_BUCKET = 500_000
+FEWEST, MOST = 256, 65_536  # buckets; the cut points of the most fit in a few megabytes
+PER_CUT = 4  # sampled rows per cut point
+
+
+def bucket_count(rows: int) -> int:
+    """Buckets for a table of so many rows: more rows, more buckets, of about equal size."""
+    return max(FEWEST, min(MOST, -(-rows // ROWS_PER_BUCKET)))
 
 
 def with_range_bucket(df: DataFrame, keys: Sequence[str], name: str = "_bucket",
-                      buckets: int = BUCKETS) -> DataFrame:
-    """Add a bucket number that grows with the ordering ``keys``."""
+                      rows: int | None = None) -> DataFrame:
+    """Add a bucket number that grows with the ordering ``keys``.
+
+    Rows whose key hash falls below a threshold make up the sample, so its expected size is fixed and
+    no row has to be compared with another to be drawn. ``rows`` is the size of ``df`` if known.
+    """
+    rows = df.count() if rows is None else rows
+    buckets = bucket_count(rows)
     key = F.struct(*[F.col(k) for k in keys])
-    sample = (df.select(key.alias("_key"))
-              .orderBy(F.xxhash64("_key"), "_key").limit(4 * buckets))
-    every = 4
+    draw = F.shiftrightunsigned(F.xxhash64("_key"), 11) / F.lit(float(2**53))
+    sample = df.select(key.alias("_key")).filter(
+        draw < F.lit(min(1.0, PER_CUT * buckets / max(rows, 1))))
     cuts = sample.agg(F.sort_array(F.collect_list("_key")).alias("all")).select(
-        F.filter("all", lambda _, i: i % every == every - 1))
-    steps = [1 << i for i in range(buckets.bit_length() - 1, -1, -1)]
+        F.filter("all", lambda _, i: i % PER_CUT == PER_CUT - 1))
+    steps = [1 << i for i in range((2 * buckets).bit_length() - 1, -1, -1)]
 
     def halve(pos: Column, step: Column) -> Column:
         at = pos + step
@@ -42,7 +55,7 @@ def with_range_bucket(df: DataFrame, keys: Sequence[str], name: str = "_bucket",
 
 
 def cumulate(df: DataFrame, order: Sequence[str], sums: dict[str, str],
-             by: Sequence[str] = (), buckets: int = BUCKETS, written: bool = False) -> DataFrame:
+             by: Sequence[str] = (), written: bool = False) -> DataFrame:
     """Running sums in ascending ``order`` inside each ``by`` group.
 
     ``sums`` maps a new column to the column it accumulates. ``by`` plus ``order`` must identify a
@@ -53,10 +66,11 @@ def cumulate(df: DataFrame, order: Sequence[str], sums: dict[str, str],
     """
     by, order = list(by), list(order)
     table = df if written else cut_lineage(df)
-    if table.count() <= SMALL:
+    size = table.count()
+    if size <= SMALL:
         run = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
         return table.select("*", *[F.sum(c).over(run).alias(out) for out, c in sums.items()])
-    rows = with_range_bucket(table, by + order, buckets=buckets)
+    rows = with_range_bucket(table, by + order, rows=size)
     local = W.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     totals = rows.groupBy(*by, "_bucket").agg(
         *[F.sum(src).alias(f"_t_{out}") for out, src in sums.items()])

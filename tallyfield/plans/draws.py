@@ -155,6 +155,20 @@ def _(spark, sf):
     return I.stratified_bootstrap(R.experiment(spark, sf), stat, ["customer_id"], ["segment"], 25)
 
 
+@query("I8", "bootstrap_interval", "lower:6 upper:6 se:6 resamples:i not_finite:i", "experiment", f"""
+    SELECT quantile_cont(value, 0.025) AS lower, quantile_cont(value, 0.975) AS upper,
+           stddev_samp(value) AS se, count(*) AS resamples, 0 AS not_finite
+    FROM (SELECT b, max(spend) FILTER (WHERE w > 0) - sum(w * spend) / sum(w) AS value
+          FROM (SELECT *, {poisson_sql(R.sql_uniform('gap', 'customer_id', 'b'))} AS w
+                FROM (SELECT *, unnest(range(1, 41)) AS b FROM experiment) AS x) AS y
+          GROUP BY b) AS z""")
+def _(spark, sf):
+    def stat(w):
+        return F.max("spend") - F.sum(F.col(w) * F.col("spend")) / F.sum(w)
+    boot = I.stratified_bootstrap(R.experiment(spark, sf), stat, ["customer_id"], (), 40, "gap")
+    return I.bootstrap_interval(boot)
+
+
 @query("I9", "verdict", "key:i p_above:6 verdict:s", "draws", """
     SELECT key, p_above, CASE WHEN p_above >= 0.9 THEN 'pays back' WHEN p_above <= CAST(1 AS DOUBLE)
              - CAST(0.9 AS DOUBLE) THEN 'does not pay back' ELSE 'undecided' END AS verdict

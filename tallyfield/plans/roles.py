@@ -410,6 +410,7 @@ role_sql("experiment", "tx customers", f"""
 
 
 # ---- geo panel: nation x month -------------------------------------------------------------------
+# The log ends on the first day of August 2001; that partial month is left out.
 TREATED_REGION = 1
 
 
@@ -441,6 +442,7 @@ role_sql("panel", "", f"""
 
 
 # ---- weekly media: orders by priority --------------------------------------------------------------
+# Weeks run to the last full week of the orders; shipments go on later and are left out after it.
 MEDIA = {"1-URGENT": "tv", "2-HIGH": "search", "3-MEDIUM": "social", "4-NOT SPECIFIED": "display",
          "5-LOW": "email"}
 MEDIA_EPOCH = "1995-01-02"  # a Monday

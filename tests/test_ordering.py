@@ -89,3 +89,9 @@ def test_asof_null_keys_never_match(spark):
     right = spark.createDataFrame([(5, None, "2024-01-01")], "rid int, k int, u string").withColumn(
         "u", F.col("u").cast("timestamp"))
     assert asof_left_join(left, right, ["k"], "t", "u", "rid", ["rid"]).first()["rid"] is None
+
+
+def test_more_rows_get_more_buckets():
+    assert O.bucket_count(10) == 256
+    assert O.bucket_count(500_000 * 1000) == 1000
+    assert O.bucket_count(10**13) == 65_536
