@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyfield.llm.common import table
+from pyspark.sql import functions as F
+
+from tallyfield.llm.common import fold, table
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,13 +15,37 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op5_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyfield.llm.toxic_segments import fit, score_toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit(docs, labels.where(fold("doc_id", 3) != 1))
+    return score_toxicity(docs, model).select(
+        "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted",
+        F.size("passages").cast("long").alias("n_passages"))
+
+
+def op7_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from tallyfield.llm.lp_packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyfield.llm.fuzzy_lines import line_groups
+
+    return line_groups(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyfield.llm.exact_dedup import exact_duplicates
 
     return exact_duplicates(table(spark, sf_dir, "documents"), keep="max")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op5_toxic_segments, op7_lp_packing, op8_fuzzy_line_dedup,
+                                  op9_exact_dedup)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": """

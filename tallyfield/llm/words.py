@@ -68,14 +68,14 @@ class Words:
     first: np.ndarray
 
 
-def words_of(texts: pa.StringArray) -> Words:
-    """Words of every row of a string array without nulls."""
+def words_of(texts: pa.StringArray, fold: np.ndarray = _LOWER, letters: np.ndarray = _WORD) -> Words:
+    """Words of every row of a string array without nulls; ``fold`` maps bytes, ``letters`` marks word bytes."""
     n = len(texts)
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + n + 1].astype(np.int64)
     raw = texts.buffers()[2]
-    data = _LOWER[np.frombuffer(raw, np.uint8)[offsets[0]:offsets[-1]]] if raw is not None else _LOWER[:0]
+    data = fold[np.frombuffer(raw, np.uint8)[offsets[0]:offsets[-1]]] if raw is not None else fold[:0]
     offsets = offsets - offsets[0]
-    inside = _WORD[data]
+    inside = letters[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     stops = inside.copy()
@@ -99,3 +99,13 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     for j in range(k):
         out = mix(out * np.uint64(_ODD) + words[j:len(words) - k + 1 + j] + np.uint64(1))
     return out
+
+
+def run_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One hash for each run [start, end) of word hashes, in order."""
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    up, down = _power_tables(len(words))
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * up[:len(words)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[np.minimum(starts, len(down) - 1)] + (ends - starts).astype(np.uint64))
