@@ -15,6 +15,12 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op2_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyfield.llm.brown_lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), fold("doc_id", 7) == 2)
+
+
 def op5_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyfield.llm.toxic_segments import fit, score_toxicity
 
@@ -25,6 +31,14 @@ def op5_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("passages").cast("long").alias("n_passages"))
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from tallyfield.llm.byte_bpe import encoded_digests
+
+    return encoded_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                           public_tokenizers.PATTERN)
+
+
 def op7_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from tallyfield.llm.lp_packing import pack_documents
@@ -44,7 +58,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"), keep="max")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op5_toxic_segments, op7_lp_packing, op8_fuzzy_line_dedup,
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_brown_lm, op5_toxic_segments, op6_byte_bpe, op7_lp_packing, op8_fuzzy_line_dedup,
                                   op9_exact_dedup)}
 
 ORACLE_SQL = {
