@@ -84,16 +84,17 @@ class Knapsack:
                 c -= int(self.sizes[k])
         return counts
 
-    def near_best(self, slack: float):
-        """Patterns within ``slack`` of the dearest one's price, the dearest first, by their first length."""
+    def near_best(self, slack: float, taken: np.ndarray):
+        """Patterns within ``slack`` of the dearest one's price, the dearest first, by a first length not ``taken`` yet."""
         total = self.prices + self.worth[self.capacity - self.sizes]
         for k in np.argsort(-total, kind="stable"):
             if total[k] < (1 - slack) * total.max():
                 return
-            yield self.pattern(int(k))
+            if not taken[k]:
+                yield self.pattern(int(k))
 
 
-def solve_configurations(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 400,
+def solve_configurations(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 100,
                          step: float = 0.5) -> list[tuple[np.ndarray, int]]:
     """Patterns with the whole number of times that each is used; together they never exceed ``demand``.
 
@@ -108,14 +109,16 @@ def solve_configurations(lengths: np.ndarray, demand: np.ndarray, capacity: int,
         rounds -= 1
         prices = lengths * np.exp(-(covered - covered.min()) / step)
         taken = np.zeros(len(lengths), bool)
-        for counts in Knapsack(prices, lengths, capacity).near_best(step):
-            used = counts > 0
-            if (taken & used).any() or (counts > demand).any():
+        for counts in Knapsack(prices, lengths, capacity).near_best(step, taken):
+            used = np.flatnonzero(counts)
+            if taken[used].any() or (counts[used] > demand[used]).any():
                 continue
-            taken |= used
+            taken[used] = True
             times = step * float(np.min(demand[used] / counts[used]))
             covered[used] += times * counts[used] / demand[used]
             patterns.setdefault(counts.tobytes(), [counts, 0.0])[1] += times
+        if not taken.any():
+            break  # the prices would stay as they are
     # a pattern's share that the fullest of its lengths allows
     left, out = demand.copy(), []
     for counts, times in patterns.values():

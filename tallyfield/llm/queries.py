@@ -58,8 +58,15 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op10_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyfield.llm.crf_pii import find_pii, fit
+
+    docs = table(spark, sf_dir, "documents")
+    return find_pii(docs, fit(docs))
+
+
 QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_brown_lm, op5_toxic_segments, op6_byte_bpe, op7_lp_packing, op8_fuzzy_line_dedup,
-                                  op9_exact_dedup)}
+                                  op9_exact_dedup, op10_crf_pii)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": """
