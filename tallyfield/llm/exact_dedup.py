@@ -1,9 +1,9 @@
 """Exact dedup by 128-bit content hash, with the bytes compared inside every group.
 
-Only DataFrame functions: texts are hashed where they are read, groups are formed from (hash, id) with
-partial aggregation, and only texts whose hash occurs more than once are read again. Those are grouped by
-hash *and* text: the map-side aggregate folds a task's copies into one row, so a hot text costs each task
-one row, and equal hashes of different bytes come out as different groups.
+Only DataFrame functions. Rows are grouped by hash *and* text, so the bytes are compared by the aggregate itself:
+map-side it folds a task's copies into one row, a hot text costs each task one row, and equal hashes of
+different bytes come out as different groups. The rows then find their group by the hash alone; only where a
+hash has several texts (tests use a weak hash for that) are they matched by the text as well.
 """
 
 from __future__ import annotations
@@ -32,21 +32,18 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     light = rewritten(rows.select("doc_id", hash_of(F.col("text")).alias("h"),
                                   F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")))
-    shared = (light.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-              .select(F.col("h").alias("shared_h")))
     members = rows.withColumn("h", hash_of(F.col("text")))
     classes = rewritten(
-        members.join(shared, F.col("h") == F.col("shared_h"), "left_semi")
-        .groupBy("h", "text").agg(pick("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        .select("h", F.sha2(F.col("text").cast("binary"), 256).alias("class_sha256"), F.col("text").alias("t"),
-                "keep_id", "group_size"))
+        members.groupBy("h", "text").agg(pick("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+        .drop("text"))
     collided = rewritten(classes.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1").select("h"))
     alone = classes.join(collided, "h", "left_anti").select("h", "keep_id", "group_size")
     simple = (light.join(collided, "h", "left_anti").join(alone, "h", "left")
               .select("doc_id", "keep_id", "group_size", "text_sha256"))
-    apart = (members.join(collided, "h", "left_semi")
-             .join(classes.withColumnRenamed("h", "class_h"),
-                   (F.col("h") == F.col("class_h")) & (F.col("text") == F.col("t")))
+    apart = (members.join(collided, "h", "left_semi").groupBy("h", "text")
+             .agg(pick("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+             .join(members.select("doc_id", F.col("h").alias("own_h"), F.col("text").alias("own")),
+                   (F.col("h") == F.col("own_h")) & (F.col("text") == F.col("own")))
              .select("doc_id", "keep_id", "group_size",
                      F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")))
     whole = simple.unionByName(apart)

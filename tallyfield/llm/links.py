@@ -7,10 +7,10 @@ ends are not yet connected and returns the component of every linked node:
    *neighbourhoods*: candidates always share one;
 2. neighbourhoods are dealt to bins of about ``BIN`` nodes (a larger one is split over several bins by the
    node's hash) and each bin is compared in one task, which emits a spanning forest of the links it found;
-3. buckets that span several bins of a split neighbourhood and are still in several components are compared
-   directly, in pairs of blocks of at most ``BIN`` nodes.
+3. in a split neighbourhood, nodes outside its largest component visit the other bins that hold nodes of their buckets and
+   are compared with those, at most ``BIN`` visitors in a task. Two nodes of the largest component need no test any more.
 
-So a bin holds a bounded number of nodes, and rows grow with the nodes and keys, not with their pairs.
+So a task holds a bounded number of nodes, and rows grow with the nodes and keys, not with their pairs.
 """
 
 from __future__ import annotations
@@ -115,8 +115,9 @@ def linked_components(members: DataFrame, payload_of: Callable[[DataFrame], Data
     """``node``, ``root`` of all nodes with a link.
 
     ``members(key, node)``: one row per bucket key of a node (repeats allowed). ``payload_of(nodes)`` adds to
-    ``nodes(node, q)`` what a comparison needs. ``open_bin(table)`` gives a bin's nodes x bands array, whose
-    columns agree where two nodes share a key, and its matcher.
+    ``nodes(node, q, bin, split)`` what a comparison needs, and ``keys``: the node's bucket keys, needed where ``split`` is true.
+    ``open_bin(table)`` gives a bin's nodes x bands array, whose columns agree where two nodes share a key, and
+    its matcher.
     """
     spans = (members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
              .where("low < high").select("key", "low"))
@@ -139,34 +140,34 @@ def linked_components(members: DataFrame, payload_of: Callable[[DataFrame], Data
 
     links = rewritten(nodes.groupBy("bin").applyInArrow(compare, "a long, b long"))
     first = rewritten(connected_components(links))
-    wide = nodes.where("split").select("node", "bin").join(first, "node", "left").select(
-        "node", "bin", F.coalesce("root", "node").alias("root"))
-    placed = members.join(wide, "node").select("key", "node", "bin", "root").distinct()
-    open_keys = (placed.groupBy("key").agg(F.min("bin").alias("b0"), F.max("bin").alias("b1"), F.min("root").alias("r0"),
-                                           F.max("root").alias("r1"), F.count("*").alias("n"))
-                 .where("b0 <> b1 and r0 <> r1").select("key", "n"))
-    rest = rewritten(placed.join(open_keys, "key").select(
-        "key", "node", "root", F.ceil(F.col("n") / BIN).alias("blocks")))
-    if rest.isEmpty():
+    wide = rewritten(nodes.where("split").select("node", "q", "bin", "keys").join(first, "node", "left")
+                     .select("node", "q", "bin", "keys", F.coalesce("root", "node").alias("root")))
+    if wide.isEmpty():
         return first
-    block = F.pmod(F.xxhash64("node", "key"), F.col("blocks"))
-    paired = (rest.withColumn("block", block)
-              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
-              .select("key", "node", "root", "block", F.least("block", "other").alias("i"),
-                      F.greatest("block", "other").alias("j")))
-
-    def compare_blocks(table: pa.Table) -> pa.Table:
+    hubs = (wide.groupBy("q", "root").agg(F.count("*").alias("n")).groupBy("q")
+            .agg(F.max(F.struct("n", "root"))["root"].alias("hub")))
+    placed = wide.select("node", "q", "bin", "root", F.explode("keys").alias("key"))
+    held = placed.select("key", "bin").distinct().withColumnRenamed("bin", "there")
+    visits = rewritten(placed.join(hubs, "q").where("root <> hub").select("node", "bin", "key").join(held, "key")
+                       .where("bin <> there").select("node", F.col("there").alias("bin")).distinct())
+    chunks = visits.groupBy("bin").agg(F.ceil(F.count("*") / BIN).cast("int").alias("chunks"))
+    calls = (visits.join(chunks, "bin")
+             .select("node", "bin", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), F.lit(True).alias("guest")))
+    hosts = (wide.select("node", "bin").join(chunks, "bin")
+             .select("node", "bin", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("guest")))
+    met = (calls.unionByName(hosts).join(wide.select("node", "root"), "node")
+           .join(nodes.where("split").drop("bin", "q", "split", "keys"), "node"))
+
+    def compare_guests(table: pa.Table) -> pa.Table:
         ids, roots = table["node"].to_numpy(), table["root"].to_numpy()
-        _, matcher = open_bin(table)
+        keys, matcher = open_bin(table)
         forest, seen = Forest(len(ids)), {}
         for x, r in enumerate(roots):
             forest.join(x, seen.setdefault(r, x))
-        side = table["block"].to_numpy()
-        whole = bool((side == side[0]).all())
-        return _edges(ids, links_within(np.zeros((len(ids), 1)), matcher, forest, None if whole else side))
+        guests = table["guest"].to_numpy(zero_copy_only=False)
+        return _edges(ids, links_within(keys, matcher, forest, guests))
 
-    more = (paired.join(nodes.drop("bin", "q", "split"), "node").groupBy("key", "i", "j")
-            .applyInArrow(compare_blocks, "a long, b long"))
+    more = met.groupBy("bin", "chunk").applyInArrow(compare_guests, "a long, b long")
     roots = first.select(F.col("node").alias("a"), F.col("root").alias("b"))
     return connected_components(roots.unionByName(more))
 

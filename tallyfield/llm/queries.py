@@ -21,6 +21,12 @@ def op2_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), fold("doc_id", 7) == 2)
 
 
+def op3_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyfield.llm.secret_forest import scan
+
+    return scan(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op5_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyfield.llm.toxic_segments import fit, score_toxicity
 
@@ -65,7 +71,7 @@ def op10_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(docs, fit(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_brown_lm, op5_toxic_segments, op6_byte_bpe, op7_lp_packing, op8_fuzzy_line_dedup,
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_brown_lm, op3_secret_forest, op5_toxic_segments, op6_byte_bpe, op7_lp_packing, op8_fuzzy_line_dedup,
                                   op9_exact_dedup, op10_crf_pii)}
 
 ORACLE_SQL = {
