@@ -27,6 +27,12 @@ def op3_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op4_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyfield.llm.media_chunks import store_and_read
+
+    return store_and_read(table(spark, sf_dir, "documents"))
+
+
 def op5_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyfield.llm.toxic_segments import fit, score_toxicity
 
@@ -71,7 +77,7 @@ def op10_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(docs, fit(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_brown_lm, op3_secret_forest, op5_toxic_segments, op6_byte_bpe, op7_lp_packing, op8_fuzzy_line_dedup,
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_brown_lm, op3_secret_forest, op4_media_chunks, op5_toxic_segments, op6_byte_bpe, op7_lp_packing, op8_fuzzy_line_dedup,
                                   op9_exact_dedup, op10_crf_pii)}
 
 ORACLE_SQL = {
