@@ -28,7 +28,7 @@ def standard_normal(salt: str, *keys: Column | str) -> Column:
 
 
 def poisson_one(u: Column) -> Column:
-    """Poisson(1) count by inverting the CDF at a uniform; the tail beyond 10 has mass 1e-8."""
+    """Poisson(1) count by inverting the CDF at a uniform of :func:`uniform`."""
     weight = F.lit(0)
     for cut in poisson_one_cuts():
         weight = weight + F.when(u >= F.lit(cut), 1).otherwise(0)
@@ -36,12 +36,14 @@ def poisson_one(u: Column) -> Column:
 
 
 def poisson_one_cuts() -> list[float]:
-    """CDF of Poisson(1) at 0..10."""
-    cdf, cuts = 0.0, []
-    for k in range(11):
-        cdf += math.exp(-1.0) / math.factorial(k)
-        cuts.append(round(cdf, 12))
-    return cuts
+    """CDF of Poisson(1) at 0, 1, ... as far as a 32-bit uniform can exceed it."""
+    cdf, cuts, term = 0.0, [], math.exp(-1.0)
+    while True:
+        cdf += term
+        if cdf > 1 - 1 / TWO_32:
+            return cuts
+        cuts.append(round(cdf, 15))
+        term /= len(cuts)
 
 
 def _col(c: Column | str) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyfield.functions.uniform import standard_normal, uniform
+from tallyfield.functions.uniform import uniform
 from tallyfield.operators.ordering import exact_quantiles, ranked
 from tallyfield.session import cut_lineage
 
@@ -137,6 +137,13 @@ def _zero_filled(credit: DataFrame, channels: Sequence[str], by: Sequence[str])
     return credit.groupBy(*by).agg(F.array(*cells).alias("c")).select(*by, F.inline("c"))
 
 
+def _only_listed(channels: Sequence[str], value: Column) -> Column:
+    """``value``, or an error for a journey through a channel that is not in the list: its credit would be lost."""
+    other = F.array_except("channels", F.array(*[F.lit(c) for c in channels]))
+    return F.when(F.size(other) > 0, F.raise_error(F.concat(
+        F.lit("a journey has channels that are not listed: "), F.array_join(other, ", ")))).otherwise(value)
+
+
 def heuristic_credit(facts: DataFrame, channels: Sequence[str], rule: str,
                      by: Sequence[str] = (), n: str | None = None) -> DataFrame:
     """Conversions credited to each channel by the last, first or linear rule."""
@@ -148,7 +155,7 @@ def heuristic_credit(facts: DataFrame, channels: Sequence[str], rule: str,
 def all_heuristics(facts: DataFrame, channels: Sequence[str], by: Sequence[str] = (),
                    n: str | None = None, rules: Sequence[str] = RULES) -> DataFrame:
     """The rules as long rows (method, channel, credit), all counted in one pass."""
-    w = (F.col(n) if n else F.lit(1)).cast("double")
+    w = _only_listed(channels, (F.col(n) if n else F.lit(1)).cast("double"))
 
     def touches_of(c: str) -> Column:
         return F.filter("per_channel", lambda x: x["channel"] == c)[0]["k"]
@@ -205,6 +212,9 @@ def markov(transitions: DataFrame, channels: Sequence[str], by: Sequence[str] =
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         q = np.zeros((len(states), len(states)))
         conv = np.zeros(len(states))
+        unknown = (set(pdf["s"]) | set(pdf["s2"])) - set(states) - {CONV, NULL}
+        if unknown:
+            raise ValueError(f"transitions pass through channels that are not listed: {sorted(unknown)}")
         for s, s2, p in zip(pdf["s"], pdf["s2"], pdf["p"], strict=True):
             if s in index and s2 in index:
                 q[index[s], index[s2]] = p
@@ -269,7 +279,8 @@ def shapley_credit(coalitions: DataFrame, channels: Sequence[str], by: Sequence[
     by = list(by)
     value = coalitions.select(*by, F.col("set").alias("_u"), F.col("rate").alias("_v"))
     won = coalitions.filter("conversions > 0")
-    mask = F.explode(F.sequence(F.lit(1), (F.pow(F.lit(2), F.col("size")) - 1).cast("int")))
+    fits = F.when(F.col("size") <= 62, F.col("size")).otherwise(F.raise_error(F.lit("a set has more than 62 channels")))
+    mask = F.explode(F.sequence(F.lit(1).cast("bigint"), (F.pow(F.lit(2.0), fits) - 1).cast("bigint")))
     subsets = won.select(*by, "channels", "size", "conversions", "rate", mask.alias("_m"))
     member = F.expr("filter(channels, (c, i) -> (shiftright(_m, i) & 1) = 1)")
     keyed = subsets.withColumn("_in", member).withColumn("_u", F.array_join("_in", " + "))
@@ -277,9 +288,10 @@ def shapley_credit(coalitions: DataFrame, channels: Sequence[str], by: Sequence[
     fallback = F.lit(float(absent)) if absent is not None else F.raise_error(F.concat(
         F.lit("no journey has exactly the channels "), F.col("_u")))
     k, n = F.size("_in"), F.col("size")
-    rest = F.greatest(n - k - 1, F.lit(0))
-    gives = F.factorial(k - 1) * F.factorial(n - k) / F.factorial(n)
-    takes = -(F.factorial(k) * F.factorial(rest) / F.factorial(n))
+    # 1 / (n * C(n - 1, k)), the product form has no factorial that could overflow
+    weight = lambda m: 1 / (n * F.aggregate(F.when(m > 0, F.sequence(F.lit(1), m)).otherwise(F.array().cast("array<int>")),
+                                            F.lit(1.0), lambda c, i: c * (n - 1 - m + i) / i))
+    gives, takes = weight(k - 1), -weight(k)
     rows = joined.withColumn("_v", F.when(F.col("_v").isNull(), fallback).otherwise(F.col("_v")))
     rows = rows.withColumn("channel", F.explode("channels"))
     part = F.when(F.array_contains("_in", F.col("channel")), gives).otherwise(takes)
@@ -328,49 +340,41 @@ def credit_vs_truth(credit: DataFrame, truth: DataFrame) -> DataFrame:
         F.col("_w.g").alias("largest_gap"))
 
 
-POISSON_BLOCK, POISSON_EXACT = 500, 50_000
+POISSON_BLOCK = 500
 
 
-def poisson_weight(n: Column, salt: str, *keys: Column | str) -> Column:
-    """Poisson(n): the total weight of n equal journeys, each drawn Poisson(1) times.
+def poisson_block(m: Column, u: Column) -> Column:
+    """Poisson(m) count for m up to POISSON_BLOCK by inverting the CDF at the uniform ``u``."""
+    m = m.cast("double")
+    none = F.exp(-m)
+    start = F.struct(none.alias("pmf"), none.alias("cdf"), F.when(u >= none, 1).otherwise(0).alias("k"))
 
-    Blocks of 500 journeys are drawn exactly by inverting the CDF at a hash uniform and added up.
-    Above 50,000 equal journeys a rounded normal draw stands in for the sum.
-    """
-    def block(i: Column) -> Column:
-        m = F.least(F.lit(POISSON_BLOCK), n - i * POISSON_BLOCK).cast("double")
-        u = uniform(salt, *keys, i)
-        none = F.exp(-m)
-        start = F.struct(none.alias("pmf"), none.alias("cdf"),
-                         F.when(u >= none, 1).otherwise(0).alias("k"))
-
-        def step(acc: Column, j: Column) -> Column:
-            pmf = acc["pmf"] * m / j
-            cdf = acc["cdf"] + pmf
-            return F.struct(pmf.alias("pmf"), cdf.alias("cdf"),
-                            (acc["k"] + F.when(u >= cdf, 1).otherwise(0)).alias("k"))
-
-        last = (m + 8 * F.sqrt(m) + 10).cast("int")  # beyond it less than 1e-14 is left
-        return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["k"])
-
-    blocks = F.sequence(F.lit(0), F.floor(
-        (F.least(n, F.lit(POISSON_EXACT)) - 1) / POISSON_BLOCK).cast("int"))
-    exact = F.aggregate(F.transform(blocks, block), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    z = standard_normal(salt, *keys)
-    large = F.greatest(F.lit(0.0), F.round(n + F.sqrt(n.cast("double")) * z)).cast("bigint")
-    return F.when(n <= POISSON_EXACT, exact).otherwise(large)
+    def step(acc: Column, j: Column) -> Column:
+        pmf = acc["pmf"] * m / j
+        cdf = acc["cdf"] + pmf
+        return F.struct(pmf.alias("pmf"), cdf.alias("cdf"),
+                        (acc["k"] + F.when(u >= cdf, 1).otherwise(0)).alias("k"))
+
+    last = (m + 8 * F.sqrt(m) + 10).cast("int")  # beyond it less than 1e-14 is left
+    return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["k"])
 
 
 def resampled_counts(counts: DataFrame, resamples: int, salt: str = "journeys") -> DataFrame:
-    """Path counts of every resample b: distinct paths times resamples, not journeys.
+    """Path counts ``w`` of every resample b, each journey drawn Poisson(1) times.
 
-    The counts are few rows with much work each, so they are spread over all cores first.
+    The n equal journeys of a path are drawn in blocks of POISSON_BLOCK, a row each, and added up: the draw is exact for
+    any n, and a path with very many journeys is work for many tasks.
     """
-    cores = counts.sparkSession.sparkContext.defaultParallelism
-    rows = counts.repartition(cores).select("*", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"))
-    key = F.array_join("path", ">")
-    return rows.withColumn("w", poisson_weight(F.col("n"), salt, key, "converted", "b")).filter(
-        "w > 0")
+    spark = counts.sparkSession
+    last = F.floor((F.col("n") - 1) / POISSON_BLOCK).cast("bigint")
+    rows = (counts.select("*", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"))
+            .select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("_block"))
+            # few bytes, much work: keep the partitions that were asked for
+            .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "converted", "b", "_block"))
+    size = F.least(F.lit(POISSON_BLOCK), F.col("n") - F.col("_block") * POISSON_BLOCK)
+    u = uniform(salt, F.array_join("path", ">"), "converted", "b", "_block")
+    drawn = rows.withColumn("_w", poisson_block(size, u)).filter("_w > 0")
+    return drawn.groupBy(*counts.columns, "b").agg(F.sum("_w").cast("bigint").alias("w"))
 
 
 def bootstrap_credit(counts: DataFrame, channels: Sequence[str], resamples: int = 200,

@@ -91,7 +91,7 @@ def purchases(lines: DataFrame, flags: DataFrame, matches: DataFrame,
         raise ValueError("unit is 'day', 'invoice' or 'line'")
     unknown = set(keep_rules) - {"non_product", "duplicate", "cancellation"}
     if unknown:
-        raise ValueError(f"unknown rules {sorted(unknown)}")
+        raise ValueError(f"keep_rules names no cleaning rule: {', '.join(sorted(unknown))}")
     drop = F.col("no_customer")
     for rule in ("non_product", "duplicate"):
         if rule not in keep_rules:
@@ -202,13 +202,18 @@ def variant_effects(scores: DataFrame, reference: str = "reference",
                     threshold: float = 0.10) -> DataFrame:
     """Per cleaning variant: change of the total, customers moved by more than the threshold.
 
-    ``scores`` is long: variant, customer_id, score, one row per variant and customer.
+    ``scores`` is long: variant, customer_id, score, one row per variant and customer. Totals are over all customers
+    of the variant and of the reference. A reference customer whom the variant lacks has moved; one whom
+    only the variant has counts in its total alone.
     """
-    both = _with_reference(scores, reference)
-    ratio = F.try_divide("score", "ref")
-    return both.groupBy("variant").agg(
-        (100 * (F.sum("score") / F.sum("ref") - 1)).alias("total_change_pct"),
-        F.count_if(F.abs(ratio - 1) > threshold).alias("customers_moved"))
+    ref = _reference_scores(scores, reference)
+    whole = ref.agg(F.count(F.lit(1)).alias("n"), F.sum("ref").alias("total"))
+    near = F.coalesce(F.abs(F.try_divide("score", "ref") - 1) <= threshold, F.lit(False))
+    per = scores.join(ref, "customer_id", "left").groupBy("variant").agg(
+        F.sum("score").alias("_sum"), F.count_if(F.col("ref").isNotNull() & near).alias("_stayed"))
+    return (per.withColumn("_ref", whole.select("total").scalar()).withColumn("_n", whole.select("n").scalar())
+            .select("variant", (100 * (F.col("_sum") / F.col("_ref") - 1)).alias("total_change_pct"),
+                    (F.col("_n") - F.col("_stayed")).alias("customers_moved")))
 
 
 def largest_changes(scores: DataFrame, reference: str = "reference") -> DataFrame:
@@ -226,10 +231,13 @@ def largest_changes(scores: DataFrame, reference: str = "reference") -> DataFram
         F.max(gap).alias("largest_change_abs"))
 
 
+def _reference_scores(scores: DataFrame, reference: str) -> DataFrame:
+    return scores.filter(F.col("variant") == reference).select("customer_id", F.col("score").alias("ref"))
+
+
 def _with_reference(scores: DataFrame, reference: str) -> DataFrame:
-    ref = scores.filter(F.col("variant") == reference).select("customer_id",
-                                                              F.col("score").alias("ref"))
-    return scores.join(ref, "customer_id")
+    """Scores of customers whom the reference has as well."""
+    return scores.join(_reference_scores(scores, reference), "customer_id")
 
 
 def largest_purchase_days(tx: DataFrame, k: int, wholesale: Column) -> DataFrame:
@@ -261,15 +269,15 @@ def contact_list_moves(scores: DataFrame, base: str, lift: float, margin: float,
                        cost: float) -> DataFrame:
     """Customers added to and dropped from the contact list by each variant.
 
-    A customer the variant does not score counts as score 0.
+    A customer whom a variant or the base does not score is not on its list, so a variant that shares nobody
+    with the base drops the whole list.
     """
     listed = F.coalesce(F.col("score"), F.lit(0.0)) * (lift * margin) > cost
     ref = scores.filter(F.col("variant") == base).select("customer_id", listed.alias("was"))
-    now = scores.filter(F.col("variant") != base).select("variant", "customer_id",
-                                                         listed.alias("now"))
-    on = now.join(ref, "customer_id").groupBy("variant").agg(
-        F.count_if(F.col("now") & ~F.col("was")).alias("added"),
-        F.count_if(F.col("now") & F.col("was")).alias("stayed"))
+    now = scores.filter(F.col("variant") != base).select("variant", "customer_id", listed.alias("now"))
+    was = F.coalesce("was", F.lit(False))
+    on = now.join(ref, "customer_id", "left").groupBy("variant").agg(
+        F.count_if(F.col("now") & ~was).alias("added"), F.count_if(F.col("now") & was).alias("stayed"))
     size = ref.agg(F.count_if("was").alias("n")).scalar()
     return on.withColumn("_n", size).select(
         "variant", "added", (F.col("_n") - F.col("stayed")).alias("dropped"),

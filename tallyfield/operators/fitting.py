@@ -1,94 +1,95 @@
-"""Maximum likelihood: a small Newton loop on the driver, every evaluation one Spark aggregate."""
+"""Maximum likelihood by a damped Newton method, every evaluation one Spark aggregate."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LOG_BOUND = 25.0  # |log parameter| beyond which there is no finite maximum
-GRADIENT_TOLERANCE = 1e-6
-
 
 class FitError(RuntimeError):
-    """The likelihood has no maximum at finite parameters, or the search did not converge."""
+    """The likelihood rises without end, or the steps did not settle."""
+
 
+@dataclass(frozen=True)
+class Derivatives:
+    """One case's log-likelihood as columns: value, first derivatives and second ones by name pair.
 
-def maximize(data: DataFrame, weight: str, names: Sequence[str], start: Sequence[float],
-             loglik: Callable[[dict[str, Column]], Column],
-             gradient: Callable[[dict[str, Column]], list[Column]], steps: int = 80
-             ) -> dict[str, float]:
-    """Maximize the weighted mean log-likelihood over log parameters.
+    Absent pairs are zero; of (a, b) and (b, a) one is enough.
+    """
 
-    ``data`` holds distinct cases with their count in ``weight``. One job per Newton step evaluates
-    the new point and the shifted points of a central-difference Hessian; only a step that lowers the
-    likelihood costs another job, which tries several lengths at once. The points travel as a literal
-    array, so Spark compiles the expression only once.
+    value: Column
+    first: Mapping[str, Column]
+    second: Mapping[tuple[str, str], Column]
+
+
+def totals(data: DataFrame, weight: str, names: Sequence[str], model: Callable[[dict[str, Column]], Derivatives],
+           params: Mapping[str, float]) -> tuple[float, np.ndarray, np.ndarray]:
+    """Weighted mean log-likelihood of ``data`` at ``params``, its gradient and Hessian, in one aggregate."""
+    # the parameters come as a column, so that Spark compiles the expressions once for all steps
+    at = F.struct(*[F.lit(float(params[n])).alias(n) for n in names])
+    d = model({n: F.col(f"_p.{n}") for n in names})
+    w = F.col(weight)
+    sums = {"value": d.value, **{f"g_{n}": c for n, c in d.first.items()},
+            **{f"h_{a}_{b}": c for (a, b), c in d.second.items()}}
+    rows = data.select("*", F.explode(F.array(at)).alias("_p"))
+    row = rows.agg(F.sum(w).alias("weight"), *[F.sum(w * c).alias(n) for n, c in sums.items()]).first()
+    grad = np.array([row[f"g_{n}"] if n in d.first else 0.0 for n in names])
+    hess = np.zeros((len(names), len(names)))
+    for a, b in d.second:
+        i, j = names.index(a), names.index(b)
+        hess[i, j] = hess[j, i] = row[f"h_{a}_{b}"]
+    return row["value"] / row["weight"], grad / row["weight"], hess / row["weight"]
+
+
+def maximize(data: DataFrame, weight: str, names: Sequence[str], start: Mapping[str, float],
+             model: Callable[[dict[str, Column]], Derivatives], steps: int = 200,
+             settled: float = 1e-8, farthest: float = 1e11) -> dict[str, float]:
+    """Positive parameters that maximize the weighted log-likelihood of ``data`` (distinct cases with counts).
+
+    Works on the logarithms. A step solves the Newton system with its diagonal loaded until the quadratic
+    model falls in all directions; the load shrinks when a step gains about what the model promised and grows when it
+    does not. Settled means that a Newton step would gain less than ``settled`` squared.
     """
     names = list(names)
-    k = len(names)
-    total = float(data.agg(F.sum(weight)).first()[0])
-
-    at = {n: F.col(f"_p.{n}") for n in names}
-    sums = [F.sum(F.col(weight) * loglik(at)).alias("ll"),
-            *[F.sum(F.col(weight) * g).alias(f"g{i}") for i, g in enumerate(gradient(at))]]
-
-    def evaluate(points: Sequence[np.ndarray]):
-        array = F.array(*[F.struct(F.lit(i).alias("point"), *[
-            F.lit(float(np.exp(v))).alias(n) for n, v in zip(names, p, strict=True)])
-            for i, p in enumerate(points)])
-        rows = data.select("*", F.explode(array).alias("_p"))
-        got = rows.groupBy("_p.point").agg(*sums).collect()
-        value = np.full(len(points), -np.inf)
-        grad = np.zeros((len(points), k))
-        for row in got:
-            i = row["point"]
-            value[i] = row["ll"] / total
-            grad[i] = [row[f"g{j}"] / total for j in range(k)] * np.exp(points[i])
-        return value, grad
-
-    h = 1e-5
-    around = [np.zeros(k)] + [s * h * np.eye(k)[j] for j in range(k) for s in (1, -1)]
-
-    def derivatives(at: np.ndarray):
-        value, grad = evaluate([at + d for d in around])
-        hess = np.array([(grad[1 + 2 * j] - grad[2 + 2 * j]) / (2 * h) for j in range(k)])
-        return value[0], grad[0], 0.5 * (hess + hess.T)
-
-    theta = np.log(np.asarray(start, dtype=float))
-    base, g, hess = derivatives(theta)
+
+    def look(theta: np.ndarray):
+        p = np.exp(theta)
+        value, grad, hess = totals(data, weight, names, model, dict(zip(names, p, strict=True)))
+        grad = grad * p
+        return value, grad, hess * np.outer(p, p) + np.diag(grad)
+
+    theta = np.log([float(start[n]) for n in names])
+    value, grad, hess = look(theta)
+    load = 1e-3
     for _ in range(steps):
-        if not np.isfinite(base) or np.max(np.abs(theta)) > LOG_BOUND:
-            raise FitError(f"no maximum at finite parameters: {_named(names, theta)}")
-        curve, axes = np.linalg.eigh(hess)
-        step = axes @ ((axes.T @ g) / np.maximum(np.abs(curve), 1e-9))
-        if np.max(np.abs(step)) < 1e-9 or np.max(np.abs(g)) < 1e-12:
-            break
-        step *= min(1.0, 2.0 / np.max(np.abs(step)))
-        noise = 1e-12 * max(1.0, abs(base))
-        ahead = derivatives(theta + step)
-        if not ahead[0] >= base - noise:
-            lengths = [0.5, 0.25, 0.0625, 0.015625]
-            tried, _unused = evaluate([theta + s * step for s in lengths])
-            best = int(np.argmax(np.where(np.isfinite(tried), tried, -np.inf)))
-            if not tried[best] >= base - noise:
+        bend = -np.linalg.eigvalsh(hess)
+        size = max(float(np.abs(bend).max()), 1e-12)
+        safe = max(load * size, 1e-9 * size - float(bend.min()))
+        step = np.linalg.solve(safe * np.eye(len(names)) - hess, grad)
+        promise = float(grad @ step + 0.5 * step @ hess @ step)
+        if bend.min() > 0 and grad @ np.linalg.solve(-hess, grad) < settled**2:
+            return {n: float(np.exp(t)) for n, t in zip(names, theta, strict=True)}
+        step *= min(1.0, 3.0 / float(np.abs(step).max()))
+        new = look(theta + step)
+        gain = new[0] - value
+        if not np.isfinite(new[0]) or gain < -1e-13 * max(1.0, abs(value)):
+            load *= 8
+            if load > 1e12:
                 break
-            step = lengths[best] * step
-            ahead = derivatives(theta + step)
-        theta = theta + step
-        base, g, hess = ahead
-    if np.max(np.abs(theta)) > LOG_BOUND:
-        raise FitError(f"no maximum at finite parameters: {_named(names, theta)}")
-    if not np.max(np.abs(g)) < GRADIENT_TOLERANCE or not np.all(np.linalg.eigvalsh(hess) < 0):
-        raise FitError(f"did not converge (largest gradient {np.max(np.abs(g)):.2g}) at"
-                       f" {_named(names, theta)}")
-    return {n: float(np.exp(t)) for n, t in zip(names, theta, strict=True)}
-
-
-def _named(names: Sequence[str], theta: np.ndarray) -> str:
-    return ", ".join(f"{n} = {np.exp(t):.4g}" for n, t in zip(names, theta, strict=True))
+            continue
+        load = max(load / 6, 1e-14) if gain > 0.5 * promise else load * 2 if gain < 0.1 * promise and promise > 1e-12 else load
+        theta, (value, grad, hess) = theta + step, new
+        if np.exp(np.abs(theta).max()) > farthest:
+            raise FitError(f"the likelihood still rises at {_shown(names, theta)}: no finite maximum")
+    raise FitError(f"not settled after the last step, at {_shown(names, theta)}")
+
+
+def _shown(names: Sequence[str], theta: np.ndarray) -> str:
+    return ", ".join(f"{n}={np.exp(t):.3g}" for n, t in zip(names, theta, strict=True))
 
 
 def parameter_table(like: DataFrame, params: dict[str, float], **tags: str) -> DataFrame:

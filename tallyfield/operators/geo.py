@@ -75,27 +75,25 @@ def event_study(panel: DataFrame, start, outcome: str = "sales") -> DataFrame:
 def simplex_weights(y: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Weights >= 0 that sum to 1 and minimize |y - x w|^2.
 
-    Starts from equal weights, moves by accelerated projected gradient steps on the Gram matrix, then
-    solves the equality problem exactly on the support that is left.
+    Accelerated projected gradient steps from the unit closest to the target, on the Gram matrix divided by its
+    trace; then the equality problem is solved exactly on the support that is left. An error if the steps do not settle.
     """
-    scale = float(np.abs(y).mean()) or 1.0
-    y, x = y / scale, x / scale
     gram, cross = x.T @ x, x.T @ y
-    k = len(cross)
-    rate = 1.0 / max(float(np.linalg.eigvalsh(gram)[-1]), 1e-12)
-    w = np.full(k, 1.0 / k)
-    ahead, t = w.copy(), 1.0
-    for _ in range(20_000):
-        new = _to_simplex(ahead - rate * (gram @ ahead - cross))
-        t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        if (ahead - new) @ (new - w) > 0:  # restart when momentum points uphill
-            t_new = 1.0
-        ahead = new + (t - 1) / t_new * (new - w)
-        moved = np.max(np.abs(new - w))
-        w, t = new, t_new
-        if moved < 1e-13:
-            break
-    return _polish(w, gram, cross)
+    size = float(np.trace(gram)) or 1.0
+    gram, cross = gram / size, cross / size
+    rate = 1.0 / max(float(np.linalg.norm(gram, 2)), 1e-12)
+    w = np.zeros(len(cross))
+    w[int(np.argmin(np.diag(gram) - 2 * cross))] = 1.0
+    probe, inertia = w, 0
+    for _ in range(200_000):
+        nearer = _to_simplex(probe - rate * (gram @ probe - cross))
+        change = nearer - w
+        # momentum starts again when it points uphill
+        inertia = 0 if (probe - nearer) @ change > 0 else inertia + 1
+        probe, w = nearer + inertia / (inertia + 3) * change, nearer
+        if np.abs(change).max() < 1e-13:
+            return _polish(w, gram, cross)
+    raise RuntimeError("the weights did not settle")
 
 
 def _to_simplex(v: np.ndarray) -> np.ndarray:

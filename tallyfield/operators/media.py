@@ -223,45 +223,74 @@ def next_lift_test(before: DataFrame, after: DataFrame, moves: DataFrame, stakes
 
 # ---- budgets ----------------------------------------------------------------------------------------
 def optimal_allocation(curves: DataFrame, budget: float, keys: Sequence[str] = ("scenario",),
-                       margin: float = 1.0, steps: int = 200) -> DataFrame:
+                       margin: float = 1.0) -> DataFrame:
     """Split a budget over channels with concave responses, within bounds, for every scenario.
 
-    ``curves``: keys, channel, beta, lam, scale, lower, upper, linear. All channels strictly inside
-    their bounds share one marginal value, found by bisection. A scenario is an array of its channels,
-    so this is one expression per scenario; a budget outside the bounds is an error.
+    ``curves``: keys, channel, beta, lam, scale, lower, upper, linear. A channel starts to take more than its lower
+    bound when the common marginal value ``eta`` falls below the channel's marginal there, and is full at its marginal at the upper
+    bound. Sorted, these values cut eta into segments in which the same channels are active, and the spend at the
+    cuts tells the segment; inside it eta solves one smooth equation. A scenario is one row with its channels, so
+    scenarios are independent. A budget that the bounds do not allow is an error.
     """
     keys = list(keys)
-    slope = F.lit(margin) * F.col("beta") * F.col("lam") / (2 * F.col("scale"))
-    c = F.struct("channel", "lower", "upper", F.col("linear"), slope.alias("k"),
-                 (2 * F.col("scale") / F.col("lam")).alias("width"))
-    rows = curves.groupBy(*keys).agg(F.sort_array(F.collect_list(c)).alias("c"),
-                                     F.max(slope + F.col("linear")).alias("top"),
-                                     F.least(F.lit(0.0), F.min("linear")).alias("bottom"),
-                                     F.sum("lower").alias("least"), F.sum("upper").alias("most"))
-
-    def spend(ch: Column, eta: Column) -> Column:
-        ratio = (eta - ch["linear"]) / ch["k"]
-        free = F.when(ratio >= 1, F.lit(0.0)).when(ratio <= 0, ch["upper"]).otherwise(
-            ch["width"] * F.atanh(F.sqrt(1 - ratio)))
-        return F.least(ch["upper"], F.greatest(ch["lower"], free))
-
-    def total(eta: Column) -> Column:
-        return F.aggregate("c", F.lit(0.0), lambda acc, ch: acc + spend(ch, eta))
-
-    def halve(acc: Column, _: Column) -> Column:
-        mid = (acc["lo"] + acc["hi"]) / 2
-        over = total(mid) > budget
-        return F.struct(F.when(over, mid).otherwise(acc["lo"]).alias("lo"),
-                        F.when(over, acc["hi"]).otherwise(mid).alias("hi"))
-
-    ok = F.lit(budget).between(F.col("least") - 1e-9, F.col("most") + 1e-9)
-    start = F.struct(F.col("bottom").cast("double").alias("lo"), F.col("top").alias("hi"))
-    ends = F.when(ok, F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve)).otherwise(
-        F.raise_error(F.lit("budget is outside the range allowed by the bounds")))
-    solved = rows.withColumn("eta", (ends["lo"] + ends["hi"]) / 2)
-    each = F.transform("c", lambda ch: F.struct(ch["channel"].alias("channel"),
-                                                spend(ch, F.col("eta")).alias("spend")))
-    return solved.select(*keys, "eta", F.inline(each))
+    numbers = ("beta", "lam", "scale", "lower", "upper", "linear")
+    channel = F.struct("channel", *[F.col(c).cast("double").alias(c) for c in numbers])
+    rows = curves.groupBy(*keys).agg(F.sort_array(F.collect_list(channel)).alias("_c"))
+    flat = rows.select(*keys, *[F.col(f"_c.{c}").alias(f"_{c}") for c in ("channel", *numbers)])
+
+    def solve(parts):
+        for pdf in parts:
+            etas, spends = [], []
+            for _, *values in pdf[[f"_{c}" for c in ("channel", *numbers)]].itertuples(index=False):
+                eta, spend = _share_out(*(np.asarray(v, float) for v in values), budget, margin)
+                etas.append(eta)
+                spends.append(spend)
+            out = pdf[[*keys, "_channel"]].assign(eta=etas, _spend=spends)
+            yield out
+
+    types = dict(flat.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", _channel array<string>, eta double, _spend array<double>"
+    pairs = F.arrays_zip(F.col("_channel").alias("channel"), F.col("_spend").alias("spend"))
+    return flat.mapInPandas(solve, schema).select(*keys, "eta", F.inline(pairs).alias("channel", "spend"))
+
+
+def _share_out(beta, lam, scale, lower, upper, linear, budget: float, margin: float):
+    """eta and the spends of one scenario; response beta * tanh(lam * s / (2 scale)) plus linear * s."""
+    if not lower.sum() - 1e-9 <= budget <= upper.sum() + 1e-9:
+        raise ValueError(f"a budget of {budget:g} is not within the bounds' sums {lower.sum():g} and {upper.sum():g}")
+    width = 2 * scale / lam
+    peak = margin * beta / width
+    marginal = lambda s: linear + peak / np.cosh(s / width) ** 2
+    enters, leaves = marginal(lower), marginal(upper)
+
+    def spend(eta):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            free = width * np.arccosh(np.sqrt(np.maximum(peak / (eta - linear), 1.0)))
+        return np.where(eta >= enters, lower, np.where(eta <= leaves, upper, np.clip(free, lower, upper)))
+
+    cuts = np.unique(np.concatenate([enters, leaves]))[::-1]
+    totals = np.array([spend(c).sum() for c in cuts])
+    behind = int(np.searchsorted(totals, budget))  # totals grow as eta falls
+    if behind == 0:
+        return float(cuts[0]), spend(cuts[0])
+    if behind == len(cuts):
+        return float(cuts[-1]), spend(cuts[-1])
+    high, low = cuts[behind - 1], cuts[behind]
+    active = (enters >= high) & (leaves <= low)
+    eta = high + (low - high) * (budget - totals[behind - 1]) / (totals[behind] - totals[behind - 1])
+    for _ in range(100):  # secants and slopes inside the segment
+        s = spend(eta)
+        miss = s.sum() - budget
+        if abs(miss) <= 1e-12 * max(1.0, budget):
+            break
+        low, high = (eta, high) if miss > 0 else (low, eta)
+        value = eta - linear[active]
+        slope = -np.sum(width[active] / (2 * value * np.tanh(np.maximum(s[active] / width[active], 1e-12))))
+        new = eta - miss / slope
+        eta = new if low < new < high else (low + high) / 2
+        if high - low <= 1e-15 * abs(high):
+            break
+    return float(eta), spend(eta)
 
 
 def plan_values(params: DataFrame, plans: Mapping[str, Mapping[str, float]], current: str,

@@ -1,9 +1,9 @@
 """Ordered computations without a one-task window.
 
-A window with no (or a hot) partition key sends its rows to one task. Here rows are cut into range
-buckets of roughly equal size first, summed inside each bucket, and shifted by the totals of the
-buckets before. The cut points come from rows chosen by the hash of their key: a bounded sample that is
-the same on every evaluation, so a recomputed task lands in the same bucket.
+A window with no (or a hot) partition key sends its rows to one task. Here rows are dealt to range partitions of
+the ordering keys and written with the number of their partition; sums are then taken inside each partition and
+shifted by the totals of the partitions before. Spark chooses the number and the bounds of the partitions from the
+data; once written they are fixed, so a recomputed task finds its rows where they were.
 """
 
 from __future__ import annotations
@@ -16,61 +16,25 @@ from pyspark.sql import functions as F
 
 from tallyfield.session import cut_lineage
 
-SMALL = 50_000  # rows one task orders without trouble
-ROWS_PER_BUCKET = 500_000
-FEWEST, MOST = 256, 65_536  # buckets; the cut points of the most fit in a few megabytes
-PER_CUT = 4  # sampled rows per cut point
 
+def with_range_bucket(df: DataFrame, keys: Sequence[str], name: str = "_bucket") -> DataFrame:
+    """A written copy of ``df`` with a bucket number that grows with the ordering ``keys``.
 
-def bucket_count(rows: int) -> int:
-    """Buckets for a table of so many rows: more rows, more buckets, of about equal size."""
-    return max(FEWEST, min(MOST, -(-rows // ROWS_PER_BUCKET)))
-
-
-def with_range_bucket(df: DataFrame, keys: Sequence[str], name: str = "_bucket",
-                      rows: int | None = None) -> DataFrame:
-    """Add a bucket number that grows with the ordering ``keys``.
-
-    Rows whose key hash falls below a threshold make up the sample, so its expected size is fixed and
-    no row has to be compared with another to be drawn. ``rows`` is the size of ``df`` if known.
+    Rows with equal keys share a bucket. A group that leads the keys and holds most rows spreads over many buckets.
     """
-    rows = df.count() if rows is None else rows
-    buckets = bucket_count(rows)
-    key = F.struct(*[F.col(k) for k in keys])
-    draw = F.shiftrightunsigned(F.xxhash64("_key"), 11) / F.lit(float(2**53))
-    sample = df.select(key.alias("_key")).filter(
-        draw < F.lit(min(1.0, PER_CUT * buckets / max(rows, 1))))
-    cuts = sample.agg(F.sort_array(F.collect_list("_key")).alias("all")).select(
-        F.filter("all", lambda _, i: i % PER_CUT == PER_CUT - 1))
-    steps = [1 << i for i in range((2 * buckets).bit_length() - 1, -1, -1)]
-
-    def halve(pos: Column, step: Column) -> Column:
-        at = pos + step
-        inside = (at <= F.size("_cuts")) & (F.get(F.col("_cuts"), at - 1) <= F.col("_key"))
-        return F.when(inside, at).otherwise(pos)
-
-    return (df.withColumn("_cuts", cuts.scalar()).withColumn("_key", key)
-            .withColumn(name, F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), halve))
-            .drop("_cuts", "_key"))
+    return cut_lineage(df.repartitionByRange(*[F.col(k) for k in keys]).withColumn(name, F.spark_partition_id()))
 
 
 def cumulate(df: DataFrame, order: Sequence[str], sums: dict[str, str],
-             by: Sequence[str] = (), written: bool = False) -> DataFrame:
+             by: Sequence[str] = ()) -> DataFrame:
     """Running sums in ascending ``order`` inside each ``by`` group.
 
     ``sums`` maps a new column to the column it accumulates. ``by`` plus ``order`` must identify a
-    row: aggregate ties away or add an id first. The input is read three times (cut points, bucket
-    totals, rows), so it is written out once before; pass only the columns that are needed. If the
-    written table turns out to have few rows, a plain window is enough. ``written`` says that the
-    input is such a table already (with columns derived row by row at most).
+    row: aggregate ties away or add an id first. The input is written once, so pass only the columns that
+    are needed.
     """
     by, order = list(by), list(order)
-    table = df if written else cut_lineage(df)
-    size = table.count()
-    if size <= SMALL:
-        run = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-        return table.select("*", *[F.sum(c).over(run).alias(out) for out, c in sums.items()])
-    rows = with_range_bucket(table, by + order, rows=size)
+    rows = with_range_bucket(df, by + order)
     local = W.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     totals = rows.groupBy(*by, "_bucket").agg(
         *[F.sum(src).alias(f"_t_{out}") for out, src in sums.items()])
@@ -78,7 +42,14 @@ def cumulate(df: DataFrame, order: Sequence[str], sums: dict[str, str],
     shifts = totals.select(
         *by, "_bucket", *[F.sum(f"_t_{out}").over(before).alias(f"_s_{out}") for out in sums])
     running = rows.select("*", *[F.sum(src).over(local).alias(out) for out, src in sums.items()])
-    shifted = running.join(shifts, [*by, "_bucket"], "left")
+    if by:  # a group may be named by null
+        shifts = shifts.select("_bucket", *[F.col(b).alias(f"_by_{b}") for b in by], *[f"_s_{o}" for o in sums])
+        same = running["_bucket"] == shifts["_bucket"]
+        for b in by:
+            same = same & running[b].eqNullSafe(shifts[f"_by_{b}"])
+        shifted = running.join(shifts, same, "left").drop(shifts["_bucket"], *[f"_by_{b}" for b in by])
+    else:
+        shifted = running.join(shifts, "_bucket", "left")
     for out in sums:
         shifted = shifted.withColumn(out, F.col(out) + F.coalesce(F.col(f"_s_{out}"), F.lit(0)))
     return shifted.drop("_bucket", *[f"_s_{out}" for out in sums])

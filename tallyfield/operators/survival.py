@@ -63,8 +63,7 @@ def life_table(df: DataFrame, duration: str = "tenure_months", event: str = "chu
 def life_table_of(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The life table of written time counts."""
     by = list(by)
-    risk = cumulate(counts.withColumn("_down", -F.col("t")), ["_down"], {"n": "leaving"}, by,
-                    written=True)
+    risk = cumulate(counts.withColumn("_down", -F.col("t")), ["_down"], {"n": "leaving"}, by)
     died = risk.filter("d > 0").select(*by, "t", "d", "n")
     alive = F.greatest(F.col("n") - F.col("d"), F.lit(0))
     gone = alive <= F.col("n") * 1e-12
@@ -153,7 +152,7 @@ def rmst_by_plan(subs: DataFrame, horizon: float, weights: DataFrame | Mapping[s
     by = list(by)
     if not isinstance(weights, DataFrame):
         if abs(sum(weights.values()) - 1) >= 1e-9:
-            raise ValueError(f"weights must sum to 1, not {sum(weights.values()):.4g}")
+            raise ValueError(f"plan shares add up to {sum(weights.values()):.6g} instead of 1")
         weights = subs.sparkSession.createDataFrame(list(weights.items()),
                                                     f"{plan} string, weight double")
     area = rmst(subs, horizon, by=[*by, plan, onboarded], weight=weight)
@@ -310,8 +309,8 @@ def _cox_newton(cells: DataFrame, xs: Sequence[str], steps: int = 30):
         beta = beta + scale * step
         ll, grad, info = new
         if np.max(np.abs(scale * step)) < 1e-8:
-            break
-    return beta, np.linalg.inv(info), ll
+            return beta, np.linalg.inv(info), ll
+    raise RuntimeError(f"the Cox fit did not settle within {steps} steps")
 
 
 def cox_fit(df: DataFrame, covariates: Sequence[str], alpha: float = 0.05,

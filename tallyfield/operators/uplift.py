@@ -75,7 +75,7 @@ def cumulative_by_score(df: DataFrame, y: str = "spend", t: str = "treatment",
                         leading_zero: bool = True) -> DataFrame:
     """Counts and outcomes of both arms after each group of equal scores, highest first.
 
-    The own counts of the group stay as ``d_*`` columns; a leading all-zero row is optional.
+    A struct as score gives the order itself, its fields ascending. The own counts of the group stay as ``d_*`` columns; a leading all-zero row is optional.
     """
     by = list(by)
     yy = F.col(y).cast("double")
@@ -83,7 +83,8 @@ def cumulative_by_score(df: DataFrame, y: str = "spend", t: str = "treatment",
         F.count_if(F.col(t) == 1).alias("d_n_t"), F.count_if(F.col(t) == 0).alias("d_n_c"),
         F.coalesce(F.sum(F.when(F.col(t) == 1, yy)), F.lit(0.0)).alias("d_y_t"),
         F.coalesce(F.sum(F.when(F.col(t) == 0, yy)), F.lit(0.0)).alias("d_y_c"))
-    run = cumulate(per.withColumn("_order", -F.col(score)), ["_order"],
+    falling = F.col(score) if dict(per.dtypes)[score].startswith("struct") else -F.col(score)
+    run = cumulate(per.withColumn("_order", falling), ["_order"],
                    {c: f"d_{c}" for c in _SUMS}, by).drop("_order")
     if not leading_zero:
         return run
@@ -147,9 +148,9 @@ def qini_coefficient(df: DataFrame, y: str = "spend", t: str = "treatment", scor
         *by, (F.col("area") - F.col("last") / 2).alias("qini"))
     if not normalize:
         return out
-    top = df.agg((F.max(F.abs(F.col(y))) + 1.0).alias("m")).scalar()
-    best = df.withColumn("_top", top).withColumn("_perfect", F.when(
-        F.col(t) == 1, F.col("_top") + F.col(y)).otherwise(-F.col("_top") - F.col(y)))
+    # the best order there is: treated rows first, larger outcomes first; then control rows, smaller outcomes first
+    arm = (F.col(t) == 1).cast("int")
+    best = df.withColumn("_perfect", F.struct(-arm, F.when(arm == 1, -F.col(y)).otherwise(F.col(y))))
     ideal = _area(best, y, t, "_perfect", by, qini_value).select(
         *by, (F.col("area") - F.col("last") / 2).alias("perfect"))
     both = out.join(ideal, by) if by else out.withColumn(
@@ -192,11 +193,18 @@ def qini_table(scores: DataFrame, y: str = "spend", t: str = "treatment",
     return qini_coefficient(scores, y, t, "score", [model])
 
 
+NOISE_CELLS = 1024
+
+
 def qini_noise_band(df: DataFrame, key: str, repeats: int = 200, prob: float = 0.99,
                     y: str = "spend", t: str = "treatment") -> DataFrame:
-    """The band random scores fall into: a quantile of their absolute Qini coefficients."""
+    """The band random scores fall into: a quantile of their absolute Qini coefficients.
+
+    Random scores have NOISE_CELLS values. Rows of equal score count as one group anyway, so a repeat shrinks to that
+    many rows in the tasks that read the log, and only those are ordered.
+    """
     rows = df.select(key, y, t, F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("rep"))
-    random = rows.withColumn("score", uniform("noise", key, "rep"))
+    random = rows.withColumn("score", F.floor(uniform("noise", key, "rep") * NOISE_CELLS))
     q = qini_coefficient(random, y, t, "score", ["rep"]).withColumn("size", F.abs("qini"))
     return exact_quantiles(q, "size", {"band": prob})
 

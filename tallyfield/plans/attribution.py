@@ -195,7 +195,7 @@ def _(spark, sf):
     return A.credit_vs_truth(credit, truth)
 
 
-B = 20
+B = 200
 R.role_sql("weights", "journeys", f"""
     SELECT path, converted, b, count(*) FILTER (WHERE u >= cdf) AS w
     FROM (SELECT path, converted, b, i, {R.sql_uniform('journeys', "array_to_string(path, '>')",

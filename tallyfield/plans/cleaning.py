@@ -208,10 +208,13 @@ R.role_sql("versus", "variants", """
     JOIN variants AS r ON r.customer_id = v.customer_id AND r.variant = 'reference'""")
 
 
-@query("M11", "variant_effects", "variant:s total_change_pct:6 customers_moved:i", "versus", """
-    SELECT variant, 100 * (sum(score) / sum(ref) - 1) AS total_change_pct,
-           count(*) FILTER (WHERE abs(score / ref - 1) > 0.1) AS customers_moved
-    FROM versus GROUP BY 1""")
+@query("M11", "variant_effects", "variant:s total_change_pct:6 customers_moved:i", "variants", """
+    WITH ref AS (SELECT customer_id, score FROM variants WHERE variant = 'reference')
+    SELECT k.variant, 100 * (k.total / (SELECT sum(score) FROM ref) - 1) AS total_change_pct,
+           (SELECT count(*) FROM ref LEFT JOIN variants AS v
+              ON v.customer_id = ref.customer_id AND v.variant = k.variant
+            WHERE v.score IS NULL OR abs(v.score / ref.score - 1) > 0.1) AS customers_moved
+    FROM (SELECT variant, sum(score) AS total FROM variants GROUP BY 1) AS k""")
 def _(spark, sf):
     return M.variant_effects(variant_scores(spark, sf))
 
@@ -257,14 +260,15 @@ def _(spark, sf):
 
 
 @query("M16", "contact_list_moves", "variant:s added:i dropped:i moved:i", "variants", """
-    SELECT variant, count(*) FILTER (WHERE now AND NOT was) AS added,
-           count(*) FILTER (WHERE was AND NOT now) AS dropped,
-           count(*) FILTER (WHERE was <> now) AS moved
-    FROM (SELECT k.variant, coalesce(v.score, 0) * 0.03 > 8000.0 AS now, b.score * 0.03 > 8000.0 AS was
-          FROM (SELECT DISTINCT variant FROM variants WHERE variant <> 'reference') AS k
-          CROSS JOIN (SELECT * FROM variants WHERE variant = 'reference') AS b
-          LEFT JOIN variants AS v ON v.variant = k.variant AND v.customer_id = b.customer_id) AS m
-    GROUP BY 1""")
+    WITH listed AS (SELECT variant, customer_id FROM variants WHERE coalesce(score, 0) * 0.03 > 8000.0),
+    base AS (SELECT customer_id FROM listed WHERE variant = 'reference')
+    SELECT variant, added, dropped, added + dropped AS moved
+    FROM (SELECT k.variant,
+                 (SELECT count(*) FROM listed AS l WHERE l.variant = k.variant
+                    AND l.customer_id NOT IN (SELECT customer_id FROM base)) AS added,
+                 (SELECT count(*) FROM base WHERE customer_id NOT IN
+                    (SELECT l.customer_id FROM listed AS l WHERE l.variant = k.variant)) AS dropped
+          FROM (SELECT DISTINCT variant FROM variants WHERE variant <> 'reference') AS k) AS t""")
 def _(spark, sf):
     return M.contact_list_moves(variant_scores(spark, sf), "reference", 0.1, 0.3, 8000.0)
 

@@ -321,12 +321,12 @@ def _(spark, sf):
     SELECT b, sum(w * (abs(predicted - holdout_purchases) - abs(1.5 - holdout_purchases))) / sum(w)
              AS value
     FROM (SELECT *, {poisson_sql(R.sql_uniform('mae', 'customer_id', 'b'))} AS w
-          FROM (SELECT *, unnest(range(1, 26)) AS b FROM naive) AS x) AS y GROUP BY 1""")
+          FROM (SELECT *, unnest(range(1, 201)) AS b FROM naive) AS x) AS y GROUP BY 1""")
 def _(spark, sf):
     held = F.col("holdout_purchases")
     errors = naive(spark, sf).select("customer_id", (F.col("expected_purchases") - held).alias("ea"),
                                      (F.lit(1.5) - held).alias("eb"))
-    return C.mae_difference_bootstrap(errors, "ea", "eb", resamples=25)
+    return C.mae_difference_bootstrap(errors, "ea", "eb", resamples=200)
 
 
 @query("C24", "gbt_forecast", "customer_id:i target:i predicted:4")
@@ -338,8 +338,6 @@ def _(spark, sf):
 
 # ---- survivors: customers that have not left by their t-th purchase day -----------------------------
 # A customer leaves at the first day with a price above its balance-dependent level (see roles).
-PERIODS = 5
-
 
 def survivors(spark, sf):
     from pyspark.sql import Window as W
@@ -355,13 +353,13 @@ def survivors(spark, sf):
         F.count_if(F.col("end").isNull() | (F.col("d") < F.col("end"))).alias("y"),
         F.first("cohort").alias("cohort"))
     reached = per.select("cohort", F.explode(F.sequence(
-        F.lit(0), F.least(F.col("y").cast("int"), F.lit(PERIODS)))).alias("year"))
+        F.lit(0), F.col("y").cast("int"))).alias("year"))
     return reached.groupBy("cohort", "year").agg(F.count(F.lit(1)).alias("alive"))
 
 
 R.role_sql("survivors", "", f"""
     SELECT cohort, year, count(*) AS alive FROM (
-      SELECT cohort, unnest(range(0, least(y, {PERIODS}) + 1)) AS year
+      SELECT cohort, unnest(range(0, y + 1)) AS year
       FROM (SELECT o_custkey, any_value(cohort) AS cohort,
                    count(*) FILTER (WHERE last_day IS NULL OR d < last_day) AS y
             FROM (SELECT *, min(CASE WHEN leaves = 1 THEN d END) OVER (PARTITION BY o_custkey)

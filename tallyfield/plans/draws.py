@@ -144,7 +144,7 @@ def _(spark, sf):
     SELECT b, sum(w * f * spend) / sum(w * f) AS value
     FROM (SELECT *, count_all / sum(w) OVER (PARTITION BY segment, b) AS f
           FROM (SELECT *, {poisson_sql(R.sql_uniform('boot', 'customer_id', 'b'))} AS w
-                FROM (SELECT *, unnest(range(1, 26)) AS b,
+                FROM (SELECT *, unnest(range(1, 201)) AS b,
                              count_seg AS count_all
                       FROM (SELECT *, count(*) OVER (PARTITION BY segment) AS count_seg
                             FROM experiment) AS e) AS x) AS y) AS z
@@ -152,7 +152,7 @@ def _(spark, sf):
 def _(spark, sf):
     def stat(w):
         return F.sum(F.col(w) * F.col("spend")) / F.sum(w)
-    return I.stratified_bootstrap(R.experiment(spark, sf), stat, ["customer_id"], ["segment"], 25)
+    return I.stratified_bootstrap(R.experiment(spark, sf), stat, ["customer_id"], ["segment"], 200)
 
 
 @query("I8", "bootstrap_interval", "lower:6 upper:6 se:6 resamples:i not_finite:i", "experiment", f"""
@@ -165,7 +165,7 @@ def _(spark, sf):
 def _(spark, sf):
     def stat(w):
         return F.max("spend") - F.sum(F.col(w) * F.col("spend")) / F.sum(w)
-    boot = I.stratified_bootstrap(R.experiment(spark, sf), stat, ["customer_id"], (), 40, "gap")
+    boot = I.stratified_bootstrap(R.experiment(spark, sf), stat, ["customer_id"], (), 200, "gap")
     return I.bootstrap_interval(boot)
 
 

@@ -110,7 +110,7 @@ def _(spark, sf):
           GROUP BY b) AS r""")
 def _(spark, sf):
     return X.ratio_bootstrap(X.session_to_unit(sessions(spark, sf)), "revenue", "sessions",
-                             "customer_id", 100)
+                             "customer_id", 200)
 
 
 @query("E8", "session_to_unit", "customer_id:i revenue:4 sessions:i", "unit_ratio",

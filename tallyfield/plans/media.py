@@ -19,21 +19,32 @@ def dbl(x: float) -> str:
     return f"CAST({x} AS DOUBLE)"
 
 
+POSITIONS, GROUPS = 64, 15  # of a vector; a parameter is the mean size of every 15th position
+
+
 def params(spark, sf):
-    """Draws of (alpha, lam, beta) per channel: three embedding positions each."""
+    """Draws of (alpha, lam, beta) per channel, from all positions of the embeddings."""
+    def size(k):
+        at = range(k, POSITIONS, GROUPS)
+        return sum((F.abs(F.get("embedding", F.lit(i)).cast("double")) for i in at), F.lit(0.0)) / len(at)
+
     rows = R.table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("draw"), F.explode(F.array(*[F.struct(
-            F.lit(c).alias("channel"), *[F.abs(F.get("embedding", F.lit(3 * i + j)).cast("double"))
-                                         .alias(f"e{j}") for j in range(3)])
+            F.lit(c).alias("channel"), *[size(3 * i + j).alias(f"e{j}") for j in range(3)])
             for i, c in enumerate(CHANNELS)])).alias("p")).select("draw", "p.*")
     return rows.select("draw", "channel", (0.2 + F.col("e0")).alias("alpha"),
                        (2 + 5 * F.col("e1")).alias("lam"), (300 + 900 * F.col("e2")).alias("beta"))
 
 
+def _size_sql(k: int) -> str:
+    at = range(k, POSITIONS, GROUPS)
+    return f"(0.0::DOUBLE + {' + '.join(f'abs(CAST(embedding[{i + 1}] AS DOUBLE))' for i in at)}) / {len(at)}"
+
+
 R.role_sql("params", "", " UNION ALL ".join(f"""
-    SELECT vec_id AS draw, '{c}' AS channel, 0.2 + abs(CAST(embedding[{3 * i + 1}] AS DOUBLE)) AS alpha,
-           2 + 5 * abs(CAST(embedding[{3 * i + 2}] AS DOUBLE)) AS lam,
-           300 + 900 * abs(CAST(embedding[{3 * i + 3}] AS DOUBLE)) AS beta FROM embeddings"""
+    SELECT vec_id AS draw, '{c}' AS channel, 0.2 + {_size_sql(3 * i)} AS alpha,
+           2 + 5 * {_size_sql(3 * i + 1)} AS lam,
+           300 + 900 * {_size_sql(3 * i + 2)} AS beta FROM embeddings"""
                                             for i, c in enumerate(CHANNELS)))
 
 

@@ -133,8 +133,8 @@ def _(spark, sf):
     return model(spark, sf)
 
 
-# Value iteration by recursion: one row per state and sweep.
-R.role_sql("values30", "model", """
+# Value iteration by recursion, far beyond the sweep after which nothing moves.
+R.role_sql("values_end", "model", """
     SELECT * FROM (
     WITH RECURSIVE pairs AS (SELECT s, count(DISTINCT a) AS arms FROM model GROUP BY 1),
     states AS (SELECT DISTINCT s FROM (SELECT s FROM model UNION ALL SELECT s2 FROM model) AS x),
@@ -144,28 +144,28 @@ R.role_sql("values30", "model", """
       SELECT k + 1, list(best ORDER BY s)
       FROM (SELECT k, g.s, coalesce(CASE WHEN max(arms) = 2 THEN max(q) ELSE greatest(max(q), 0) END, 0)
                      AS best
-            FROM (SELECT k, unnest(range(0, 55)) AS s FROM vi WHERE k < 29) AS g
+            FROM (SELECT k, unnest(range(0, 55)) AS s FROM vi WHERE k < 149) AS g
             LEFT JOIN (SELECT m.s, a, max(reward) + 0.8 * sum(p * v[s2 + 1]) AS q
-                       FROM model AS m, vi WHERE vi.k < 29 GROUP BY 1, 2) AS q0 ON q0.s = g.s
+                       FROM model AS m, vi WHERE vi.k < 149 GROUP BY 1, 2) AS q0 ON q0.s = g.s
             LEFT JOIN pairs ON pairs.s = g.s GROUP BY 1, 2) AS b GROUP BY k)
-    SELECT v FROM vi WHERE k = 29) AS z""")
+    SELECT v FROM vi WHERE k = 149) AS z""")
 
 
-@query("N10", "q_iteration", "s:i a:i q:5", "model values30", """
-    SELECT m.s, a, max(reward) + 0.8 * sum(p * v[s2 + 1]) AS q FROM model AS m, values30 GROUP BY 1, 2
+@query("N10", "q_iteration", "s:i a:i q:5", "model values_end", """
+    SELECT m.s, a, max(reward) + 0.8 * sum(p * v[s2 + 1]) AS q FROM model AS m, values_end GROUP BY 1, 2
     """)
 def _(spark, sf):
-    return N.q_iteration(model(spark, sf), 0.8, sweeps=30, tolerance=0.0)
+    return N.q_iteration(model(spark, sf), 0.8)
 
 
-@query("N11", "greedy_policy", "s:i action:i", "model values30", """
+@query("N11", "greedy_policy", "s:i action:i", "model values_end", """
     SELECT s, coalesce(max_by(CASE WHEN visits >= 30 THEN a END,
                            CASE WHEN visits >= 30 THEN (round(q, 9), -a) END), 0) AS action
     FROM (SELECT m.s, a, max(visits) AS visits, max(reward) + 0.8 * sum(p * v[s2 + 1]) AS q
-          FROM model AS m, values30 GROUP BY 1, 2) AS q GROUP BY 1""")
+          FROM model AS m, values_end GROUP BY 1, 2) AS q GROUP BY 1""")
 def _(spark, sf):
     triples = cut_lineage(model(spark, sf))
-    return N.greedy_policy(N.q_iteration(triples, 0.8, sweeps=30, tolerance=0.0), triples, 30)
+    return N.greedy_policy(N.q_iteration(triples, 0.8), triples, 30)
 
 
 PENALTY = {"low": 5.0, "mid": 10.0, "high": 20.0}

@@ -1,12 +1,10 @@
 """How the test tables play the inputs of the operators.
 
-Each role exists twice: a Spark function of (spark, sf_dir) and a SQL CTE over the same tables. Both
-read the whole tables.
+Each role exists twice: a Spark function of (spark, sf_dir) and a SQL CTE over the same tables.
 """
 
 from __future__ import annotations
 
-import datetime
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -255,8 +253,7 @@ role_sql("touch_rows", "journeys", """
 
 
 # ---- user-day log: users x days ---------------------------------------------------------------
-FIRST_DAY = "2024-01-01"
-LOG_DAYS = 30
+FIRST_DAY = "2024-01-01"  # day 0; the log runs from the first to the last day of the events
 
 
 def user_days(spark, sf) -> DataFrame:
@@ -272,8 +269,10 @@ def user_days(spark, sf) -> DataFrame:
         any_of("view").alias("session"), any_of("purchase").alias("purchase"),
         F.sum(F.when(kind == "purchase", F.col("value")).otherwise(0.0)).alias("margin"),
         any_of("error").alias("err"))
-    grid = seen.select("user_id").distinct().select(
-        "user_id", F.explode(F.sequence(F.lit(0), F.lit(LOG_DAYS - 1))).alias("day"))
+    ends = seen.agg(F.min("day").alias("first"), F.max("day").alias("last"))
+    grid = seen.select("user_id").distinct().withColumns(
+        {"_first": ends.select("first").scalar(), "_last": ends.select("last").scalar()}).select(
+        "user_id", F.explode(F.sequence("_first", "_last")).alias("day"))
     zero = ("sent", "opened", "session", "purchase", "err")
     log = grid.join(seen, ["user_id", "day"], "left").fillna(0, subset=list(zero)).fillna(
         0.0, subset=["margin"])
@@ -315,7 +314,7 @@ role_sql("dense_days", "seen_days", f"""
            coalesce(margin, 0.0) AS margin,
            CASE WHEN coalesce(err, 0) = 1 AND {sql_uniform('optout', 'user_id', 'day')} < 0.05
                 THEN 1 ELSE 0 END AS out_today
-    FROM (SELECT user_id, unnest(range({LOG_DAYS})) AS day
+    FROM (SELECT user_id, unnest(range((SELECT min(day) FROM seen_days), (SELECT max(day) FROM seen_days) + 1)) AS day
           FROM (SELECT DISTINCT user_id FROM seen_days) AS u) AS g
     LEFT JOIN seen_days USING (user_id, day)""")
 role_sql("marked_days", "dense_days", """
@@ -424,7 +423,10 @@ def geo_panel(spark, sf) -> DataFrame:
     nation = table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("geo"),
                                                F.col("n_regionkey").alias("region"))
     treated = (F.col("region") == TREATED_REGION).cast("int")
-    return (sales.filter(F.col("date") < F.lit("2001-08-01").cast("date"))
+    # months that the log covers to their end
+    end = table(spark, sf, "orders").agg(
+        F.trunc(F.date_add(F.max("o_orderdate").cast("date"), 1), "month").alias("end"))
+    return (sales.withColumn("_end", end.scalar()).filter(F.col("date") < F.col("_end")).drop("_end")
             .join(nation, "n_nationkey")
             .select("date", "geo", "region", "sales", treated.alias("treated"),
                     (F.col("date") >= F.lit(TEST_START).cast("date")).cast("int").alias("post")))
@@ -437,15 +439,16 @@ role_sql("panel", "", f"""
            CASE WHEN CAST(date_trunc('month', o_orderdate) AS DATE) >= DATE '{TEST_START}'
                 THEN 1 ELSE 0 END AS post
     FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-    WHERE o_orderdate < DATE '2001-08-01'
+    WHERE o_orderdate < (SELECT date_trunc('month', CAST(max(o_orderdate) AS DATE) + 1) FROM orders)
     GROUP BY 1, 2, 3""")
 
 
 # ---- weekly media: orders by priority --------------------------------------------------------------
-# Weeks run to the last full week of the orders; shipments go on later and are left out after it.
+# Weeks begin with the first order's. The outcome ends with the last week that the orders cover to its end: shipments go on, but
+# no spend is known beside them.
 MEDIA = {"1-URGENT": "tv", "2-HIGH": "search", "3-MEDIUM": "social", "4-NOT SPECIFIED": "display",
          "5-LOW": "email"}
-MEDIA_EPOCH = "1995-01-02"  # a Monday
+MEDIA_EPOCH = "1994-12-26"  # the Monday before the first order
 
 
 def media_weekly(spark, sf) -> DataFrame:
@@ -455,7 +458,7 @@ def media_weekly(spark, sf) -> DataFrame:
         channel = F.when(F.col("o_orderpriority") == priority, name).otherwise(channel)
     week = F.floor(F.datediff(F.col("o_orderdate").cast("date"),
                               F.lit(MEDIA_EPOCH).cast("date")) / 7)
-    return (table(spark, sf, "orders").withColumn("week", week).filter("week >= 0")
+    return (table(spark, sf, "orders").withColumn("week", week)
             .groupBy("week", channel.alias("channel"))
             .agg((F.sum("o_totalprice") / 10000.0).alias("spend")))
 
@@ -464,24 +467,25 @@ def media_outcome(spark, sf) -> DataFrame:
     """Weekly outcome y: shipped revenue of the week, in units of 10,000, and a price index."""
     week = F.floor(F.datediff(F.col("l_shipdate").cast("date"),
                               F.lit(MEDIA_EPOCH).cast("date")) / 7)
-    return (table(spark, sf, "lineitem").withColumn("week", week)
-            .filter(F.col("week").between(0, MEDIA_LAST_WEEK))
+    last = table(spark, sf, "orders").agg((F.floor(F.datediff(
+        F.date_add(F.max("o_orderdate").cast("date"), 1), F.lit(MEDIA_EPOCH).cast("date")) / 7) - 1).alias("week"))
+    return (table(spark, sf, "lineitem").withColumn("week", week).withColumn("_last", last.scalar())
+            .filter(F.col("week") <= F.col("_last"))
             .groupBy("week").agg((F.sum("l_extendedprice") / 10000.0).alias("y"),
                                  F.avg("l_discount").alias("price_index")))
 
 
-MEDIA_LAST_WEEK = 343
 role_sql("media", "", f"""
     SELECT (CAST(o_orderdate AS DATE) - DATE '{MEDIA_EPOCH}') // 7 AS week,
            CASE o_orderpriority {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in MEDIA.items())} END
              AS channel, sum(o_totalprice) / 10000.0 AS spend
-    FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '{MEDIA_EPOCH}' GROUP BY 1, 2""")
+    FROM orders GROUP BY 1, 2""")
 role_sql("outcome", "", f"""
     SELECT (CAST(l_shipdate AS DATE) - DATE '{MEDIA_EPOCH}') // 7 AS week,
            sum(l_extendedprice) / 10000.0 AS y, avg(l_discount) AS price_index
     FROM lineitem
-    WHERE CAST(l_shipdate AS DATE) BETWEEN DATE '{MEDIA_EPOCH}'
-          AND DATE '{datetime.date.fromisoformat(MEDIA_EPOCH) + datetime.timedelta(days=7 * 344 - 1)}'
+    WHERE (CAST(l_shipdate AS DATE) - DATE '{MEDIA_EPOCH}') // 7
+          <= (SELECT (max(CAST(o_orderdate AS DATE)) + 1 - DATE '{MEDIA_EPOCH}') // 7 - 1 FROM orders)
     GROUP BY 1""")
 
 

@@ -133,7 +133,7 @@ def _(spark, sf):
 
 
 BOOT = f"""(SELECT * FROM (SELECT *, {poisson_sql(R.sql_uniform('rmst', 'customer_id', 'b'))} AS w
-            FROM (SELECT *, tenure_months AS t, churned AS e, unnest(range(1, 21)) AS b FROM subs)
+            FROM (SELECT *, tenure_months AS t, churned AS e, unnest(range(1, 201)) AS b FROM subs)
             AS x) AS y WHERE w > 0) AS z"""
 R.role_sql("gains", "subs", f"""
     SELECT b, sum(weighted) AS gain FROM ({gain_sql(BOOT, 'b', 'w')}) AS g GROUP BY b""")
@@ -141,7 +141,7 @@ R.role_sql("gains", "subs", f"""
 
 def gains(spark, sf):
     s = subs(spark, sf)
-    return V.rmst_bootstrap(s, 36.0, V.target_weights(s), resamples=20)
+    return V.rmst_bootstrap(s, 36.0, V.target_weights(s), resamples=200)
 
 
 @query("V8", "rmst_bootstrap", "b:i gain:6", "gains", "SELECT * FROM gains")

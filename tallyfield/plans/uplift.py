@@ -40,7 +40,7 @@ def _(spark, sf):
 def _(spark, sf):
     data = cut_lineage(U.random_split(exp(spark, sf), "customer_id", 3))
     return U.uplift_learners(data.filter("in_train"), data.filter("not in_train"),
-                             ["history", "balance", "pre_orders"], rounds=5)
+                             ["history", "balance", "pre_orders"])
 
 
 R.role_sql("cum", "experiment", """
@@ -150,12 +150,12 @@ def _(spark, sf):
 
 @query("U10", "qini_noise_band", "band:4", "experiment", f"""
     SELECT quantile_cont(abs(area - last / 2), 0.99) AS band
-    FROM ({area_sql(f'''(SELECT rep, {R.sql_uniform('noise', 'customer_id', 'rep')} AS score,
+    FROM ({area_sql(f'''(SELECT rep, floor({R.sql_uniform('noise', 'customer_id', 'rep')} * 1024) AS score,
             spend AS y, treatment AS t
-            FROM experiment, (SELECT unnest(range(1, 21)) AS rep) AS p) AS r''', QINI, 'rep')}) AS q
+            FROM experiment, (SELECT unnest(range(1, 201)) AS rep) AS p) AS r''', QINI, 'rep')}) AS q
     """)
 def _(spark, sf):
-    return U.qini_noise_band(exp(spark, sf), "customer_id", 20)
+    return U.qini_noise_band(exp(spark, sf), "customer_id")
 
 
 @query("U11", "targeting_rule", "customer_id:i treat:i", "experiment", """

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -10,7 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = 8, app: str = "tallyfield") -> SparkSession:
-    """A local session. On a cluster, pass the session you have instead."""
+    """A local session with a work folder of its own, which goes when the process ends.
+
+    On a cluster, pass the session you have instead.
+    """
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -20,16 +25,23 @@ def local_session(cpus: int | str = 8, app: str = "tallyfield") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("TALLYFIELD_DRIVER_MEMORY", "12g"))
+        .config("spark.checkpoint.dir", _own_folder())
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
 
+def _own_folder() -> str:
+    path = tempfile.mkdtemp(prefix="tallyfield-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where a session has none (tests on one machine) is a temporary one made.
+    Only where a session on one machine has none is a temporary one made.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get(
@@ -42,7 +54,7 @@ def shared_folder(spark: SparkSession) -> str:
     if current is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallyfield-"))
+        sc.setCheckpointDir(_own_folder())
         current = sc.getCheckpointDir()
     return current
 

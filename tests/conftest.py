@@ -15,13 +15,3 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-@pytest.fixture(params=["window", "buckets"])
-def both_orders(request, monkeypatch):
-    """Run a test with the plain window and with range buckets."""
-    from tallyfield.operators import ordering
-
-    if request.param == "buckets":
-        monkeypatch.setattr(ordering, "SMALL", -1)
-    return request.param

@@ -157,7 +157,7 @@ def test_rfm_violations_catch_a_swap(spark):
             row["recency_negative"]) == (1, 1, 1, 1)
 
 
-def test_monotone_and_frames(spark, both_orders):
+def test_monotone_and_frames(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate([1.0, 2.0, 2.0, 1.5, 3.0])],
                                "i int, v double")
     assert Q.monotone_violations(df, "v", ["i"]).first()["violations"] == 1
