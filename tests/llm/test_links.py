@@ -73,7 +73,9 @@ def test_posterior_bounds_never_drop_what_the_batches_support():
     assert minhash_dedup.least_matches(80, 1e-3) > minhash_dedup.least_matches(80, 1e-9)
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("chunk", [500_000, 7])
+def test_components_of_a_long_chain(spark, monkeypatch, chunk):
+    monkeypatch.setattr(links, "EDGES", chunk)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101)]
     got = {r.node: r.root for r in links.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
@@ -130,7 +132,8 @@ def test_line_groups_equal_brute_force(spark, monkeypatch, binned):
     kinds = sorted({p[2] for p in places})
     w = [np.array([hash_of(x) for x in kind.split()], np.uint64) for kind in kinds]
     ends = np.cumsum([len(x) for x in w])
-    sims = fuzzy_lines.simhashes(np.concatenate(w), ends - [len(x) for x in w], ends)
+    sizes = np.array([len(x) for kind in kinds for x in kind.split()])
+    sims = fuzzy_lines.simhashes(np.concatenate(w), sizes, ends - [len(x) for x in w], ends)
     keys = fuzzy_lines.block_keys(sims)
     linked = [(i, j) for i in range(len(kinds)) for j in range(i) if (keys[i] == keys[j]).any()
               and levenshtein(kinds[i], kinds[j]) <= max(len(kinds[i]), len(kinds[j])) * 10 // 100]
