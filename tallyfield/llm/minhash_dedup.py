@@ -126,7 +126,7 @@ def _sets(k: int):
                 keys = [band_keys(x) if split else [] for x, split in zip(sigs, out[3].to_pylist(), strict=True)]
                 yield batch(["node", "q", "bin", "split", "keys", "sig", "shingles"],
                             [*out, keys, [x.tobytes() for x in sigs], [sets[r].tobytes() for r in keep]],
-                            [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.binary(), pa.binary()])
+                            [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary()])
     return run
 
 
@@ -148,7 +148,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def payload(dealt: DataFrame) -> DataFrame:
         wanted = dealt.join(names, "node").withColumnRenamed("name", "rep")
         return (rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "node", "q", "bin", "split")
-                .mapInArrow(_sets(words), "node long, q long, bin long, split boolean, keys array<long>, sig binary, shingles binary"))
+                .mapInArrow(_sets(words), "node long, q long, bin long, split int, keys array<long>, sig binary, shingles binary"))
 
     least = least_matches(percent, miss)
 
