@@ -268,6 +268,12 @@ def coalition_table(facts: DataFrame, by: Sequence[str] = (), n: str | None = No
         (F.col("conversions") / F.col("journeys")).alias("rate"))
 
 
+def subset_weight(n: Column, m: Column) -> Column:
+    """Shapley weight of a subset of ``m`` of the n - 1 other players: 1 / (n C(n - 1, m)), by a product that cannot overflow."""
+    steps = F.when(m > 0, F.sequence(F.lit(1), m)).otherwise(F.array().cast("array<int>"))
+    return 1 / (n * F.aggregate(steps, F.lit(1.0), lambda c, i: c * (n - 1 - m + i) / i))
+
+
 def shapley_credit(coalitions: DataFrame, channels: Sequence[str], by: Sequence[str] = (),
                    absent: float | None = None) -> DataFrame:
     """Credit by Shapley shares of v(T) = rate of exactly T, within each converting set.
@@ -288,10 +294,7 @@ def shapley_credit(coalitions: DataFrame, channels: Sequence[str], by: Sequence[
     fallback = F.lit(float(absent)) if absent is not None else F.raise_error(F.concat(
         F.lit("no journey has exactly the channels "), F.col("_u")))
     k, n = F.size("_in"), F.col("size")
-    # 1 / (n * C(n - 1, k)), the product form has no factorial that could overflow
-    weight = lambda m: 1 / (n * F.aggregate(F.when(m > 0, F.sequence(F.lit(1), m)).otherwise(F.array().cast("array<int>")),
-                                            F.lit(1.0), lambda c, i: c * (n - 1 - m + i) / i))
-    gives, takes = weight(k - 1), -weight(k)
+    gives, takes = subset_weight(n, k - 1), -subset_weight(n, F.least(k, n - 1))
     rows = joined.withColumn("_v", F.when(F.col("_v").isNull(), fallback).otherwise(F.col("_v")))
     rows = rows.withColumn("channel", F.explode("channels"))
     part = F.when(F.array_contains("_in", F.col("channel")), gives).otherwise(takes)

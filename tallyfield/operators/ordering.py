@@ -86,7 +86,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float],
                   F.max(h - F.floor(h)).alias(f"_f_{out}")]
     found = at.groupBy(*by).agg(*picks)
     return found.select(*by, *[
-        (F.col(f"_lo_{o}") + (F.col(f"_hi_{o}") - F.col(f"_lo_{o}")) * F.col(f"_f_{o}")).alias(o)
+        F.when(F.col(f"_lo_{o}") == F.col(f"_hi_{o}"), F.col(f"_lo_{o}")).otherwise(
+            F.col(f"_lo_{o}") + (F.col(f"_hi_{o}") - F.col(f"_lo_{o}")) * F.col(f"_f_{o}")).alias(o)
         for o in probs])
 
 

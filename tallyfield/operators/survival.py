@@ -361,7 +361,9 @@ def nudge_value(gains: DataFrame, q_grid: Sequence[float], margin: float, cost:
     """Per success probability q: value of a call with its interval, share of resamples that pay,
     and the break-even q with its interval."""
     lo, hi = (1 - prob) / 2, (1 + prob) / 2
-    draws = gains.withColumn("_need", F.try_divide(F.lit(cost), F.col(value) * margin))
+    # a resample without any gain pays at no success probability
+    draws = gains.withColumn("_need", F.when(F.col(value) == 0, F.lit(float("inf"))).otherwise(
+        F.lit(cost) / F.nullif(F.col(value) * margin, F.lit(0.0))))
     ends = exact_quantiles(draws, value, {"lo": lo, "hi": hi})
     need = exact_quantiles(draws, "_need", {"q_lo": lo, "q_hi": hi})
     cells = [F.struct(F.lit(float(q)).alias("q"), F.avg(

@@ -160,7 +160,7 @@ def _(spark, sf):
            stddev_samp(value) AS se, count(*) AS resamples, 0 AS not_finite
     FROM (SELECT b, max(spend) FILTER (WHERE w > 0) - sum(w * spend) / sum(w) AS value
           FROM (SELECT *, {poisson_sql(R.sql_uniform('gap', 'customer_id', 'b'))} AS w
-                FROM (SELECT *, unnest(range(1, 41)) AS b FROM experiment) AS x) AS y
+                FROM (SELECT *, unnest(range(1, 201)) AS b FROM experiment) AS x) AS y
           GROUP BY b) AS z""")
 def _(spark, sf):
     def stat(w):

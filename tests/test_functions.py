@@ -58,3 +58,18 @@ def test_normal_draws(spark):
     row = z.agg(F.avg("z"), F.stddev_samp("z")).first()
     assert row[0] == pytest.approx(0.0, abs=0.03)
     assert row[1] == pytest.approx(1.0, abs=0.03)
+
+
+def test_gauss_near_one():
+    """Against the plain series with many terms."""
+    import numpy as np
+
+    from tallyfield.functions.special import gauss
+
+    for a, b, c in ((0.24, 2.43, 2.22), (1.4, 0.6, 3.1)):
+        for z in (0.3, 0.8, 0.97, 0.9999):
+            n = np.arange(400_000.0)
+            want = 1 + np.exp(np.cumsum(np.log((a + n) * (b + n) / ((c + n) * (n + 1)) * z))).sum()
+            got = gauss(*(np.array([v]) for v in (a, b, c, z)))[0]
+            assert abs(got / want - 1) < 1e-10
+    assert np.isnan(gauss(*(np.array([v]) for v in (1.0, 1.0, 2.0, 1.5)))[0])

@@ -30,10 +30,10 @@ def test_sbg_fit_reproduces_published_estimates(spark):
 
 
 def test_counts_to_customers(spark):
-    df = spark.createDataFrame([("a", 0, 10), ("a", 1, 6), ("a", 2, 4)],
-                               "cohort string, year int, alive int")
+    df = spark.createDataFrame([("a", k, n) for k, n in enumerate([12, 9, 9, 2])], "cohort string, year int, alive int")
     got = C.counts_to_customers(df).groupBy("recency", "T").count().collect()
-    assert {(r["recency"], r["T"]): r["count"] for r in got} == {(1, 3): 4, (2, 3): 2, (3, 3): 4}
+    # 3 leave in the first period, none in the second, 7 in the third, 2 are left
+    assert {(r["recency"], r["T"]): r["count"] for r in got} == {(1, 4): 3, (3, 4): 7, (4, 4): 2}
 
 
 def simulated_rfm(n=4000, seed=11):
@@ -75,6 +75,22 @@ def test_bgnbd_recovers_parameters_and_gradient(spark, rfm):
             assert other < total
 
 
+def test_derivatives_are_those_of_the_likelihood(spark, rfm):
+    from tallyfield.operators.fitting import totals
+
+    one = rfm.limit(300).withColumn("n", F.lit(2))
+    for model, at, data in ((C.bgnbd_model, {"r": 0.8, "alpha": 5.0, "a": 0.7, "b": 2.0}, one),
+                            (C.gamma_gamma_model, {"p": 5.0, "q": 3.0, "v": 12.0}, one.filter("frequency > 0"))):
+        data = data.cache()
+        names = list(at)
+        _, grad, hess = totals(data, "n", names, model, at)
+        for i, n in enumerate(names):
+            h = 1e-5 * at[n]
+            up, down = (totals(data, "n", names, model, {**at, n: at[n] + d}) for d in (h, -h))
+            assert (up[0] - down[0]) / (2 * h) == pytest.approx(grad[i], rel=1e-4, abs=1e-7)
+            np.testing.assert_allclose((up[1] - down[1]) / (2 * h), hess[i], rtol=1e-4, atol=1e-7)
+
+
 def test_bgnbd_forecasts_agree(spark):
     params = {"r": 0.9, "alpha": 6.0, "a": 1.8, "b": 2.5}
     df = spark.createDataFrame([(0.0, 0.0, 0.0)], "frequency double, recency double, T double")
@@ -106,17 +122,19 @@ def test_impossible_rfm_is_refused(spark):
 
 
 def test_new_customer_value(spark):
-    df = spark.createDataFrame([("c", 0, 0.0, 10.0), ("c", 1, 1.0, 10.0), ("c", 2, 1.5, 10.0)],
+    cumulative = [0.0, 0.4, 1.1, 1.2]
+    df = spark.createDataFrame([("c", k, v, 25.0) for k, v in enumerate(cumulative)],
                                "channel string, month int, cumulative double, spend double")
-    got = C.new_customer_value(df, ["channel"], 0.10, 0.5).first()["value"]
-    assert got == pytest.approx(5 * (1 + 1 / 1.1 + 0.5 / 1.21))
+    got = C.new_customer_value(df, ["channel"], 0.05, 0.3).first()["value"]
+    assert got == pytest.approx(0.3 * 25 * (1 + 0.4 / 1.05 + 0.7 / 1.05**2 + 0.1 / 1.05**3))
 
 
 def test_retarget_thresholds(spark):
-    df = spark.createDataFrame([(0.4,), (0.6,)], "p_alive double")
-    row = C.retarget_table(df, [0.05], 0.5, 20.0).first()
-    assert (row["threshold"], row["stopped"], row["share"]) == (0.5, 1, 0.5)
-    assert row["margin_given_up"] == pytest.approx(0.4)
+    df = spark.createDataFrame([(v,) for v in (0.1, 0.2, 0.45, 0.9)], "p_alive double")
+    row = C.retarget_table(df, [0.08], 0.6, 25.0).first()
+    # 0.6 / (25 * .08) = .3: the first two stop, each gives up 25 * .08 times its chance
+    assert (row["threshold"], row["stopped"], row["share"]) == (pytest.approx(0.3), 2, 0.5)
+    assert row["margin_given_up"] == pytest.approx(0.6)
 
 
 def test_pnbd_special_case_is_the_limit(spark):
@@ -161,28 +179,40 @@ def durations(spark, t, e):
                                  "tenure_months double, churned int")
 
 
+SPELLS = [1, 4, 4, 4, 6, 7, 7, 10, 12, 12]
+ENDED = [1, 1, 0, 1, 0, 1, 1, 0, 1, 0]
+
+
+def survival_by_hand(t, e):
+    """S just after each event time."""
+    t, e, s, out = np.array(t), np.array(e), 1.0, {}
+    for u in np.unique(t[e == 1]):
+        s *= 1 - ((t == u) & (e == 1)).sum() / (t >= u).sum()
+        out[float(u)] = s
+    return out
+
+
 def test_kaplan_meier(spark):
-    df = durations(spark, [2, 3, 3, 5, 6, 6, 8, 9], [1, 1, 0, 1, 0, 1, 1, 0])
-    got = {r["t"]: r["survival"] for r in V.kaplan_meier(df).collect()}
-    assert got == {k: pytest.approx(v) for k, v in
-                   {2: 0.875, 3: 0.75, 5: 0.6, 6: 0.45, 8: 0.225}.items()}
-    tie = V.kaplan_meier(durations(spark, [1, 1, 2], [1, 1, 0])).collect()
-    assert [(r["t"], r["survival"]) for r in tie] == [(1.0, pytest.approx(1 / 3))]
-    all_gone = V.kaplan_meier(durations(spark, [1, 2], [1, 1])).collect()
-    assert {r["t"]: r["survival"] for r in all_gone} == {1.0: pytest.approx(0.5), 2.0: 0.0}
+    for t, e in ((SPELLS, ENDED), ([3, 3, 3, 8], [1, 1, 1, 0]), ([2, 5, 5], [1, 1, 1])):
+        got = {r["t"]: r["survival"] for r in V.kaplan_meier(durations(spark, t, e)).collect()}
+        assert got == {k: pytest.approx(v, abs=1e-12) for k, v in survival_by_hand(t, e).items()}
 
 
 def test_restricted_mean(spark):
-    df = durations(spark, [2, 3, 3, 5, 6, 6, 8, 9], [1, 1, 0, 1, 0, 1, 1, 0])
-    want = 2 * 1 + 1 * 0.875 + 2 * 0.75 + 1 * 0.6 + 1 * 0.45  # to horizon 7
-    assert V.rmst(df, 7.0).first()["rmst"] == pytest.approx(want)
-    assert V.rmst(durations(spark, [3, 4], [0, 0]), 7.0).first()["rmst"] == 7.0
+    steps = survival_by_hand(SPELLS, ENDED)
+    level, at, want = 1.0, 0.0, 0.0
+    for u, s in [*steps.items(), (11.0, None)]:
+        if u > 11 or s is None:
+            want += level * (11 - at)
+            break
+        want, level, at = want + level * (u - at), s, u
+    assert V.rmst(durations(spark, SPELLS, ENDED), 11.0).first()["rmst"] == pytest.approx(want)
+    assert V.rmst(durations(spark, [6, 9], [0, 0]), 5.0).first()["rmst"] == 5.0
 
 
 def test_km_interval_holds_the_estimate(spark):
-    df = durations(spark, [2, 3, 3, 5, 6, 6, 8, 9], [1, 1, 0, 1, 0, 1, 1, 0])
-    rows = {r["time"]: r for r in V.km_interval(V.life_table(df), [1, 4, 7]).collect()}
-    assert set(rows) == {4.0, 7.0}
+    rows = {r["time"]: r for r in V.km_interval(V.life_table(durations(spark, SPELLS, ENDED)), [0.5, 5, 9]).collect()}
+    assert set(rows) == {5.0, 9.0}
     for r in rows.values():
         assert r["lower"] < r["survival"] < r["upper"]
 

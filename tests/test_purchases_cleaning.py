@@ -213,3 +213,22 @@ def test_entities_and_extracts(spark):
     a = spark.createDataFrame([("1", "x"), ("1", "x"), ("2", "y")], "k string, s string")
     b = spark.createDataFrame([("2", "other"), ("3", "z"), ("3", "z")], "k string, s string")
     assert S.union_overlapping_extracts(a, b, ["k"]).count() == 5
+
+
+def variant_scores(spark):
+    rows = [("reference", 1, 10.0), ("reference", 2, 90.0), ("a", 1, 10.0), ("b", 7, 50.0), ("c", 1, 10.0), ("c", 2, 95.0), ("c", 3, 60.0)]
+    return spark.createDataFrame(rows, "variant string, customer_id int, score double")
+
+
+def test_variants_that_lack_customers(spark):
+    from tallyfield.operators import cleaning as M
+
+    got = {r["variant"]: (round(r["total_change_pct"], 9), r["customers_moved"]) for r in M.variant_effects(variant_scores(spark)).collect()}
+    assert got == {"reference": (0.0, 0), "a": (-90.0, 1), "b": (-50.0, 2), "c": (65.0, 0)}
+
+
+def test_contact_lists_without_shared_customers(spark):
+    from tallyfield.operators import cleaning as M
+
+    got = {r["variant"]: (r["added"], r["dropped"], r["moved"]) for r in M.contact_list_moves(variant_scores(spark), "reference", 1.0, 1.0, 40.0).collect()}
+    assert got == {"a": (0, 1, 1), "b": (1, 1, 2), "c": (1, 0, 1)}
