@@ -429,24 +429,19 @@ def sbg_survival(times: DataFrame, alpha: float, beta: float, t: str = "t") -> D
         "retention", F.when(at > 0, (F.lit(beta - 1.0) + at) / (F.lit(alpha + beta - 1.0) + at)))
 
 
+def sbg_model(p: dict[str, Column]) -> Derivatives:
+    """One customer's log-likelihood: survived ``recency`` - 1 periods, then left in the next one unless recency = T."""
+    a, b, s = p["alpha"], p["beta"], F.col("recency") - 1
+    both = a + b
+    gone = (F.col("recency") < F.col("T")).cast("double")
+    last = both + s
+    value = _rising(b, s, 0) - _rising(both, s, 0) + gone * (F.log(a) - F.log(last))
+    out, bend = _rising(both, s, 1) + gone / last, _rising(both, s, 2) + gone / last**2
+    return Derivatives(value, {"alpha": gone / a - out, "beta": _rising(b, s, 1) - out},
+                       {("alpha", "alpha"): bend - gone / a**2, ("alpha", "beta"): bend, ("beta", "beta"): bend - _rising(b, s, 2)})
+
+
 def sbg_fit(customers: DataFrame, start: Mapping[str, float] | None = None) -> dict[str, float]:
     """Fit alpha and beta to (recency, T) rows; recency = T means still a customer."""
     cases = cut_lineage(customers.groupBy("recency", "T").agg(F.count(F.lit(1)).alias("n")))
-
-    def loglik(p: dict[str, Column]) -> Column:
-        a, b, t = p["alpha"], p["beta"], F.col("recency").cast("double")
-        alive = lgamma(b + t - 1) + lgamma(a + b) - lgamma(b) - lgamma(a + b + t - 1)
-        gone = F.log(a) - F.log(a + b + t - 1)
-        return alive + F.when(F.col("recency") < F.col("T"), gone).otherwise(0.0)
-
-    def gradient(p: dict[str, Column]) -> list[Column]:
-        a, b, t = p["alpha"], p["beta"], F.col("recency").cast("double")
-        left = F.col("recency") < F.col("T")
-        both = digamma(a + b) - digamma(a + b + t - 1)
-        out = F.when(left, 1 / (a + b + t - 1)).otherwise(0.0)
-        return [both + F.when(left, 1 / a).otherwise(0.0) - out,
-                both + digamma(b + t - 1) - digamma(b) - out]
-
-    start = start or {"alpha": 1.0, "beta": 1.5}
-    return maximize(cases, "n", ["alpha", "beta"], [start["alpha"], start["beta"]], loglik,
-                    gradient)
+    return maximize(cases, "n", ["alpha", "beta"], start or {"alpha": 1.0, "beta": 1.5}, sbg_model)

@@ -46,8 +46,8 @@ def totals(data: DataFrame, weight: str, names: Sequence[str], model: Callable[[
 
 
 def maximize(data: DataFrame, weight: str, names: Sequence[str], start: Mapping[str, float],
-             model: Callable[[dict[str, Column]], Derivatives], steps: int = 200,
-             settled: float = 1e-8, farthest: float = 1e11) -> dict[str, float]:
+             model: Callable[[dict[str, Column]], Derivatives], steps: int = 100,
+             settled: float = 1e-8, farthest: float = 1e9) -> dict[str, float]:
     """Positive parameters that maximize the weighted log-likelihood of ``data`` (distinct cases with counts).
 
     Works on the logarithms. A step solves the Newton system with its diagonal loaded until the quadratic
@@ -64,7 +64,7 @@ def maximize(data: DataFrame, weight: str, names: Sequence[str], start: Mapping[
 
     theta = np.log([float(start[n]) for n in names])
     value, grad, hess = look(theta)
-    load = 1e-3
+    load, idle = 1e-3, 0
     for _ in range(steps):
         bend = -np.linalg.eigvalsh(hess)
         size = max(float(np.abs(bend).max()), 1e-12)
@@ -82,7 +82,10 @@ def maximize(data: DataFrame, weight: str, names: Sequence[str], start: Mapping[
                 break
             continue
         load = max(load / 6, 1e-14) if gain > 0.5 * promise else load * 2 if gain < 0.1 * promise and promise > 1e-12 else load
+        idle = idle + 1 if gain < 1e-10 * max(1.0, abs(value)) else 0
         theta, (value, grad, hess) = theta + step, new
+        if idle == 6:
+            raise FitError(f"the likelihood hardly changes any more around {_shown(names, theta)}")
         if np.exp(np.abs(theta).max()) > farthest:
             raise FitError(f"the likelihood still rises at {_shown(names, theta)}: no finite maximum")
     raise FitError(f"not settled after the last step, at {_shown(names, theta)}")
