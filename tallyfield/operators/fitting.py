@@ -76,7 +76,7 @@ def maximize(data: DataFrame, weight: str, names: Sequence[str], start: Mapping[
         step *= min(1.0, 3.0 / float(np.abs(step).max()))
         new = look(theta + step)
         gain = new[0] - value
-        if not np.isfinite(new[0]) or gain < -1e-13 * max(1.0, abs(value)):
+        if not (np.isfinite(new[0]) and np.isfinite(new[1]).all() and np.isfinite(new[2]).all()) or gain < -1e-13 * max(1.0, abs(value)):
             load *= 8
             if load > 1e12:
                 break
