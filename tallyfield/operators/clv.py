@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyfield.functions.special import digamma, hyp2f1, log_beta, trigamma
+from tallyfield.functions.special import digamma, hyp2f1, lgamma, log_beta, trigamma
 from tallyfield.operators.draws import hdi, mean_and_hdi
 from tallyfield.operators.fitting import Derivatives, maximize
 from tallyfield.operators.ordering import exact_quantiles
