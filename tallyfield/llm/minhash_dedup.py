@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.llm.common import batch, rewritten, slices, text_array, texts_of
+from tallyfield.llm.common import batch, rewritten, row_key, slices, text_array, texts_of
 from tallyfield.llm.links import linked_components
 from tallyfield.llm.words import mix, shingle_hashes, words_of
 
@@ -106,8 +106,8 @@ def _features(k: int):
                     n.append(len(s))
                     node.append(set_name(s) if len(s) else None)
                     keys.append(band_keys(signature(s)) if len(s) else [])
-                yield batch(["doc_id", "n_shingles", "node", "keys"], [ids[lo:hi], n, node, keys],
-                            [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())])
+                yield batch(["doc_id", "key", "n_shingles", "node", "keys"], [ids[lo:hi], rb.column("key")[lo:hi], n, node, keys],
+                            [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())])
     return run
 
 
@@ -134,20 +134,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     percent: int = 80, miss: float = 1e-6) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
+    ``near_duplicate_rows`` without its key.
+    """
+    return near_duplicate_rows(docs, id_col, text_col, words, percent, miss).drop("key")
+
+
+def near_duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
+                        percent: int = 80, miss: float = 1e-6) -> DataFrame:
+    """One row per row of ``docs``: doc_id, key (``row_key``), n_shingles, component_id, kept.
+
     Two documents are linked when 100 * common >= percent * all of their distinct ``words``-word shingles;
     component_id is the smallest doc_id that links reach and kept tells whether it is the row's own. A text of
     fewer words is one shingle; a null, empty or blank text has none, is linked with nothing and kept. Rows that
-    repeat a doc_id and text are all kept if the id is. A null doc_id is never a component's name unless it has no
+    repeat a doc_id and text are all kept or all not; of linked rows that share a doc_id but not a text, one text is kept. A null doc_id is never a component's name unless it has no
     other, and such a row is kept only then. Other columns are not read.
     """
-    rows = texts_of(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    features = rewritten(rows.mapInArrow(_features(words), "doc_id long, n_shingles long, node long, keys array<long>"))
+    rows = texts_of(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("key", row_key())
+    features = rewritten(rows.mapInArrow(_features(words), "doc_id long, key long, n_shingles long, node long, keys array<long>"))
     members = features.where("node is not null").select(F.explode("keys").alias("key"), "node")
-    names = features.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("name"))
+    # the smallest id names a node, and of the texts under that id the smallest key; no id is the largest
+    name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "key")
+    names = features.where("node is not null").groupBy("node").agg(F.min(name).alias("name"))
 
     def payload(dealt: DataFrame) -> DataFrame:
-        wanted = dealt.join(names, "node").withColumnRenamed("name", "rep")
-        return (rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "node", "q", "bin", "split")
+        wanted = dealt.join(names, "node").select("node", "q", "bin", "split", F.col("name.key").alias("rep"))
+        return (rows.join(wanted, F.col("key") == F.col("rep")).select("text", "node", "q", "bin", "split")
                 .mapInArrow(_sets(words), "node long, q long, bin long, split int, keys array<long>, sig binary, shingles binary"))
 
     least = least_matches(percent, miss)
@@ -168,7 +179,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest = named.groupBy("root").agg(F.min("name").alias("component"))
     of_node = named.join(smallest, "root").select("node", "component")
     alone = names.join(of_node, "node", "left").select("node", F.coalesce("component", "name").alias("component"))
-    out = features.select("doc_id", "n_shingles", "node").join(alone, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      F.col("doc_id").eqNullSafe(component).alias("kept"))
+    out = features.select("doc_id", "key", "n_shingles", "node").join(alone, "node", "left")
+    lone = F.col("node").isNull()
+    return out.select("doc_id", "key", "n_shingles", F.when(lone, F.col("doc_id")).otherwise(F.col("component.id")).alias("component_id"),
+                      (lone | (F.col("key") == F.col("component.key"))).alias("kept"))
