@@ -2,10 +2,10 @@
 
 Patterns give the base spans: e-mail, IPv4, payment card (Luhn) and international phone number, leftmost and non-overlapping for
 each kind; a match that fails its test is dropped. They stay whatever the model says. The model adds what the patterns miss, such as
-numbers without a plus sign.
+numbers without a plus sign and spelled-out addresses.
 
-The model works on windows: runs of tokens with a digit or @, with CONTEXT tokens on either side. A segmentation covers a window by
-segments of 1 to MOST tokens of a kind, or single outside tokens; each segment is scored by features of the whole span (checksum,
+The model works on windows: runs of tokens with a digit or @ or of a spelled-out address, with CONTEXT tokens on either side. A segmentation
+covers a window by segments of 1 to MOST tokens of a kind (a spelled-out address may have more), or single outside tokens; each segment is scored by features of the whole span (checksum,
 digits, shape, separators, words before and behind) and of the kind before. Training maximises the conditional likelihood by
 forward-backward over all segmentations; decoding takes the best one by the same recursion with maxima.
 """
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,6 +36,12 @@ _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SIGN = re.compile(r"[0-9@]")
+# spelled-out addresses: from the "at" on, and the name before it, looked for in _BACK characters
+_DOT = r"(?:\.|\s{1,3}dot\s{1,3}|\s{0,3}[\[({<]\s{0,3}(?:dot|\.)\s{0,3}[\])}>]\s{0,3})"
+_AT_HOST = re.compile(r"(?i)(?:(?<=\s)at(?=\s)|[\[({<]\s{0,3}(?:at|@)\s{0,3}[\])}>])\s{0,3}[\w-]{1,63}(?:" + _DOT + r"[\w-]{1,63})*?" + _DOT
+                      + r"[^\W\d_]{2,24}(?![\w@-])(?!\.\w)(?!\s{1,3}dot\s{1,3}\w)(?!\s{0,3}[\[({<]\s{0,3}(?:dot|\.)\s{0,3}[\])}>]\s{0,3}\w)")
+_NAME = re.compile(r"(?i)[\w%+-]{1,64}(?:" + _DOT + r"[\w%+-]{1,64})*(?=\s{0,3}\Z)")
+_BACK = 200
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -79,14 +86,28 @@ def _octet(part: str) -> bool:
     return len(part) <= 3 and int(part) <= 255
 
 
+def spelled_out(text: str, start: int = 0, end: int | None = None) -> list[tuple[int, int]]:
+    """Places of what may be spelled-out addresses, such as ``jane.doe at example dot com``, in order and apart."""
+    out: list[tuple[int, int]] = []
+    for m in _AT_HOST.finditer(text, start, len(text) if end is None else end):
+        low = max(start, m.start() - _BACK, out[-1][1] if out else 0)
+        name = _NAME.search(text[low:m.start()])
+        if name:
+            out.append((low + name.start(), m.end()))
+    return out
+
+
 def windows(text: str) -> list[list[tuple[int, int]]]:
-    """Token places of the runs of tokens with a digit or @ and their neighbours."""
-    if not _SIGN.search(text):
+    """Token places of the runs of tokens with a digit or @ or of a spelled-out address, and their neighbours."""
+    spelled = spelled_out(text)
+    if not spelled and not _SIGN.search(text):
         return []
     tokens = [m.span() for m in _TOKEN.finditer(text)]
-    marked = [i for i, (a, b) in enumerate(tokens) if _SIGN.search(text, a, b)]
+    marked = {i for i, (a, b) in enumerate(tokens) if _SIGN.search(text, a, b)}
+    for a, b in spelled:
+        marked.update(_tokens_at(tokens, a, b))
     out: list[list[int]] = []
-    for i in marked:
+    for i in sorted(marked):
         lo, hi = max(0, i - CONTEXT), min(len(tokens), i + CONTEXT + 1)
         if out and lo <= out[-1][1]:
             out[-1][1] = hi
@@ -95,6 +116,11 @@ def windows(text: str) -> list[list[tuple[int, int]]]:
     return [tokens[a:b] for a, b in out]
 
 
+def _tokens_at(tokens: list[tuple[int, int]], start: int, end: int) -> range:
+    """Numbers of the tokens that a span touches."""
+    return range(bisect_right(tokens, start, key=lambda t: t[1]), bisect_left(tokens, end, key=lambda t: t[0]))
+
+
 _EDGE = ".,;:!?\"'()[]{}<>|"
 # words that stand beside personal data, by kind
 _CUES = (("mail", "email", "e-mail", "contact", "write"), ("ip", "host", "server", "address", "addr"),
@@ -121,13 +147,16 @@ def span_features(text: str, start: int, end: int, tokens: int, before: str, beh
     around = before.lower(), behind.lower()
     cues = [float(any(w.strip(_EDGE) in cue for w in around)) for cue in _CUES]
     address = _EMAIL.fullmatch(s) is not None
+    found = spelled_out(s)
+    spelled = bool(re.fullmatch(r"[\w.%+-]+\W{1,3}(?:at|@)\W{1,3}[\w-]+(?:\.|\W{1,3}dot\W{1,3})[\w.-]+", s)) or found == [(0, len(s))]
     return np.array([
-        address, "@" in s, bool(re.fullmatch(r"[\w.%+-]+\W{1,3}(?:at|@)\W{1,3}[\w-]+(?:\.|\W{1,3}dot\W{1,3})[\w.-]+", s)),
+        address, "@" in s, spelled,
         len(octets) == 4 and all(p.isdigit() and p.isascii() and _octet(p) for p in octets), s.count(".") == 3,
         14 <= n <= 19 and not letters, 14 <= n <= 19 and not letters and luhn(d), 10 <= n <= 15 and not letters,
         s[:1] == "+", "(" in s and ")" in s, "-" in s, len(groups) in (3, 4) and not letters,
         len(groups) >= 2 and len(groups[-1]) == 4 and not letters, 7 <= n <= 9 and not letters, 0 < n < 7, n == 0, n > 19, letters > 0,
         bool(re.fullmatch(r"[0-9a-f]{8,}", s)) and letters > 0, not all(c in "0123456789 ().+-" for c in s),
+        spelled and bool(re.search(r"(?i)\bdot\b|[\[({<]\s*(at|@)", s)), spelled and bool(re.match(r"\w+[.\d_%+-]", s)),
         *(tokens == k for k in range(1, MOST + 1)), *cues, 1.0], float)
 
 
@@ -139,11 +168,18 @@ class Window:
 
     def __init__(self, text: str, tokens: list[tuple[int, int]]):
         self.n, self.places, x = len(tokens), [], []
+        spelled: dict[int, list[tuple[int, int, int]]] = {}
+        for a, b in spelled_out(text, tokens[0][0], tokens[-1][1]):
+            at = _tokens_at(tokens, a, b)
+            spelled.setdefault(at[0], []).append((at[-1] + 1, a, b))
         for i in range(self.n):
+            each = []
             for j in range(i + 1, min(self.n, i + MOST) + 1):
                 a, b = trimmed(text, tokens[i][0], tokens[j - 1][1])
                 if a >= b:
                     a, b = tokens[i][0], tokens[j - 1][1]
+                each.append((j, a, b))
+            for j, a, b in each + [s for s in spelled.get(i, []) if s not in each]:
                 self.places.append((i, j, a, b))
                 word = lambda k: text[slice(*tokens[k])] if 0 <= k < self.n else ""
                 x.append(span_features(text, a, b, j - i, word(i - 1), word(j)))
@@ -265,7 +301,8 @@ def written_otherwise(text: str, spans: list[tuple[int, int, int]]) -> tuple[str
         new = old
         if kind == 0:
             name, _, host = old.partition("@")
-            new = f"{name} at {host}"
+            # by the name's length: the sign alone, the dots too, or both in brackets
+            new = (f"{name} at {host}", f"{name} at {host.replace('.', ' dot ')}", f"{name} [at] {host.replace('.', ' [dot] ')}")[len(name) % 3]
         elif kind == 2 and len(old) == 16 and old.isdigit():
             new = " ".join(old[i:i + 4] for i in range(0, 16, 4))
         elif kind == 3:
@@ -330,7 +367,7 @@ def all_spans(text: str, model: SemiCrf) -> tuple[list[tuple[int, int, int]], li
         lo, hi = tokens[0][0], tokens[-1][1]
         near = [(a, b) for a, b in covered if a < hi and b > lo]
         for a, kind, b in model.decode(Window(text, tokens)):
-            if all(b <= x or a >= y for x, y in near) and _SIGN.search(text, a, b):
+            if all(b <= x or a >= y for x, y in near) and (kind == 0 or _SIGN.search(text, a, b)):
                 added.append((a, kind, b))
     return base, sorted(base + added)
 

@@ -158,6 +158,24 @@ def test_find_pii(spark):
     assert crf_pii.find_pii(docs_of(spark, ["10.0.0.1 x 1 489 555-8583"]), untrained).first().spans == "ip:0:8"
 
 
+SPELLED = ["jane.doe at example dot com", "jane at example.org", "jane_doe [at] mail [dot] example [dot] org", "bob (at) example (dot) net",
+           "jane dot doe at mail dot example dot com"]
+
+
+def test_spelled_out_addresses_without_digits(spark):
+    rng = random.Random(3)
+    names = ["ann", "bert", "carla.x", "dora", "emil.jones"]
+    train = [f"please write to {rng.choice(names)}@mail.{rng.choice(['example.com', 'test.org'])} when version {i} is at home again" for i in range(90)]
+    model = crf_pii.fit(docs_of(spark, train))
+    around = ["please write to {} today or", "call +1 489 555 8583 or mail {} by then", "(mail: {}), thanks"]
+    texts = [a.format(s) for s in SPELLED for a in around] + ["we looked at home. dot com was at noon", "at dot at", "at"]
+    got = {r.doc_id: r for r in crf_pii.find_pii(docs_of(spark, texts), model).collect()}
+    for i, (s, a) in enumerate([(s, a) for s in SPELLED for a in around]):
+        at = a.index("{")
+        assert f"email:{at}:{at + len(s)}" in got[i].spans.split(","), texts[i]
+    assert [got[i].spans for i in range(len(texts) - 3, len(texts))] == [""] * 3
+
+
 def secret_texts():
     rng = random.Random(4)
     hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
