@@ -172,3 +172,28 @@ def test_line_groups_of_nothing(spark):
     out = fuzzy_lines.dedup_lines(spark.createDataFrame(rows, SCHEMA))
     assert out.columns == ["doc_id", "text", "node", "key", "root"]
     assert [r.doc_id for r in out.collect()] == [None, None]
+
+
+def test_lines_of_90_percent_are_found_without_a_block_condition(spark):
+    """All pairs by edit similarity alone: one or two words of 10, 25 and 60 changed, and single letters of short lines."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9)))
+    lines = []
+    for n, changed in [(10, 1), (25, 1), (25, 2), (60, 3), (4, 0), (1, 0)] * 15:
+        base = [word() for _ in range(n)] if n > 1 else ["".join(word() for _ in range(5))]
+        copy = list(base)
+        for at in rng.sample(range(n), changed):
+            copy[at] = "".join(rng.sample(copy[at], len(copy[at])))
+        if not changed:
+            text = " ".join(copy)
+            at = rng.randrange(len(text))
+            copy = [text[:at] + "q" + text[at + 1:]]
+        lines += [" ".join(base), " ".join(copy)]
+    normals = [normal(x) for x in lines]
+    linked = [(i, j) for i in range(len(lines)) for j in range(i) if fuzzy_lines.alike(normals[i], normals[j], 90)]
+    want = components(range(len(lines)), linked)
+    got = {r.doc_id: r.first_doc_id for r in fuzzy_lines.line_groups(
+        spark.createDataFrame([(i, x, "x", 1, 0.5) for i, x in enumerate(lines)], SCHEMA)).collect()}
+    found = sum(got[i] == got[j] for i, j in linked)
+    assert len(linked) > 60 and found >= 0.95 * len(linked)
+    assert all(want[got[i]] == want[i] for i in got)
