@@ -69,7 +69,27 @@ def _(spark, sf):
     return crossed(spark, sf)
 
 
-@query("D3", "cross_fit_logistic", "customer_id:i fold:i t_cf:2")
+# Newton steps of the three-parameter model for all folds at once; the 3 x 3 system by Cramer's rule
+@query("D3", "cross_fit_logistic", "customer_id:i fold:i t_cf:4", "folds5", """
+    WITH RECURSIVE cases AS (SELECT fold, t, balance / 1000 AS x, history AS z FROM folds5),
+    newton AS (
+      SELECT f, 0 AS step, CAST(0 AS DOUBLE) AS b0, CAST(0 AS DOUBLE) AS b1, CAST(0 AS DOUBLE) AS b2
+      FROM (SELECT unnest(range(5)) AS f) AS k
+      UNION ALL
+      SELECT f, step + 1,
+             b0 + (g0 * (b * c - e * e) - d1 * (g1 * c - e * g2) + d2 * (g1 * e - b * g2)) / det,
+             b1 + (a * (g1 * c - e * g2) - g0 * (d1 * c - e * d2) + d2 * (d1 * g2 - g1 * d2)) / det,
+             b2 + (a * (b * g2 - g1 * e) - d1 * (d1 * g2 - g1 * d2) + g0 * (d1 * e - b * d2)) / det
+      FROM (SELECT *, a * (b * c - e * e) - d1 * (d1 * c - e * d2) + d2 * (d1 * e - b * d2) AS det
+            FROM (SELECT f, step, any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2,
+                         sum(t - p) AS g0, sum((t - p) * x) AS g1, sum((t - p) * z) AS g2,
+                         sum(p * (1 - p)) AS a, sum(p * (1 - p) * x * x) AS b, sum(p * (1 - p) * z * z) AS c,
+                         sum(p * (1 - p) * x) AS d1, sum(p * (1 - p) * z) AS d2, sum(p * (1 - p) * x * z) AS e
+                  FROM (SELECT n.*, t, x, z, 1 / (1 + exp(-(b0 + b1 * x + b2 * z))) AS p
+                        FROM newton AS n JOIN cases ON fold <> f WHERE step < 12) AS q
+                  GROUP BY f, step) AS m) AS s)
+    SELECT customer_id, fold, 1 / (1 + exp(-(b0 + b1 * balance / 1000 + b2 * history))) AS t_cf
+    FROM folds5 JOIN newton ON f = fold AND step = 12""")
 def _(spark, sf):
     return D.cross_fit(folded(spark, sf).withColumn("x", F.col("balance") / 1000), "t",
                        ["x", "history"], "t_cf", "logistic")

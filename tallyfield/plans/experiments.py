@@ -106,7 +106,7 @@ def _(spark, sf):
     SELECT count(*) AS resamples, avg(ratio) AS mean_ratio, stddev_samp(ratio) AS se
     FROM (SELECT b, sum(w * revenue) / sum(w * sessions) AS ratio
           FROM (SELECT *, {poisson_sql(R.sql_uniform('ratio', 'customer_id', 'b'))} AS w
-                FROM (SELECT *, unnest(range(1, 101)) AS b FROM unit_ratio) AS x) AS y
+                FROM (SELECT *, unnest(range(1, 201)) AS b FROM unit_ratio) AS x) AS y
           GROUP BY b) AS r""")
 def _(spark, sf):
     return X.ratio_bootstrap(X.session_to_unit(sessions(spark, sf)), "revenue", "sessions",
