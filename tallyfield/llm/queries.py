@@ -77,8 +77,15 @@ def op10_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(docs, fit(docs))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyfield.llm.merkle_manifest import manifest
+
+    marked = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return manifest(table(spark, sf_dir, "documents"), marked)
+
+
 QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_brown_lm, op3_secret_forest, op4_media_chunks, op5_toxic_segments, op6_byte_bpe, op7_lp_packing, op8_fuzzy_line_dedup,
-                                  op9_exact_dedup, op10_crf_pii)}
+                                  op9_exact_dedup, op10_crf_pii, op11_merkle_manifest)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": """
@@ -100,4 +107,56 @@ links AS (
 reach AS (SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.v) AS component_id, s.doc_id = min(r.v) AS kept
 FROM sets s JOIN reach r ON r.u = s.doc_id GROUP BY s.doc_id, s.s""",
+    "op11_merkle_manifest": r"""
+WITH RECURSIVE fields AS (
+  SELECT doc_id, source, lang, n_chars, text,
+         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS folded,
+         list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+           lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, k: xor(x >> 1, (x & 1) * 3988292384))) AS crc
+  FROM documents),
+named AS (
+  SELECT *, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head
+  FROM fields),
+hashed AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(folded) || ':' || folded, '-')) AS forged, xor(crc, 4294967295) % 5 = 0 AS tampered FROM named),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n
+  FROM hashed),
+low AS (
+  SELECT source AS g, 0 AS level, pos, n, leaf AS h FROM leaves
+  UNION ALL
+  SELECT g, level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM low WHERE n > 1
+  GROUP BY g, level, pos // 16, n),
+subroots AS (
+  SELECT g, h, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+high AS (
+  SELECT 0 AS level, pos, n, h FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM high WHERE n > 1 GROUP BY level, pos // 16, n),
+nodes AS (
+  SELECT 0 AS tree, coalesce('=' || g, '') AS g, level, pos, n, h FROM low WHERE n > 1
+  UNION ALL SELECT 1, '', level, pos, n, h FROM high WHERE n > 1),
+siblings AS (
+  SELECT a.tree, a.g, a.level, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+         coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM nodes a JOIN nodes b ON a.tree = b.tree AND a.g = b.g AND a.level = b.level AND a.pos // 16 = b.pos // 16
+  GROUP BY a.tree, a.g, a.level, a.pos),
+steps AS (
+  SELECT x.source, x.pos, 0 AS tree, s.level, l, r FROM leaves x
+  JOIN siblings s ON s.tree = 0 AND s.g = coalesce('=' || x.source, '') AND s.pos = x.pos // CAST(pow(16, s.level) AS BIGINT)
+  UNION ALL
+  SELECT x.source, x.pos, 1, s.level, l, r FROM leaves x JOIN subroots u ON u.g IS NOT DISTINCT FROM x.source
+  JOIN siblings s ON s.tree = 1 AND s.pos = u.pos // CAST(pow(16, s.level) AS BIGINT)),
+paths AS (
+  SELECT source, pos, sha256(string_agg(l || r, '' ORDER BY tree, level)) AS proof, list({'l': l, 'r': r} ORDER BY tree, level) AS path
+  FROM steps GROUP BY source, pos),
+folded AS (
+  SELECT x.doc_id, x.leaf, u.h AS subroot, t.h AS root, coalesce(p.proof, sha256('')) AS proof_sha256,
+         list_reduce(list_prepend({'l': CASE WHEN tampered THEN forged ELSE leaf END, 'r': ''}, coalesce(p.path, [])),
+                     lambda a, s: {'l': sha256(s.l || a.l || s.r), 'r': ''}).l AS folded_root
+  FROM leaves x JOIN subroots u ON u.g IS NOT DISTINCT FROM x.source JOIN high t ON t.n = 1
+  LEFT JOIN paths p ON p.source IS NOT DISTINCT FROM x.source AND p.pos = x.pos)
+SELECT *, folded_root = root AS verified FROM folded""",
 }
