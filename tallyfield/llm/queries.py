@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from tallyfield.llm import license_index
 from tallyfield.llm.common import fold, table
 
 
@@ -84,8 +85,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents"), marked)
 
 
+def op12_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyfield.llm.license_index import scan
+
+    return scan(table(spark, sf_dir, "documents")).drop("matches").withColumn("score", F.round("score", 6))
+
+
 QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_brown_lm, op3_secret_forest, op4_media_chunks, op5_toxic_segments, op6_byte_bpe, op7_lp_packing, op8_fuzzy_line_dedup,
-                                  op9_exact_dedup, op10_crf_pii, op11_merkle_manifest)}
+                                  op9_exact_dedup, op10_crf_pii, op11_merkle_manifest, op12_license_index)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": """
@@ -107,6 +114,7 @@ links AS (
 reach AS (SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.v) AS component_id, s.doc_id = min(r.v) AS kept
 FROM sets s JOIN reach r ON r.u = s.doc_id GROUP BY s.doc_id, s.s""",
+    "op12_license_index": license_index.oracle_sql(),
     "op11_merkle_manifest": r"""
 WITH RECURSIVE fields AS (
   SELECT doc_id, source, lang, n_chars, text,
