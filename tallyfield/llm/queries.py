@@ -91,8 +91,15 @@ def op12_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).drop("matches").withColumn("score", F.round("score", 6))
 
 
+def op13_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyfield.llm.cover_tree import hard_negatives
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label_col=moved)
+
+
 QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_brown_lm, op3_secret_forest, op4_media_chunks, op5_toxic_segments, op6_byte_bpe, op7_lp_packing, op8_fuzzy_line_dedup,
-                                  op9_exact_dedup, op10_crf_pii, op11_merkle_manifest, op12_license_index)}
+                                  op9_exact_dedup, op10_crf_pii, op11_merkle_manifest, op12_license_index, op13_cover_tree)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": """
@@ -114,6 +121,22 @@ links AS (
 reach AS (SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.v) AS component_id, s.doc_id = min(r.v) AS kept
 FROM sets s JOIN reach r ON r.u = s.doc_id GROUP BY s.doc_id, s.s""",
+    "op13_cover_tree": """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM rows a JOIN rows b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10""",
     "op12_license_index": license_index.oracle_sql(),
     "op11_merkle_manifest": r"""
 WITH RECURSIVE fields AS (
