@@ -1,8 +1,8 @@
 """Geo experiments on a long panel (date, geo, sales, treated, post).
 
-The panel is already an aggregate, one row per geo and period. Estimators stay long; only the convex
-weight fit needs a matrix, and each fit (treated unit, placebo geo or placebo window) is its own group,
-so fits run in parallel.
+The panel is already an aggregate, one row per geo and period. Estimators stay long. A convex weight fit
+(treated unit, placebo geo or placebo window) needs the Gram matrix of its units alone, which is a
+distributed aggregate; fits run in parallel.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyfield.operators.ordering import exact_quantiles
+from tallyfield.session import cut_lineage
 
 
 def panel_wide(panel: DataFrame, geos: Sequence[str], outcome: str = "sales") -> DataFrame:
@@ -72,13 +73,18 @@ def event_study(panel: DataFrame, start, outcome: str = "sales") -> DataFrame:
 
 
 # ---- convex weights --------------------------------------------------------------------------------
-def simplex_weights(y: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Weights >= 0 that sum to 1 and minimize |y - x w|^2.
+#: Units of one fit at most: a fit's solver holds their Gram matrix.
+UNITS = 4096
+#: Name of the treated mean among the units; no geo can have it.
+TARGET = "\x00treated"
+
+
+def simplex_weights(gram: np.ndarray, cross: np.ndarray) -> np.ndarray:
+    """Weights >= 0 that sum to 1 and minimize |y - x w|^2, from ``gram`` = x'x and ``cross`` = x'y.
 
     Accelerated projected gradient steps from the unit closest to the target, on the Gram matrix divided by its
     trace; then the equality problem is solved exactly on the support that is left. An error if the steps do not settle.
     """
-    gram, cross = x.T @ x, x.T @ y
     size = float(np.trace(gram)) or 1.0
     gram, cross = gram / size, cross / size
     rate = 1.0 / max(float(np.linalg.norm(gram, 2)), 1e-12)
@@ -119,54 +125,86 @@ def _polish(w: np.ndarray, gram: np.ndarray, cross: np.ndarray) -> np.ndarray:
     return w / w.sum()
 
 
-def sc_weights(fits: DataFrame) -> DataFrame:
-    """Weights per fit from long rows (fit, date, pre, unit, value); unit NULL is the target.
+def unit_series(panel: DataFrame, outcome: str = "sales", missing: str = "zero") -> DataFrame:
+    """``unit, date, pre, value``: every control geo, and the mean of the treated geos as TARGET.
 
-    One task per fit; a fit is one panel of units x periods. A period without a row is a period
-    without sales.
+    A control without a row in some period has no row here, which the fits read as a period without sales;
+    with ``missing="error"`` it is an error.
     """
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pre = pdf[pdf["pre"] == 1]
-        wide = pre[pre["unit"].notna()].pivot(index="date", columns="unit", values="value")
-        wide = wide.sort_index().fillna(0.0)
-        target = pre[pre["unit"].isna()].set_index("date")["value"].reindex(wide.index).fillna(0.0)
-        w = simplex_weights(target.to_numpy(float), wide.to_numpy(float))
-        return pd.DataFrame({"fit": pdf["fit"].iloc[0], "unit": wide.columns, "weight": w})
-
-    return fits.groupBy("fit").applyInPandas(solve, "fit string, unit string, weight double")
-
-
-def _fit_rows(panel: DataFrame, outcome: str, donors_for_placebos: bool) -> DataFrame:
-    """Long rows of the treated fit and, if asked, of one placebo fit per control geo."""
-    controls = panel.filter("treated = 0")
     pre = (1 - F.col("post")).alias("pre")
-    target = panel.filter("treated = 1").groupBy("date", "post").agg(
-        F.avg(outcome).alias("value"))
-    nothing = F.lit(None).cast("string")
-    rows = target.select(F.lit("treated").alias("fit"), "date", pre, nothing.alias("unit"), "value")
-    rows = rows.unionByName(controls.select(
-        F.lit("treated").alias("fit"), "date", pre, F.col("geo").alias("unit"),
-        F.col(outcome).alias("value")))
-    if not donors_for_placebos:
-        return rows
-    names = controls.agg(F.collect_set("geo").alias("g")).scalar()  # one entry per control geo
-    each = controls.withColumn("_fits", names).select(
-        F.explode("_fits").alias("fit"), "date", pre, "geo", F.col(outcome).alias("value"))
-    unit = F.when(F.col("geo") != F.col("fit"), F.col("geo"))
-    return rows.unionByName(each.select("fit", "date", "pre", unit.alias("unit"), "value"))
-
-
-def synthetic_gaps(panel: DataFrame, outcome: str = "sales", placebos: bool = True) -> DataFrame:
-    """Actual and synthetic series per fit: the treated mean and each placebo geo."""
-    rows = _fit_rows(panel, outcome, placebos)
-    weights = sc_weights(rows)
-    synthetic = (rows.filter("unit is not null").join(weights, ["fit", "unit"])
-                 .groupBy("fit", "date", "pre")
-                 .agg(F.sum(F.col("weight") * F.col("value")).alias("synthetic")))
-    actual = rows.filter("unit is null").select("fit", "date", F.col("value").alias("_a"))
-    return synthetic.join(actual, ["fit", "date"], "left").withColumn(
-        "actual", F.coalesce("_a", F.lit(0.0))).drop("_a").withColumn(
-        "gap", F.col("actual") - F.col("synthetic"))
+    controls = panel.filter("treated = 0").select(F.col("geo").alias("unit"), "date", pre, F.col(outcome).alias("value"))
+    target = panel.filter("treated = 1").groupBy("date", "post").agg(F.avg(outcome).alias("value")).select(
+        F.lit(TARGET).alias("unit"), "date", pre, "value")
+    if missing == "error":
+        size = panel.agg(F.countDistinct("geo", "date").alias("cells"), F.countDistinct("geo").alias("geos"),
+                         F.countDistinct("date").alias("dates")).first()
+        if size["cells"] != size["geos"] * size["dates"]:
+            raise ValueError(f"{size['geos'] * size['dates'] - size['cells']} cells of the panel have no row")
+    elif missing != "zero":
+        raise ValueError(f"missing is 'zero' or 'error', not {missing!r}")
+    return controls.unionByName(target)
+
+
+def _products(rows: DataFrame, by: str) -> DataFrame:
+    """``a <= b`` and the product of their values in each period: one join on the period. Summed map-side by its readers,
+    so what is shuffled is the half of units x units."""
+    left = rows.select(by, F.col("unit").alias("a"), F.col("value").alias("_x"))
+    right = rows.select(F.col(by).alias("_by"), F.col("unit").alias("b"), F.col("value").alias("_y"))
+    return left.join(right, (F.col(by) == F.col("_by")) & (F.col("a") <= F.col("b"))).select(
+        by, "a", "b", (F.col("_x") * F.col("_y")).alias("product"))
+
+
+def _square(a: np.ndarray, b: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names in order, and the symmetric matrix of the pairs."""
+    names, at = np.unique(np.concatenate([a, b]).astype(str), return_inverse=True)
+    i, j = at[:len(a)], at[len(a):]
+    out = np.zeros((len(names), len(names)))
+    out[i, j] = out[j, i] = value
+    return names, out
+
+
+def sc_weights(series: DataFrame, placebos: bool = False) -> DataFrame:
+    """``fit, unit, weight`` from the rows of ``unit_series``: the fit ``treated`` of the TARGET on all controls and, with
+    ``placebos``, one fit of every control on the others.
+
+    The pre-period Gram matrix of all units is one distributed aggregate. Every fit is that matrix less the rows and columns
+    of its target and of TARGET, so no fit sees the panel again; fits are solved in parallel tasks. An error if there are more than
+    UNITS units.
+    """
+    spark = series.sparkSession
+    pairs = _products(series.filter("pre = 1"), "date").groupBy("a", "b").agg(F.sum("product").alias("s"))
+    held = pairs.limit(UNITS * (UNITS + 1) // 2 + 1).toPandas()
+    names, gram = _square(held["a"].to_numpy(), held["b"].to_numpy(), held["s"].to_numpy(float))
+    if len(names) > UNITS:
+        raise ValueError(f"{len(names)} units; a fit holds the Gram matrix of {UNITS} at most")
+    donors = names != TARGET
+    fits = series.filter((F.col("pre") == 1) & (F.lit(placebos) | (F.col("unit") == TARGET))).select("unit").distinct()
+
+    def solve(frames):
+        for pdf in frames:
+            for target in pdf["unit"]:
+                of, own = donors & (names != target), int(np.flatnonzero(names == target)[0])
+                w = simplex_weights(gram[np.ix_(of, of)], gram[of, own]) if of.any() else np.empty(0)
+                yield pd.DataFrame({"fit": "treated" if target == TARGET else target, "unit": names[of], "weight": w})
+
+    tasks = max(1, min(len(names), spark.sparkContext.defaultParallelism))
+    return fits.repartition(tasks, "unit").mapInPandas(solve, "fit string, unit string, weight double")
+
+
+def synthetic_gaps(panel: DataFrame, outcome: str = "sales", placebos: bool = True, missing: str = "zero") -> DataFrame:
+    """Actual and synthetic series per fit: the treated mean and each placebo geo.
+
+    Only units with a weight are joined to their series, so rows grow with the weights' support.
+    """
+    series = cut_lineage(unit_series(panel, outcome, missing))
+    weights = cut_lineage(sc_weights(series, placebos))
+    parts = (weights.filter("weight > 0").join(series, "unit").select("fit", "date", "pre", (F.col("weight") * F.col("value")).alias("_s"),
+                                                                     F.lit(0.0).alias("_a")))
+    named = F.when(F.col("unit") == TARGET, "treated").otherwise(F.col("unit"))
+    own = series.filter(F.lit(placebos) | (F.col("unit") == TARGET)).select(
+        named.alias("fit"), "date", "pre", F.lit(0.0).alias("_s"), F.col("value").alias("_a"))
+    return (parts.unionByName(own).groupBy("fit", "date", "pre").agg(F.sum("_s").alias("synthetic"), F.sum("_a").alias("actual"))
+            .withColumn("gap", F.col("actual") - F.col("synthetic")))
 
 
 def fit_statistics(gaps: DataFrame) -> DataFrame:
@@ -211,40 +249,51 @@ def permutation_pvalue(stats: DataFrame, statistic: str = "rmspe_ratio",
 
 
 def placebo_in_time(panel: DataFrame, window: int = 10, history: int = 26,
-                    outcome: str = "sales") -> DataFrame:
+                    outcome: str = "sales", silent_donors: str = "drop") -> DataFrame:
     """Estimated lift in every pre-period window that has ``history`` periods before it.
 
     Series are indexed to their mean before the window, as levels differ. A window that starts at
-    period s is one group and sees periods up to its own end only.
+    period s sees periods up to its own end only: its Gram matrix is the running sum of the units' products up to s - 1,
+    its totals are differences of running sums, so a window's fit gets units x units numbers and no panel. A geo without a
+    row in some period had no sales in it. A control without sales before a window can't be indexed: it is left out of
+    that window's donors, or is an error with ``silent_donors="error"``.
     """
+    if silent_donors not in ("drop", "error"):
+        raise ValueError(f"silent_donors is 'drop' or 'error', not {silent_donors!r}")
     pre = panel.filter("post = 0")
-    time = pre.select("date").distinct().select(
-        "date", (F.row_number().over(W.orderBy("date")) - 1).alias("t"))
-    numbered = pre.join(time, "date")
-    count = time.agg(F.count(F.lit(1)).alias("n")).scalar()
-    last = F.col("_n") - window
-    low = F.greatest(F.lit(history), F.col("t") - (window - 1))
-    rows = numbered.withColumn("_n", count).withColumn("_last", last).filter(
-        low <= F.col("_last")).select(
-        "t", "geo", "treated", F.col(outcome).alias("value"),
-        F.explode(F.sequence(low, F.col("_last"))).alias("start"))
-
-    def estimate(pdf: pd.DataFrame) -> pd.DataFrame:
-        start = int(pdf["start"].iloc[0])
-        y = pdf[pdf["treated"] == 1].groupby("t")["value"].sum()
-        y = y.reindex(range(start + window)).fillna(0.0).to_numpy(float)
-        x = pdf[pdf["treated"] == 0].pivot(index="t", columns="geo", values="value")
-        x = x.reindex(range(start + window)).fillna(0.0).to_numpy(float)
-        fit = np.arange(start + window) < start
-        x = x[:, x[fit].sum(axis=0) > 0]
-        mean = y[fit].mean()
-        indexed = x / x[fit].mean(axis=0)
-        w = simplex_weights((y / mean)[fit], indexed[fit])
-        extra = float((y - indexed @ w * mean)[~fit].sum())
-        lift = 100 * extra / (y[~fit].sum() - extra)
-        return pd.DataFrame({"start": [start], "lift_pct": [lift]})
-
-    return rows.groupBy("start").applyInPandas(estimate, "start int, lift_pct double")
+    periods = pre.select("date").distinct()
+    # periods are calendar dates: as many rows as the panel is long
+    time = periods.select("date", (F.row_number().over(W.orderBy("date")) - 1).alias("t"))
+    count = periods.count()
+    unit = F.when(F.col("treated") == 1, F.lit(TARGET)).otherwise(F.col("geo"))
+    sales = pre.join(time, "date").groupBy(unit.alias("unit"), "t").agg(F.sum(outcome).alias("value"))
+    # every unit has every period, so that running sums stand at every start
+    grid = sales.select("unit").distinct().withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(max(count, 1) - 1))))
+    cells = cut_lineage(grid.join(sales, ["unit", "t"], "left").select("unit", "t", F.coalesce("value", F.lit(0.0)).alias("value")))
+    starts = (F.col("start") >= history) & (F.col("start") <= count - window)
+    running = W.partitionBy("a", "b").orderBy("t")
+    grams = (_products(cells, "t").select("a", "b", (F.col("t") + 1).alias("start"), F.sum("product").over(running).alias("s"))
+             .filter(starts))
+    so_far = W.partitionBy("unit").orderBy("t")
+    totals = cells.select("unit", (F.col("t") + 1).alias("start"), F.sum("value").over(so_far).alias("before"),
+                          F.sum("value").over(so_far.rowsBetween(1, window)).alias("within")).filter(starts)
+
+    def estimate(gram: pd.DataFrame, total: pd.DataFrame) -> pd.DataFrame:
+        start = int(total["start"].iloc[0])
+        names, g = _square(gram["a"].to_numpy(), gram["b"].to_numpy(), gram["s"].to_numpy(float))
+        total = total.set_index("unit").reindex(names)
+        mean = total["before"].to_numpy() / start
+        own, donors = names == TARGET, (names != TARGET) & (mean > 0)
+        if silent_donors == "error" and donors.sum() + 1 < len(names):
+            raise ValueError(f"a control has no sales before period {start}")
+        m = mean[own][0]
+        x = mean[donors]
+        w = simplex_weights(g[np.ix_(donors, donors)] / np.outer(x, x), g[donors][:, own][:, 0] / (x * m))
+        within = total["within"].to_numpy()
+        extra = within[own][0] - m * float(within[donors] / x @ w)
+        return pd.DataFrame({"start": [start], "lift_pct": [100 * extra / (within[own][0] - extra)]})
+
+    return grams.groupBy("start").cogroup(totals.groupBy("start")).applyInPandas(estimate, "start int, lift_pct double")
 
 
 def placebo_interval(errors: DataFrame, lift_pct: float) -> DataFrame:

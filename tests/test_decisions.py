@@ -171,9 +171,9 @@ def test_simplex_weights():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(40, 6)) + 5
     true = np.array([0.5, 0.3, 0.2, 0, 0, 0])
-    np.testing.assert_allclose(G.simplex_weights(x @ true, x), true, atol=1e-8)
+    np.testing.assert_allclose(G.simplex_weights(x.T @ x, x.T @ (x @ true)), true, atol=1e-8)
     y = x @ true + rng.normal(size=40) * 0.3
-    w = G.simplex_weights(y, x)
+    w = G.simplex_weights(x.T @ x, x.T @ y)
     assert w.min() >= 0 and w.sum() == pytest.approx(1)
     grad = x.T @ (x @ w - y)  # optimality: equal on the support, no smaller elsewhere
     level = grad[w > 1e-9]
@@ -196,6 +196,34 @@ def panel(spark, lift=1.1):
         "date", F.date_add(F.col("d").cast("date"), F.col("p") * 7)).drop("d")
 
 
+def test_placebo_windows_equal_a_plain_fit_of_each_window(spark):
+    df = panel(spark).filter("not (geo = 'g4' and p = 30) and not (geo = 'g5' and p < 28)")
+    pre = df.filter("post = 0").toPandas()
+    wide = pre.pivot_table(index="p", columns="geo", values="sales", aggfunc="sum").fillna(0.0)
+    y, got = wide[["g0", "g1"]].sum(axis=1).to_numpy(), {r["start"]: r["lift_pct"] for r in G.placebo_in_time(df, 6, 26).collect()}
+    assert sorted(got) == list(range(26, 45))
+    for s, lift in got.items():
+        x = wide[[f"g{g}" for g in range(2, 8) if wide[f"g{g}"][:s].sum() > 0]].to_numpy()
+        x = x / x[:s].mean(axis=0)
+        m = y[:s].mean()
+        w = G.simplex_weights(x[:s].T @ x[:s], x[:s].T @ (y[:s] / m))
+        synthetic = (x @ w * m)[s:s + 6].sum()
+        assert lift == pytest.approx(100 * (y[s:s + 6].sum() - synthetic) / synthetic, abs=1e-6)
+    with pytest.raises(Exception, match="no sales before period"):
+        G.placebo_in_time(df, 6, 26, silent_donors="error").collect()
+
+
+def test_missing_cells_count_as_no_sales_or_are_an_error(spark):
+    df = panel(spark)
+    holed = df.filter("not (geo = 'g4' and p = 30)")
+    zeros = df.withColumn("sales", F.when((F.col("geo") == "g4") & (F.col("p") == 30), 0.0).otherwise(F.col("sales")))
+    a, b = ({r["unit"]: r["weight"] for r in G.sc_weights(G.unit_series(x)).collect()} for x in (holed, zeros))
+    assert a == pytest.approx(b)
+    assert G.unit_series(df, missing="error").count() == 7 * 60
+    with pytest.raises(ValueError, match="1 cells"):
+        G.unit_series(holed, missing="error")
+
+
 def test_geo_readouts_find_the_lift(spark):
     df = panel(spark)
     start = df.filter("post = 1").agg(F.min("date")).first()[0]
