@@ -10,17 +10,21 @@ run side by side.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping, Sequence
+from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyfield.functions.uniform import uniform
+from tallyfield.functions.uniform import TWO_32
 from tallyfield.operators.ordering import exact_quantiles, ranked
+from tallyfield.operators.resample import by_resample, sum_each
 from tallyfield.session import cut_lineage
 
 START, CONV, NULL = "start", "conv", "null"
@@ -176,14 +180,18 @@ def transition_matrix(counts: DataFrame, by: Sequence[str] = (), n: str = "n") -
     The two absorbing states keep themselves with probability 1.
     """
     by = list(by)
+    moves = _moves(counts, n, by).groupBy(*by, "s", "s2").agg(F.sum(n).cast("double").alias("n"))
+    return _with_absorbing(moves, by)
+
+
+def _moves(counts: DataFrame, n: str, by: Sequence[str] = ()) -> DataFrame:
+    """A row per step of each path from start to conv or null, with its count ``n``."""
     end = F.when(F.col("converted") == 1, CONV).otherwise(NULL)
     states = F.concat(F.array(F.lit(START)), F.col("path"), F.array(end))
     pairs = F.zip_with(F.slice(states, F.lit(1), F.size(states) - 1),
                        F.slice(states, F.lit(2), F.size(states) - 1),
                        lambda a, b: F.struct(a.alias("s"), b.alias("s2")))
-    moves = counts.select(*by, F.col(n).alias("_n"), F.inline(pairs)).groupBy(*by, "s", "s2").agg(
-        F.sum("_n").cast("double").alias("n"))
-    return _with_absorbing(moves, by)
+    return counts.select(*by, n, F.inline(pairs))
 
 
 def _with_absorbing(moves: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -346,48 +354,95 @@ def credit_vs_truth(credit: DataFrame, truth: DataFrame) -> DataFrame:
 POISSON_BLOCK = 500
 
 
-def poisson_block(m: Column, u: Column) -> Column:
-    """Poisson(m) count for m up to POISSON_BLOCK by inverting the CDF at the uniform ``u``."""
-    m = m.cast("double")
-    none = F.exp(-m)
-    start = F.struct(none.alias("pmf"), none.alias("cdf"), F.when(u >= none, 1).otherwise(0).alias("k"))
+@lru_cache(maxsize=POISSON_BLOCK)
+def poisson_cdf(m: int) -> np.ndarray:
+    """P(X <= k) of Poisson(m) for k = 0, 1, ... to where less than 1e-14 is left."""
+    k = np.arange(int(m + 12 * np.sqrt(m) + 20) + 1)
+    return np.cumsum(np.exp(-m + np.concatenate([[0.0], np.cumsum(np.log(m / k[1:]))])))
 
-    def step(acc: Column, j: Column) -> Column:
-        pmf = acc["pmf"] * m / j
-        cdf = acc["cdf"] + pmf
-        return F.struct(pmf.alias("pmf"), cdf.alias("cdf"),
-                        (acc["k"] + F.when(u >= cdf, 1).otherwise(0)).alias("k"))
 
-    last = (m + 8 * F.sqrt(m) + 10).cast("int")  # beyond it less than 1e-14 is left
-    return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["k"])
+def _drawn(resamples: int):
+    """Poisson counts of each row's block, by inverting the CDF at the md5 uniforms of ``_key|b|_block``."""
+    names = [f"|{b}|" for b in range(1, resamples + 1)]
 
+    def run(batches):
+        for rb in batches:
+            out = np.empty((rb.num_rows, resamples), np.int64)
+            for r, (key, m, block) in enumerate(zip(*(rb.column(c).to_pylist() for c in ("_key", "_m", "_block")), strict=True)):
+                head = hashlib.md5(key.encode())
+                u = np.empty(resamples)
+                for i, name in enumerate(names):
+                    h = head.copy()
+                    h.update(f"{name}{block}".encode())
+                    u[i] = int.from_bytes(h.digest()[:4], "big") / TWO_32
+                out[r] = np.searchsorted(poisson_cdf(m), u, "right")
+            ends = np.arange(0, out.size + 1, resamples, dtype=np.int32)
+            keep = [c for c in rb.schema.names if c not in ("_key", "_m", "_block")]
+            yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()))],
+                                             names=[*keep, "w"])
+    return run
 
-def resampled_counts(counts: DataFrame, resamples: int, salt: str = "journeys") -> DataFrame:
-    """Path counts ``w`` of every resample b, each journey drawn Poisson(1) times.
+
+def resampled_weights(counts: DataFrame, resamples: int, salt: str = "journeys") -> DataFrame:
+    """``counts`` with the array ``w``: how often each resample draws the path, each journey Poisson(1) times.
 
     The n equal journeys of a path are drawn in blocks of POISSON_BLOCK, a row each, and added up: the draw is exact for
     any n, and a path with very many journeys is work for many tasks.
     """
     spark = counts.sparkSession
     last = F.floor((F.col("n") - 1) / POISSON_BLOCK).cast("bigint")
-    rows = (counts.select("*", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"))
-            .select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("_block"))
+    rows = (counts.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("_block"))
             # few bytes, much work: keep the partitions that were asked for
-            .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "converted", "b", "_block"))
-    size = F.least(F.lit(POISSON_BLOCK), F.col("n") - F.col("_block") * POISSON_BLOCK)
-    u = uniform(salt, F.array_join("path", ">"), "converted", "b", "_block")
-    drawn = rows.withColumn("_w", poisson_block(size, u)).filter("_w > 0")
-    return drawn.groupBy(*counts.columns, "b").agg(F.sum("_w").cast("bigint").alias("w"))
+            .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "converted", "_block"))
+    size = F.least(F.lit(POISSON_BLOCK), F.col("n") - F.col("_block") * POISSON_BLOCK).cast("int")
+    keyed = rows.withColumns({"_key": F.concat_ws("|", F.lit(salt), F.array_join("path", ">"), F.col("converted").cast("string")), "_m": size})
+    kinds = ", ".join(f"{c} {t}" for c, t in counts.dtypes)
+    drawn = keyed.mapInArrow(_drawn(resamples), f"{kinds}, w array<bigint>")
+    return drawn.groupBy(*counts.columns).agg(sum_each(F.col("w"), resamples).alias("w"))
+
+
+def resampled_counts(counts: DataFrame, resamples: int, salt: str = "journeys") -> DataFrame:
+    """Path counts ``w`` of every resample b that draws the path."""
+    return (resampled_weights(counts, resamples, salt).select(*counts.columns, F.posexplode("w").alias("_at", "w"))
+            .withColumn("b", F.col("_at") + 1).drop("_at").filter("w > 0"))
 
 
 def bootstrap_credit(counts: DataFrame, channels: Sequence[str], resamples: int = 200,
                      salt: str = "journeys", absent: float | None = None) -> DataFrame:
     """Credit of all five methods on every resample (b, method, channel, credit).
 
-    The resampled counts are written out once, as the methods read them separately.
+    Paths carry the weights of all resamples as one array. What the methods need of them (credit by rule, transitions,
+    conversions by set of channels) is summed position by position; only these sums, whose number the channels bound, are laid
+    out by resample.
     """
-    drawn = cut_lineage(resampled_counts(counts, resamples, salt))
-    return all_methods(drawn, channels, ["b"], "w", absent)
+    drawn = cut_lineage(resampled_weights(counts, resamples, salt))
+    facts = path_facts(drawn, channels)
+
+    def summed(rows: DataFrame, keys: Sequence[str], factor: Column | None = None, name: str = "n") -> DataFrame:
+        return by_resample(rows.groupBy(*keys).agg(sum_each(F.col("w"), resamples, factor).alias(name)), [name], keys)
+
+    per = F.filter("per_channel", lambda x: x["k"] > 0)
+    cell = lambda rule, c, share: F.struct(F.lit(rule).alias("method"), c.alias("channel"), share.alias("share"))
+    shares = F.concat(F.array(cell("last", F.col("last"), F.lit(1.0))), F.array(cell("first", F.col("first"), F.lit(1.0))),
+                      F.transform(per, lambda x: cell("linear", x["channel"], x["k"] / F.col("touches"))))
+    won = facts.filter("converted = 1").select(F.inline(_only_listed(channels, shares)), "w")
+    grid = F.array(*[F.struct(F.lit(r).alias("method"), F.lit(c).alias("channel")) for r in RULES for c in channels])
+    given = cut_lineage(summed(won, ["method", "channel"], F.col("share"), "credit"))
+    # every resample that drew anything has a row for every rule and channel
+    sets = cut_lineage(summed(facts, ["channels", "converted"]).groupBy("b", "channels").agg(
+        F.sum("n").alias("journeys"), F.sum(F.when(F.col("converted") == 1, F.col("n")).otherwise(0)).alias("conversions"))
+        .filter("journeys > 0"))
+    totals = sets.groupBy("b").agg(F.sum("conversions").alias("conversions"))
+    rules = (totals.select("b", F.inline(grid)).join(given, ["b", "method", "channel"], "left")
+             .select("b", "method", "channel", F.coalesce("credit", F.lit(0.0)).alias("credit")))
+    moves = summed(_moves(drawn, "w"), ["s", "s2"]).filter("n > 0").select("b", "s", "s2", F.col("n").cast("double").alias("n"))
+    chain = markov(_with_absorbing(moves, ["b"]), channels, ["b"])
+    removal = markov_credit(chain, totals, ["b"])
+    coalitions = sets.select("b", F.array_join("channels", " + ").alias("set"), "channels", F.size("channels").alias("size"),
+                             "journeys", "conversions", (F.col("conversions") / F.col("journeys")).alias("rate"))
+    shapley = shapley_credit(coalitions, channels, ["b"], absent)
+    return (rules.unionByName(removal.withColumn("method", F.lit("markov")))
+            .unionByName(shapley.withColumn("method", F.lit("shapley"))))
 
 
 # ---- decisions -------------------------------------------------------------------------------------------

@@ -12,7 +12,7 @@ from tallyfield.functions.special import digamma, hyp2f1, lgamma, log_beta, trig
 from tallyfield.operators.draws import hdi, mean_and_hdi
 from tallyfield.operators.fitting import Derivatives, maximize
 from tallyfield.operators.ordering import exact_quantiles
-from tallyfield.operators.resample import with_resamples
+from tallyfield.operators.resample import resampled_sums
 from tallyfield.session import cut_lineage
 
 WEEKS_PER_MONTH = 30.4375 / 7
@@ -271,10 +271,9 @@ def holdout_scorecard(predictions: DataFrame, actual: str = "actual",
 def mae_difference_bootstrap(errors: DataFrame, a: str, b: str, key: str = "customer_id",
                              resamples: int = 200, salt: str = "mae") -> DataFrame:
     """Bootstrap draws of MAE(a) - MAE(b) over customers (Poisson weights)."""
-    rows = with_resamples(errors, [key], resamples, salt, "w")
     gap = F.abs(F.col(a)) - F.abs(F.col(b))
-    return rows.groupBy("b").agg(
-        (F.sum(F.col("w") * gap) / F.sum("w")).alias("value"))
+    sums = resampled_sums(errors, {"total": gap, "size": F.lit(1)}, [key], resamples, salt)
+    return sums.select("b", F.try_divide("total", "size").alias("value"))
 
 
 def gbt_forecast(design: DataFrame, features: Sequence[str], target: str = "target",

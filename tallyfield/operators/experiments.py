@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallyfield.functions.special import erfc
 from tallyfield.functions.uniform import uniform
 from tallyfield.operators.ordering import cumulate, ranked
-from tallyfield.operators.resample import with_resamples
+from tallyfield.operators.resample import resampled_sums
 
 Z95 = NormalDist().inv_cdf(0.975)
 
@@ -145,9 +145,8 @@ def ratio_delta(df: DataFrame, num: str, den: str) -> DataFrame:
 def ratio_bootstrap(df: DataFrame, num: str, den: str, key: str, resamples: int = 200,
                     salt: str = "ratio") -> DataFrame:
     """Standard error of the ratio by resampling units (Poisson weights, see resample)."""
-    rows = with_resamples(df, [key], resamples, salt, "w")
-    per = rows.groupBy("b").agg(
-        (F.sum(F.col("w") * F.col(num)) / F.sum(F.col("w") * F.col(den))).alias("ratio"))
+    sums = resampled_sums(df, {"n": F.col(num), "d": F.col(den)}, [key], resamples, salt)
+    per = sums.select("b", F.try_divide("n", "d").alias("ratio"))
     return per.agg(F.count(F.lit(1)).alias("resamples"), F.avg("ratio").alias("mean_ratio"),
                    F.stddev_samp("ratio").alias("se"))
 

@@ -7,9 +7,9 @@ bootstrap in the limit, with a random total size. Weights come from hashes, so t
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfield.functions.uniform import poisson_one, uniform
@@ -24,3 +24,29 @@ def with_resamples(df: DataFrame, key: Sequence[str], resamples: int, salt: str
     rows = df.select("*", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"))
     return (rows.withColumn(name, poisson_one(uniform(salt, *key, "b")))
             .filter(F.col(name) > 0))
+
+
+def resample_weights(key: Sequence[str], resamples: int, salt: str = "boot") -> Column:
+    """The weights of :func:`with_resamples` as one array: position b - 1 is resample b's."""
+    u = F.transform(F.sequence(F.lit(1), F.lit(resamples)), lambda b: uniform(salt, *key, b))
+    return F.transform(u, poisson_one)
+
+
+def sum_each(values: Column, size: int, factor: Column | None = None) -> Column:
+    """Position by position sums of arrays of ``size``, an ordinary partial aggregate: rows are not multiplied."""
+    at = (F.get(values, F.lit(i)) for i in range(size))
+    return F.array(*[F.sum(x if factor is None else x * factor) for x in at])
+
+
+def resampled_sums(df: DataFrame, sums: Mapping[str, Column], key: Sequence[str], resamples: int, salt: str = "boot",
+                   by: Sequence[str] = ()) -> DataFrame:
+    """Weighted sums of every resample: ``by``, b and a column per entry of ``sums``, from one pass over the rows."""
+    rows = df.select(*by, *[c.alias(f"_{n}") for n, c in sums.items()], resample_weights(key, resamples, salt).alias("_w"))
+    vectors = rows.groupBy(*by).agg(*[sum_each(F.col("_w"), resamples, F.col(f"_{n}")).alias(n) for n in sums])
+    return by_resample(vectors, list(sums), by)
+
+
+def by_resample(vectors: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Arrays of sums as long rows (``by``, b, ``names``)."""
+    return vectors.select(*by, F.posexplode(F.arrays_zip(*names)).alias("_at", "_s")).select(
+        *by, (F.col("_at") + 1).alias("b"), *[F.col(f"_s.{n}").alias(n) for n in names])

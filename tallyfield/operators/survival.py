@@ -10,12 +10,14 @@ from collections.abc import Mapping, Sequence
 from statistics import NormalDist
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyfield.functions.special import erfc
-from tallyfield.operators.ordering import cumulate, exact_quantiles
-from tallyfield.operators.resample import with_resamples
+from tallyfield.operators.ordering import cumulate, exact_quantiles, with_range_bucket
+from tallyfield.operators.resample import by_resample, resample_weights, sum_each
 from tallyfield.session import cut_lineage
 
 DAYS_PER_MONTH = 30.4375
@@ -156,6 +158,10 @@ def rmst_by_plan(subs: DataFrame, horizon: float, weights: DataFrame | Mapping[s
         weights = subs.sparkSession.createDataFrame(list(weights.items()),
                                                     f"{plan} string, weight double")
     area = rmst(subs, horizon, by=[*by, plan, onboarded], weight=weight)
+    return _plan_gaps(area, weights, by, plan, onboarded)
+
+
+def _plan_gaps(area: DataFrame, weights: DataFrame, by: Sequence[str], plan: str, onboarded: str) -> DataFrame:
     wide = area.groupBy(*by, plan).agg(
         F.max(F.when(F.col(onboarded) == 1, F.col("rmst"))).alias("rmst_onboarded"),
         F.max(F.when(F.col(onboarded) == 0, F.col("rmst"))).alias("rmst_not"))
@@ -178,9 +184,62 @@ def rmst_bootstrap(subs: DataFrame, horizon: float, weights: DataFrame | Mapping
                    salt: str = "rmst") -> DataFrame:
     """Bootstrap draws (b, gain). Plan and onboarding cells are the strata; a Kaplan-Meier curve does
     not change when a cell's weights are rescaled, so Poisson weights need no correction here."""
-    cells = subs.select(key, "plan", "onboarded", "tenure_months", "churned")
-    rows = with_resamples(cells, [key], resamples, salt, "_w")
-    return rmst_gain(rows, horizon, weights, by=["b"], weight="_w")
+    if not isinstance(weights, DataFrame):
+        weights = subs.sparkSession.createDataFrame(list(weights.items()), "plan string, weight double")
+    area = resampled_rmst(subs, horizon, key, resamples, salt, ["plan", "onboarded"])
+    return _plan_gaps(area, weights, ["b"], "plan", "onboarded").groupBy("b").agg(F.sum("weighted").alias("gain"))
+
+
+def resampled_rmst(df: DataFrame, horizon: float, key: str, resamples: int, salt: str, by: Sequence[str],
+                   duration: str = "tenure_months", event: str = "churned") -> DataFrame:
+    """Restricted mean of every resample and group (``by``, b, rmst); a group that a resample does not draw has no row.
+
+    Leavers and events of all resamples are arrays beside each distinct time, so nothing is multiplied by the number of
+    resamples before it is summed. The times are dealt to range partitions once; each partition's curves run from the
+    numbers at risk behind it and give its factor and its area, and these few rows are chained.
+    """
+    by = list(by)
+    gone = F.when(F.col(event) == 1, 1).otherwise(0)
+    rows = df.select(*by, F.col(duration).cast("double").alias("t"), gone.alias("_e"),
+                     resample_weights([key], resamples, salt).alias("_w"))
+    times = rows.groupBy(*by, "t").agg(sum_each(F.col("_w"), resamples).alias("leaving"),
+                                       sum_each(F.col("_w"), resamples, F.col("_e")).alias("d"))
+    dealt = with_range_bucket(times, [*by, "t"])
+    left = by_resample(dealt.groupBy(*by, "_bucket").agg(sum_each(F.col("leaving"), resamples).alias("n")), ["n"], [*by, "_bucket"])
+    later = W.partitionBy(*by, "b").orderBy(F.desc("_bucket")).rowsBetween(W.unboundedPreceding, -1)
+    behind = left.withColumn("_behind", F.coalesce(F.sum("n").over(later), F.lit(0)))
+    offsets = behind.groupBy(*by, "_bucket").agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "_behind"))),
+                                                             lambda x: x["_behind"]).alias("_behind"))
+    same = F.col("_bucket") == F.col("_part")
+    for c in by:  # a group may be named by null
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    named = offsets.select(*[F.col(c).alias(f"_of_{c}") for c in by], F.col("_bucket").alias("_part"), "_behind")
+    whole = dealt.join(named, same).drop(*[f"_of_{c}" for c in by], "_part")
+
+    def curves(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        d, out = np.stack(pdf["d"]).astype(float), np.stack(pdf["leaving"]).astype(float)
+        risk = pdf["_behind"].iloc[0] + np.cumsum(out[::-1], 0)[::-1]
+        alive = np.maximum(risk - d, 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            step = np.where(d > 0, np.where(alive <= risk * 1e-12, 0.0, alive / risk), 1.0)
+        after = np.cumprod(step, 0)
+        before = np.vstack([np.ones((1, d.shape[1])), after[:-1]])
+        t = pdf["t"].to_numpy()[:, None]
+        lost = np.where(t <= horizon, (before - after) * (horizon - t), 0.0).sum(0)
+        head = {c: [pdf[c].iloc[0]] * d.shape[1] for c in [*by, "_bucket"]}
+        return pd.DataFrame({**head, "b": np.arange(1, d.shape[1] + 1), "factor": after[-1], "lost": lost, "drawn": out.sum(0)})
+
+    kinds = dict(dealt.dtypes)
+    pieces = cut_lineage(whole.groupBy(*by, "_bucket").applyInPandas(
+        curves, ", ".join(f"{c} {kinds[c]}" for c in [*by, "_bucket"]) + ", b int, factor double, lost double, drawn double"))
+    earlier = W.partitionBy(*by, "b").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    # a factor of 0 ends the curve: logs of the others, and whether one came before
+    start = F.when(F.coalesce(F.min("factor").over(earlier), F.lit(1.0)) > 0, F.exp(F.coalesce(F.sum(
+        F.when(F.col("factor") > 0, F.log("factor")).otherwise(0.0)).over(earlier), F.lit(0.0)))).otherwise(0.0)
+    return (pieces.withColumn("_start", start).groupBy(*by, "b")
+            .agg((F.lit(float(horizon)) - F.sum(F.col("_start") * F.col("lost"))).alias("rmst"), F.sum("drawn").alias("_drawn"))
+            .filter("_drawn > 0").drop("_drawn"))
 
 
 # ---- splits and rates ------------------------------------------------------------------------------

@@ -211,19 +211,61 @@ R.role_sql("weights", "journeys", f"""
     GROUP BY path, converted, b""")
 
 
-@query("T12", "bootstrap_heuristic_credit", "b:i method:s channel:s credit:5", "weights", f"""
+R.role_sql("boot_heuristics", "weights", f"""
     SELECT b, method, c AS channel, coalesce(sum(credit) FILTER (WHERE channel = c), 0) AS credit
     FROM (SELECT b, 'last' AS method, path[len(path)] AS channel, w AS credit FROM weights
           WHERE converted = 1
           UNION ALL SELECT b, 'first', path[1], w FROM weights WHERE converted = 1
           UNION ALL SELECT b, 'linear', unnest(path), CAST(w AS DOUBLE) / len(path) FROM weights
           WHERE converted = 1) AS r, (SELECT unnest({CH}) AS c) AS k GROUP BY 1, 2, 3""")
+
+
+@query("T12", "bootstrap_heuristic_credit", "b:i method:s channel:s credit:5", "boot_heuristics", "SELECT * FROM boot_heuristics")
 def _(spark, sf):
     drawn = A.path_facts(A.resampled_counts(counts(spark, sf), B), CHANNELS)
     return A.all_heuristics(drawn, CHANNELS, ["b"], "w")
 
 
-@query("T12", "bootstrap_credit", "b:i method:s channel:s credit:4")
+# every resample's chain is walked with each channel sent to null, and with none
+R.role_sql("boot_markov", "weights", f"""
+    WITH RECURSIVE chain AS (
+      SELECT b, s, s2, sum(w) / sum(sum(w)) OVER (PARTITION BY b, s) AS p
+      FROM (SELECT b, w, unnest(list_concat(['start'], path)) AS s,
+                   unnest(list_concat(path, [CASE WHEN converted = 1 THEN 'conv' ELSE 'null' END])) AS s2 FROM weights) AS m
+      GROUP BY b, s, s2 HAVING sum(w) > 0),
+    walk AS (
+      SELECT DISTINCT b, removed, 0 AS k, 'start' AS s, CAST(1 AS DOUBLE) AS mass
+      FROM chain, (SELECT unnest(list_concat([''], {CH})) AS removed) AS r
+      UNION ALL
+      SELECT walk.b, removed, k + 1, chain.s2, sum(mass * p) FROM walk JOIN chain ON chain.b = walk.b AND chain.s = walk.s
+      WHERE k < 400 AND mass > 1e-14 AND walk.s <> removed GROUP BY 1, 2, 3, 4),
+    reached AS (SELECT b, removed, coalesce(sum(mass) FILTER (s = 'conv'), 0) AS p FROM walk GROUP BY 1, 2),
+    effects AS (SELECT r.b, r.removed AS channel, 1 - r.p / a.p AS effect
+                FROM reached AS r JOIN reached AS a ON a.b = r.b AND a.removed = '' WHERE r.removed <> ''),
+    won AS (SELECT b, sum(w) FILTER (converted = 1) AS conversions FROM weights GROUP BY b)
+    SELECT b, channel, conversions * effect / sum(effect) OVER (PARTITION BY b) AS credit FROM effects JOIN won USING (b)""")
+R.role_sql("boot_coalitions", "weights", """
+    SELECT b, channels, len(channels) AS size, sum(w) AS journeys, coalesce(sum(w) FILTER (converted = 1), 0) AS conversions,
+           coalesce(sum(w) FILTER (converted = 1), 0) / sum(w) AS rate
+    FROM (SELECT b, w, converted, list_sort(list_distinct(path)) AS channels FROM weights) AS j GROUP BY b, channels HAVING sum(w) > 0""")
+# a subset that a resample lacks has value 0
+R.role_sql("boot_shapley", "boot_coalitions", f"""
+    SELECT b, c AS channel, coalesce(sum(conversions * part * v / rate) FILTER (member = c), 0) AS credit
+    FROM (SELECT s.b, s.size, s.conversions, s.rate, u.rate AS v, unnest(s.channels) AS member, u.channels AS inside, u.size AS us
+          FROM boot_coalitions AS s JOIN boot_coalitions AS u ON s.b = u.b AND list_has_all(s.channels, u.channels)
+          WHERE s.conversions > 0) AS x, (SELECT unnest({CH}) AS c) AS k
+    CROSS JOIN LATERAL (SELECT CASE WHEN list_contains(inside, member)
+        THEN CAST(factorial(CAST(us - 1 AS INT)) * factorial(CAST(size - us AS INT)) AS DOUBLE)
+             / CAST(factorial(CAST(size AS INT)) AS DOUBLE)
+        ELSE -CAST(factorial(CAST(us AS INT)) * factorial(CAST(greatest(size - us - 1, 0) AS INT))
+             AS DOUBLE) / CAST(factorial(CAST(size AS INT)) AS DOUBLE) END AS part) AS w
+    GROUP BY 1, 2""")
+R.role_sql("boot_credit", "boot_heuristics boot_markov boot_shapley", """
+    SELECT b, method, channel, credit FROM boot_heuristics UNION ALL SELECT b, 'markov', channel, credit FROM boot_markov
+    UNION ALL SELECT b, 'shapley', channel, credit FROM boot_shapley""")
+
+
+@query("T12", "bootstrap_credit", "b:i method:s channel:s credit:4", "boot_credit", "SELECT * FROM boot_credit")
 def _(spark, sf):
     return A.bootstrap_credit(counts(spark, sf), CHANNELS, B, absent=0.0)
 
@@ -231,7 +273,13 @@ def _(spark, sf):
 SPEND = {"click": 900.0, "error": 300.0, "signup": 700.0, "view": 500.0}
 
 
-@query("T13", "cost_per_credit", "method:s channel:s credit:4 cost:5 lo:4 hi:4 cheapest:b")
+@query("T13", "cost_per_credit", "method:s channel:s credit:4 cost:5 lo:4 hi:4 cheapest:b", "boot_credit credit", f"""
+    WITH spend AS (SELECT * FROM (VALUES {', '.join(f"('{c}', CAST({v} AS DOUBLE))" for c, v in SPEND.items())}) AS v(channel, spend)),
+    ends AS (SELECT method, channel, quantile_cont(spend / credit, 0.025) AS lo, quantile_cont(spend / credit, 0.975) AS hi
+             FROM boot_credit JOIN spend USING (channel) WHERE credit <> 0 GROUP BY 1, 2)
+    SELECT *, coalesce(row_number() OVER (PARTITION BY method ORDER BY channel = 'error', cost, channel) = 1 AND channel <> 'error', false) AS cheapest
+    FROM (SELECT method, channel, credit, CASE WHEN credit <> 0 THEN spend / credit END AS cost, lo, hi
+          FROM credit JOIN spend USING (channel) LEFT JOIN ends USING (method, channel)) AS c""")
 def _(spark, sf):
     paths = counts(spark, sf)
     boot = cut_lineage(A.bootstrap_credit(paths, CHANNELS, B, absent=0.0))
