@@ -3,8 +3,8 @@
 Two nodes are candidates when they share a bucket key. ``linked_components`` tests every candidate pair whose
 ends are not yet connected and returns the component of every linked node:
 
-1. every node of a bucket is tied to the bucket's smallest node, and the ties' connected components are the
-   *neighbourhoods*: candidates always share one;
+1. every node of a bucket is tied to the bucket's smallest node (or to those that a cheap test leaves), and the ties' connected
+   components are the *neighbourhoods*: candidates always share one;
 2. neighbourhoods are dealt to bins of about ``BIN`` nodes and each bin is compared in one task. A larger neighbourhood is
    split over several bins by the node's hash; about ``PIVOTS`` of its nodes go to all its bins, so that what belongs together
    in different bins is mostly connected through them;
@@ -135,18 +135,22 @@ def links_within(keys: np.ndarray, matcher, forest: Forest, sides: np.ndarray |
     return found
 
 
-def linked_components(members: DataFrame, payload_of: Callable[[DataFrame], DataFrame],
+def ties_of(members: DataFrame) -> DataFrame:
+    """Every node of a key tied to the key's smallest node, from ``members(key, node)`` (repeats allowed)."""
+    spans = (members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+             .where("low < high").select("key", "low"))
+    return members.join(spans, "key").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+
+
+def linked_components(ties: DataFrame, payload_of: Callable[[DataFrame], DataFrame],
                       open_bin: Callable[[pa.Table], tuple[np.ndarray, Callable]]) -> DataFrame:
     """``node``, ``root`` of all nodes with a link.
 
-    ``members(key, node)``: one row per bucket key of a node (repeats allowed). ``payload_of(nodes)`` adds to
+    ``ties(a, b)`` connect all candidates, see ``ties_of``. ``payload_of(nodes)`` adds to
     ``nodes(node, q, bin, split)`` what a comparison needs, and ``keys``: the node's bucket keys, needed where ``split`` is not 0.
     ``open_bin(table)`` gives a bin's nodes x bands array, whose columns agree where two nodes share a key, and
     its matcher.
     """
-    spans = (members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-             .where("low < high").select("key", "low"))
-    ties = members.join(spans, "key").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
     near = rewritten(connected_components(ties).withColumnRenamed("root", "q"))
     sizes = near.groupBy("q").agg(F.count("*").alias("n"))
     total, most = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()

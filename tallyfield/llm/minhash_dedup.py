@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfield.llm.common import batch, rewritten, row_key, slices, text_array, texts_of
-from tallyfield.llm.links import linked_components
+from tallyfield.llm.links import linked_components, ties_of
 from tallyfield.llm.words import mix, shingle_hashes, words_of
 
 BANDS, ROWS = 40, 6
@@ -174,7 +174,7 @@ def near_duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
         return keys, matcher
 
-    comps = linked_components(members, payload, open_bin)
+    comps = linked_components(ties_of(members), payload, open_bin)
     named = comps.join(names, "node")
     smallest = named.groupBy("root").agg(F.min("name").alias("component"))
     of_node = named.join(smallest, "root").select("node", "component")

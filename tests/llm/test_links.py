@@ -130,13 +130,9 @@ def test_line_groups_equal_brute_force(spark, monkeypatch, binned):
     docs = spark.createDataFrame([(i, t, "x", 1, 0.5) for i, t in enumerate(texts)], SCHEMA)
     places = [(i, k, normal(x)) for i, t in enumerate(texts) for k, x in enumerate((t or "").split("\n")) if normal(x)]
     kinds = sorted({p[2] for p in places})
-    w = [np.array([hash_of(x) for x in kind.split()], np.uint64) for kind in kinds]
-    ends = np.cumsum([len(x) for x in w])
-    sizes = np.array([len(x) for kind in kinds for x in kind.split()])
-    sims = fuzzy_lines.simhashes(np.concatenate(w), sizes, ends - [len(x) for x in w], ends)
-    keys = fuzzy_lines.block_keys(sims)
-    linked = [(i, j) for i in range(len(kinds)) for j in range(i) if (keys[i] == keys[j]).any()
-              and levenshtein(kinds[i], kinds[j]) <= max(len(kinds[i]), len(kinds[j])) * 10 // 100]
+    # all pairs by edit similarity alone: one edit in such lines never meets all blocks
+    linked = [(i, j) for i in range(len(kinds)) for j in range(i)
+              if levenshtein(kinds[i], kinds[j]) <= max(len(kinds[i]), len(kinds[j])) * 10 // 100]
     of = components(range(len(kinds)), linked)
     first = {}
     for i, k, x in places:
@@ -158,11 +154,73 @@ def test_line_groups_equal_brute_force(spark, monkeypatch, binned):
             assert out[i] == "\n".join(x for k, x in enumerate(t.split("\n")) if kept[i].get(k, True))
 
 
-def hash_of(word):
+EVERY = np.ones(1 << 16, bool)
+
+
+def flat_forms(lines):
+    tail = np.cumsum([len(x) + 2 for x in lines])
+    return np.frombuffer(b"".join(b" " + x + b" " for x in lines), np.uint8), np.append(0, tail[:-1]), tail
+
+
+def test_simhash_is_the_majority_of_the_pieces_bits():
+    rng = random.Random(3)
+    lines = [bytes(rng.choice(b"abcde ") for _ in range(rng.randrange(2, 200))) for _ in range(150)] + [b"ab" * 20_000]
+    got = fuzzy_lines.simhashes(*flat_forms(lines), EVERY)
+    for i, x in enumerate(lines):
+        y = b" " + x + b" "
+        pieces = np.array([int.from_bytes(y[k:k + 4], "little") for k in range(len(y) - 3)], np.uint64)
+        for k, odd in enumerate(fuzzy_lines._ODDS):
+            bits = np.unpackbits(fuzzy_lines.mix(pieces ^ odd).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0)
+            assert got[i, k] == np.packbits(bits > len(pieces) // 2, bitorder="little").view(np.uint64)[0]
+
+
+def test_lines_that_allow_one_edit_always_share_a_key():
+    rng = random.Random(8)
+    for _ in range(400):
+        n = rng.randrange(10, 20)
+        base = bytes(rng.choice(b"abcdefgh") for _ in range(n))
+        at = rng.randrange(n)
+        copy = rng.choice([base[:at] + b"z" + base[at + 1:], base[:at] + base[at + 1:], base[:at] + b"z" + base[at:]])
+        if max(len(base), len(copy)) > 19 or max(len(base), len(copy)) < 10:
+            continue
+        keys, far, near = fuzzy_lines.line_keys(*flat_forms([base, copy]), 14, 90, EVERY)
+        same = np.flatnonzero((keys[0] == keys[1]) & (keys[0] >= 0))
+        halves = same[same >= 2 * fuzzy_lines.BLOCKS]
+        assert len(halves), (base, copy)
+        apart = [bin(int(far[0, c] ^ far[1, c])).count("1") + bin(int(near[0, c] ^ near[1, c])).count("1") for c in halves]
+        assert min(apart) <= fuzzy_lines.CLOSE_PAIRS
+
+
+@pytest.mark.parametrize("run", [8192, 3])
+def test_ties_of_a_key_join_what_is_close(monkeypatch, run):
     import pyarrow as pa
-    from tallyfield.llm.words import words_of
 
-    return words_of(pa.array([word.decode()])).hashes[0]
+    monkeypatch.setattr(fuzzy_lines, "RUN", run)
+    monkeypatch.setattr(fuzzy_lines, "STEPS", 5)
+    rng = random.Random(4)
+    rows = sorted((rng.randrange(60) << 33 | rng.randrange(4), rng.randrange(2) * ((1 << 60) - 1), i) for i in range(70_000 if run > 3 else 400))
+    rows += [((1 << 40) | 0, 0, 100_000 + i) for i in range(5)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[i:i + 997]], pa.int64()) for c in range(3)], names=["key", "rest", "node"])
+               for i in range(0, len(rows), 997)]
+    ties = [(a, b) for rb in fuzzy_lines._ties(iter(batches)) for a, b in zip(rb.column("a").to_pylist(), rb.column("b").to_pylist(), strict=True)]
+    got = components([r[2] for r in rows], ties)
+    sizes = {}
+    for k, *_ in rows:
+        sizes[k >> 32] = sizes.get(k >> 32, 0) + 1
+    # of a large key all, else those whose further bits agree (both values of the rest are far apart)
+    name = {i: (k >> 32, None if sizes[k >> 32] > run else rest) for k, rest, i in rows}
+    groups = {}
+    for i, g in name.items():
+        groups.setdefault(g, []).append(i)
+    assert got == {i: min(m) for m in groups.values() for i in m}
+
+
+def test_long_lines(spark):
+    rng = random.Random(2)
+    word = "".join(rng.choice("abcdefghij ") for _ in range(1_000_000))
+    rows = [(1, word, "x", 1, 0.5), (2, word[:500_000] + "zz" + word[500_002:], "x", 1, 0.5), (3, "0" * 200_000, "x", 1, 0.5)]
+    got = {r.doc_id: r.first_doc_id for r in fuzzy_lines.line_groups(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
 
 
 def test_line_groups_of_nothing(spark):
