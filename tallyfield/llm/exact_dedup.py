@@ -37,16 +37,21 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         members.groupBy("h", "text").agg(pick("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         .drop("text"))
     collided = rewritten(classes.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1").select("h"))
+    columns = ["doc_id", "keep_id", "group_size", "text_sha256"]
+    if collided.isEmpty():  # every hash has one text: the texts are not moved again
+        return _marked(light.join(classes.select("h", "keep_id", "group_size"), "h", "left").select(*columns))
     alone = classes.join(collided, "h", "left_anti").select("h", "keep_id", "group_size")
-    simple = (light.join(collided, "h", "left_anti").join(alone, "h", "left")
-              .select("doc_id", "keep_id", "group_size", "text_sha256"))
+    simple = light.join(collided, "h", "left_anti").join(alone, "h", "left").select(*columns)
     apart = (members.join(collided, "h", "left_semi").groupBy("h", "text")
              .agg(pick("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
              .join(members.select("doc_id", F.col("h").alias("own_h"), F.col("text").alias("own")),
                    (F.col("h") == F.col("own_h")) & (F.col("text") == F.col("own")))
              .select("doc_id", "keep_id", "group_size",
                      F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")))
-    whole = simple.unionByName(apart)
+    return _marked(simple.unionByName(apart))
+
+
+def _marked(whole: DataFrame) -> DataFrame:
     size = F.coalesce("group_size", F.lit(1))
     keep_id = F.when(size == 1, F.col("doc_id")).otherwise(F.col("keep_id"))
     return whole.select("doc_id", keep_id.alias("keep_id"), size.cast("long").alias("group_size"),
