@@ -16,8 +16,12 @@ TWO_32 = 4294967296.0
 
 def uniform(salt: str, *keys: Column | str) -> Column:
     """Uniform in [0, 1) from the first 32 bits of ``md5(salt|key|...)``."""
-    text = F.concat_ws("|", F.lit(salt), *[_col(k).cast("string") for k in keys])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(TWO_32)
+    return F.conv(F.substring(digest(salt, *keys), 1, 8), 16, 10).cast("double") / F.lit(TWO_32)
+
+
+def digest(salt: str, *keys: Column | str) -> Column:
+    """``md5(salt|key|...)``, the text that a uniform is read from."""
+    return F.md5(F.concat_ws("|", F.lit(salt), *[_col(k).cast("string") for k in keys]))
 
 
 def standard_normal(salt: str, *keys: Column | str) -> Column:
@@ -35,6 +39,24 @@ def poisson_one(u: Column) -> Column:
     return weight
 
 
+def poisson_one_of(text: Column) -> Column:
+    """:func:`poisson_one` at the uniform of a :func:`digest`, from comparisons of text: no number is read from it."""
+    weight = F.lit(0)
+    for cut in _digest_cuts():
+        weight = weight + F.when(text >= F.lit(cut), 1).otherwise(0)
+    return weight
+
+
+def drawn_at_all(text: Column) -> Column:
+    """Whether :func:`poisson_one_of` is above 0."""
+    return text >= F.lit(_digest_cuts()[0])
+
+
+def _digest_cuts() -> list[str]:
+    # a uniform reaches a cut where its 32 bits, a whole number, reach the cut in units of 2**-32 (exact: a power of two)
+    return [f"{math.ceil(cut * TWO_32):08x}" for cut in poisson_one_cuts()]
+
+
 def poisson_one_cuts() -> list[float]:
     """CDF of Poisson(1) at 0, 1, ... as far as a 32-bit uniform can exceed it."""
     cdf, cuts, term = 0.0, [], math.exp(-1.0)

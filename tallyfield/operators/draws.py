@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from tallyfield.operators.ordering import exact_quantiles, ranked
 from tallyfield.operators.resample import with_resamples
+from tallyfield.session import cut_lineage
 
 
 def _finite(value: str) -> Column:
@@ -156,18 +157,29 @@ def stratified_bootstrap(df: DataFrame, stat: Callable[[str], Column], key: Sequ
     Weights are Poisson(1) per row and resample, rescaled so that every stratum of ``by`` keeps its
     size in every resample. This replaces drawing exactly n rows, which needs a stratum in one place.
     """
-    rows = with_resamples(df, key, resamples, salt, "_w")
-    if by:
-        by = list(by)
-        sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-        drawn = rows.groupBy(*by, "b").agg(F.sum("_w").alias("_drawn")).join(sizes, by).select(
-            *by, "b", (F.col("_n") / F.col("_drawn")).alias("_f"))
-        rows = rows.join(drawn, [*by, "b"]).withColumn("_w", F.col("_w") * F.col("_f"))
+    if not by:
+        return with_resamples(df, key, resamples, salt, "_w").groupBy("b").agg(stat("_w").alias("value"))
+    by = list(by)
+    names = {b: f"_by_{b}" for b in by}
+    drawn = (with_resamples(df.select(*by, *[k for k in key if k not in by]), key, resamples, salt, "_w")
+             .groupBy(*by, "b").agg(F.sum("_w").alias("_drawn")).groupBy(*by)
+             .agg(F.map_from_entries(F.collect_list(F.struct("b", "_drawn"))).alias("_drawn")))
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).withColumnsRenamed(names)
+    every = F.sequence(F.lit(1), F.lit(resamples))
+    # a row per stratum, its factors by resample: joined to the rows before they are multiplied; a stratum may be named by null
+    factors = cut_lineage(drawn.join(sizes, [drawn[b].eqNullSafe(sizes[n]) for b, n in names.items()]).select(
+        *names.values(), F.transform(every, lambda b: F.col("_n") / F.col("_drawn")[b]).alias("_f")))
+    rows = df.join(factors, [df[b].eqNullSafe(factors[n]) for b, n in names.items()]).drop(*names.values())
+    rows = with_resamples(rows, key, resamples, salt, "_w").withColumn("_w", F.col("_w") * F.get("_f", F.col("b") - 1))
     return rows.groupBy("b").agg(stat("_w").alias("value"))
 
 
 def bootstrap_interval(boot: DataFrame, prob: float = 0.95, value: str = "value") -> DataFrame:
-    """Percentile interval and standard error of bootstrap draws; counts draws not finite."""
+    """Percentile interval and standard error of bootstrap draws; counts draws not finite.
+
+    The draws are written once: several aggregates read them, and each would draw all resamples again.
+    """
+    boot = cut_lineage(boot.select(value))
     ends = exact_quantiles(boot.filter(_finite(value)), value,
                            {"lower": (1 - prob) / 2, "upper": (1 + prob) / 2})
     spread = boot.agg(F.stddev_samp(value).alias("se"), F.count(F.lit(1)).alias("resamples"),

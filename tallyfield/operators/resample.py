@@ -12,18 +12,22 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.functions.uniform import poisson_one, uniform
+from tallyfield.functions.uniform import digest, drawn_at_all, poisson_one, poisson_one_of, uniform
 
 
 def with_resamples(df: DataFrame, key: Sequence[str], resamples: int, salt: str = "boot",
                    name: str = "weight") -> DataFrame:
     """Each row once per resample it is drawn into: columns ``b`` (1..B) and the weight.
 
-    Rows drawn zero times are left out before any shuffle.
+    Rows drawn zero times are left out before any shuffle. The rows are dealt anew by ``key`` before they are multiplied: a few
+    small partitions would become few very long tasks.
     """
-    rows = df.select("*", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"))
-    return (rows.withColumn(name, poisson_one(uniform(salt, *key, "b")))
-            .filter(F.col(name) > 0))
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    rows = df.repartition(tasks, *key).select("*", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"))
+    # the filter reads the digest once a row; a filter on the weight would read it once for every cut
+    text = digest(salt, *key, "b")
+    return rows.filter(drawn_at_all(text)).withColumn("_digest", text).withColumn(name, poisson_one_of(F.col("_digest"))).drop("_digest")
 
 
 def resample_weights(key: Sequence[str], resamples: int, salt: str = "boot") -> Column:

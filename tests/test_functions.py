@@ -73,3 +73,14 @@ def test_gauss_near_one():
             got = gauss(*(np.array([v]) for v in (a, b, c, z)))[0]
             assert abs(got / want - 1) < 1e-10
     assert np.isnan(gauss(*(np.array([v]) for v in (1.0, 1.0, 2.0, 1.5)))[0])
+
+
+def test_weights_read_from_text_are_those_read_from_numbers(spark):
+    ids = spark.range(20000)
+    text = uniform.digest("t", "id")
+    rows = ids.select(uniform.poisson_one(uniform.uniform("t", "id")).alias("a"), uniform.poisson_one_of(text).alias("b"), uniform.drawn_at_all(text).alias("c"))
+    assert rows.where("a <> b or c <> (a > 0)").count() == 0
+    cuts = spark.createDataFrame([(f"{math.ceil(c * 2**32) + d:08x}", c) for c in uniform.poisson_one_cuts() for d in (-1, 0)], "text string, cut double")
+    exact = F.conv("text", 16, 10).cast("double") / 2.0**32
+    assert cuts.where(uniform.poisson_one(exact) != uniform.poisson_one_of(F.col("text"))).count() == 0
+    assert all(len(c) == 8 for c in [r["text"] for r in cuts.collect()])

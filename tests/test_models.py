@@ -12,6 +12,7 @@ from tallyfield.operators import draws as I
 from tallyfield.operators import survival as V
 from tallyfield.operators.fitting import FitError
 from tallyfield.operators.linear import ols
+from tallyfield.operators.resample import with_resamples
 
 
 def test_sbg_fit_reproduces_published_estimates(spark):
@@ -286,3 +287,17 @@ def test_ols(spark):
     got = ols(df, "y", ["a", "b"], robust="HC1").toPandas()
     np.testing.assert_allclose(got["estimate"], beta, atol=1e-10)
     np.testing.assert_allclose(got["se"], hc1, atol=1e-10)
+
+
+# ---- resamples ----------------------------------------------------------------------------------
+def test_a_resample_hashes_a_row_once_for_the_filter(spark):
+    rows = with_resamples(spark.range(10), ["id"], 3)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert [line.count("md5(") for line in plan.splitlines() if "Filter" in line] == [1]
+    assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_stratified_bootstrap_keeps_sizes_and_the_stratum_without_a_name(spark):
+    df = spark.range(60).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("s"))
+    for r in I.stratified_bootstrap(df, lambda w: F.sum(w), ["id"], ["s"], 5).collect():
+        assert r["value"] == pytest.approx(60)
