@@ -104,8 +104,13 @@ def with_ntile(df: DataFrame, n: int, order: Sequence[str], name: str) -> DataFr
 
 
 def average_rank(df: DataFrame, value: str, name: str, by: Sequence[str] = ()) -> DataFrame:
-    """Rank with ties at their mean, as Spearman's correlation uses."""
+    """Rank with ties at their mean, as Spearman's correlation uses.
+
+    The rows are written first: they are read twice and joined on ``value``, and a sum of floating-point numbers may differ in its last
+    digit when it is computed again.
+    """
     by = list(by)
+    df = cut_lineage(df)
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_ties"))
     running = cumulate(counts, [value], {"_cum": "_ties"}, by)
     table = running.select(*by, value, (F.col("_cum") - (F.col("_ties") - 1) / 2.0).alias(name))

@@ -103,3 +103,12 @@ def test_asof_null_keys_never_match(spark):
     right = spark.createDataFrame([(5, None, "2024-01-01")], "rid int, k int, u string").withColumn(
         "u", F.col("u").cast("timestamp"))
     assert asof_left_join(left, right, ["k"], "t", "u", "rid", ["rid"]).first()["rid"] is None
+
+
+def test_average_ranks_of_values_that_differ_when_computed_again(spark):
+    import random
+
+    noisy = F.udf(lambda i: random.random(), "double").asNondeterministic()
+    df = spark.range(50).select("id", noisy("id").alias("v"))
+    got = O.average_rank(df, "v", "r").collect()
+    assert sorted(r["r"] for r in got) == list(range(1, 51))
