@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyfield.operators.asof import asof_left_join
@@ -16,29 +17,48 @@ LINE_COLUMNS = ("invoice", "stock_code", "description", "quantity", "invoice_dat
                 "customer_id", "country")
 
 
+FLAGS = ("no_customer", "non_product", "duplicate")
+
+
 def is_cancellation(invoice: str = "invoice") -> Column:
     return F.col(invoice).startswith("C")
 
 
-def flag_lines(lines: DataFrame, columns: Sequence[str] = LINE_COLUMNS) -> DataFrame:
-    """Per line: no customer, not a product code, an exact copy of an earlier line.
+def flag_lines(lines: DataFrame, columns: Sequence[str] = LINE_COLUMNS, dealt_by: str | None = None) -> DataFrame:
+    """Per line: no customer, not a product code, an exact copy of an earlier line."""
+    return flagged_lines(lines, columns, dealt_by).select("line_id", *FLAGS)
+
+
+def flagged_lines(lines: DataFrame, columns: Sequence[str] = LINE_COLUMNS, dealt_by: str | None = None) -> DataFrame:
+    """``lines`` with the three flags of :func:`flag_lines` beside their columns.
 
     The first line of each set of copies comes from a partial aggregate (NULLs count as equal there).
     Its id is unique, so marking the rest is a join on ``line_id`` with no hot key, however many
-    copies one line has.
+    copies one line has. Where copies share a further column ``dealt_by``, by which a join has dealt the rows already, a
+    window finds the first line where the rows are: nothing is shuffled again.
     """
-    firsts = lines.groupBy(*columns).agg(F.min("line_id").alias("line_id")).select(
-        "line_id", F.lit(True).alias("_first"))
-    return lines.join(firsts, "line_id", "left").select(
-        "line_id", F.col("customer_id").isNull().alias("no_customer"),
-        (~F.col("stock_code").rlike("^[0-9]{5}")).alias("non_product"),
-        F.col("_first").isNull().alias("duplicate"))
+    if dealt_by is None:
+        firsts = lines.groupBy(*columns).agg(F.min("line_id").alias("line_id")).select(
+            "line_id", F.lit(True).alias("_first"))
+        marked = lines.join(firsts, "line_id", "left").withColumn("duplicate", F.col("_first").isNull()).drop("_first")
+    else:
+        copies = W.partitionBy(dealt_by, *columns).orderBy("line_id")
+        marked = lines.withColumn("duplicate", F.row_number().over(copies) > 1)
+    return marked.withColumn("no_customer", F.col("customer_id").isNull()).withColumn(
+        "non_product", ~F.col("stock_code").rlike("^[0-9]{5}"))
 
 
-def kept_lines(lines: DataFrame, flags: DataFrame) -> DataFrame:
+def _with_flags(lines: DataFrame, flags: DataFrame | None) -> DataFrame:
+    """Lines beside their flags; without ``flags`` they carry them (:func:`flagged_lines`)."""
+    return lines if flags is None else lines.join(flags, "line_id")
+
+
+def kept_lines(lines: DataFrame, flags: DataFrame | None = None) -> DataFrame:
     """Lines that none of the three flags drops."""
-    good = flags.filter("not no_customer and not non_product and not duplicate").select("line_id")
-    return lines.join(good, "line_id")
+    good = "not no_customer and not non_product and not duplicate"
+    if flags is None:
+        return lines.filter(good)
+    return lines.join(flags.filter(good).select("line_id"), "line_id")
 
 
 def match_cancellations(kept: DataFrame,
@@ -68,21 +88,23 @@ def last_click(orders: DataFrame, clicks: DataFrame, customer: str = "customer_i
     return asof_left_join(orders, clicks, [customer], ordered_at, clicked_at, click_id, carry)
 
 
-def reference_flags(lines: DataFrame, flags: DataFrame, matches: DataFrame) -> DataFrame:
+def reference_flags(lines: DataFrame, flags: DataFrame | None, matches: DataFrame) -> DataFrame:
     """All five rules per line: the three flags, cancellation and nonpositive."""
-    gone = (matches.select(F.col("cancel_id").alias("line_id"))
-            .union(matches.filter("original_id is not null").select("original_id")).distinct()
-            .withColumn("_gone", F.lit(True)))
+    return with_reference_flags(lines, flags, matches).select("line_id", *FLAGS, "cancellation", "nonpositive")
+
+
+def with_reference_flags(lines: DataFrame, flags: DataFrame | None, matches: DataFrame) -> DataFrame:
+    """``lines`` with all five rules beside their columns; without ``flags`` they carry the first three."""
+    gone = matches.select(F.explode(F.array_compact(F.array("cancel_id", "original_id"))).alias("line_id")).distinct().withColumn(
+        "_gone", F.lit(True))
     bad = (F.col("quantity") <= 0) | (F.col("price") <= 0)
-    return (lines.select("line_id", bad.alias("nonpositive")).join(flags, "line_id")
-            .join(gone, "line_id", "left")
-            .select("line_id", "no_customer", "non_product", "duplicate",
-                    F.coalesce("_gone", F.lit(False)).alias("cancellation"), "nonpositive"))
+    return (_with_flags(lines, flags).join(gone, "line_id", "left").withColumn("cancellation", F.coalesce("_gone", F.lit(False)))
+            .withColumn("nonpositive", bad).drop("_gone"))
 
 
-def purchases(lines: DataFrame, flags: DataFrame, matches: DataFrame,
+def purchases(lines: DataFrame, flags: DataFrame | None, matches: DataFrame,
               keep_rules: Sequence[str] = (), unit: str = "day") -> DataFrame:
-    """Purchases after the cleaning rules, except the rules named in ``keep_rules``.
+    """Purchases after the cleaning rules, except the rules named in ``keep_rules``. Without ``flags`` the lines carry them.
 
     ``unit`` is day (one row per customer and day), invoice (one per invoice, dated by its first
     stamp) or line.
@@ -98,7 +120,9 @@ def purchases(lines: DataFrame, flags: DataFrame, matches: DataFrame,
             drop = drop | F.col(rule)
     rows = lines.filter(~is_cancellation() & (F.col("quantity") > 0) & (F.col("price") > 0)
                         & F.col("customer_id").isNotNull())
-    rows = rows.join(flags.filter(~drop).select("line_id"), "line_id")
+    rows = _with_flags(rows, None if flags is None else flags.filter(~drop).select("line_id"))
+    if flags is None:
+        rows = rows.filter(~drop)
     if "cancellation" not in keep_rules:
         taken = matches.filter("original_id is not null").select(
             F.col("original_id").alias("line_id"))
@@ -165,19 +189,23 @@ def straddling_cancellations(matches: DataFrame, lines: DataFrame, cal_end) -> D
         F.count_if((F.col("bought") <= end) & (F.col("cancelled") > end)).alias("straddling"))
 
 
-def rule_shares(flags: DataFrame, lines: DataFrame,
+def rule_shares(flags: DataFrame | None, lines: DataFrame,
                 rules: Sequence[str] = ("no_customer", "non_product", "duplicate")) -> DataFrame:
     """Lines flagged per rule, and lines the new rules flag among those an older rule set keeps.
 
-    The older rules keep lines with a customer, no cancellation and a positive quantity and price.
+    The older rules keep lines with a customer, no cancellation and a positive quantity and price. Without ``flags`` the lines carry
+    them.
     """
-    old = lines.select("line_id", (F.col("customer_id").isNotNull() & ~is_cancellation()
-                                   & (F.col("quantity") > 0) & (F.col("price") > 0)).alias("old"))
+    old = (F.col("customer_id").isNotNull() & ~is_cancellation() & (F.col("quantity") > 0) & (F.col("price") > 0)).alias("old")
+    if flags is None:
+        both = lines.select(*rules, old)
+    else:
+        both = flags.join(lines.select("line_id", old), "line_id")
     new = F.lit(False)
     for r in rules:
         if r != "no_customer":
             new = new | F.col(r)
-    one = flags.join(old, "line_id").agg(
+    one = both.agg(
         F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(r)).alias(r) for r in rules],
         F.count_if(F.col("old")).alias("kept"), F.count_if(F.col("old") & new).alias("newly"))
     cells = [F.struct(F.lit(r).alias("rule"), F.col(r).alias("lines"),

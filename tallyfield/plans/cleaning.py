@@ -14,16 +14,15 @@ MATCH_KEYS = ("customer_id", "stock_code")
 
 
 def _parts(spark, sf):
-    """Lines, flags and matches. The first two are written out once, as several steps read them."""
-    lines = cut_lineage(R.invoice_lines(spark, sf))
-    flags = cut_lineage(M.flag_lines(lines))
-    return lines, flags, M.match_cancellations(M.kept_lines(lines, flags), MATCH_KEYS)
+    """Lines that carry their flags, and matches. The lines are written out once, as several steps read them."""
+    lines = cut_lineage(M.flagged_lines(R.invoice_lines(spark, sf, "order_id"), dealt_by="order_id"))
+    return lines, None, M.match_cancellations(M.kept_lines(lines), MATCH_KEYS)
 
 
 @query("M1", "flag_lines", "line_id:i no_customer:b non_product:b duplicate:b", "flags",
        "SELECT * FROM flags")
 def _(spark, sf):
-    return M.flag_lines(R.invoice_lines(spark, sf))
+    return M.flag_lines(R.invoice_lines(spark, sf, "order_id"), dealt_by="order_id")
 
 
 @query("M2", "match_cancellations", "cancel_id:i original_id:0", "matches", "SELECT * FROM matches")
@@ -178,7 +177,7 @@ def variant_scores(spark, sf):
     lines, flags, matches = _parts(spark, sf)
     sold = lines.filter(~M.is_cancellation() & (F.col("quantity") > 0) & (F.col("price") > 0)
                         & F.col("customer_id").isNotNull())
-    rows = sold.join(M.reference_flags(lines, flags, matches), "line_id")
+    rows = M.with_reference_flags(sold, flags, matches)
     money = F.col("quantity") * F.col("price")
     sums = []
     for name, kept in VARIANT_RULES.items():

@@ -146,12 +146,12 @@ SECOND_START = "2000-01-01"
 FIRST_END = "2000-12-31"
 
 
-def invoice_lines(spark, sf) -> DataFrame:
-    """The two extracts put together, overlap included, with a unique line_id."""
+def invoice_lines(spark, sf, order: str | None = None) -> DataFrame:
+    """The two extracts put together, overlap included, with a unique line_id; ``order`` names a column for the order's key."""
     day = F.col("invoice_date").cast("date")
     in_one, in_two = day <= F.lit(FIRST_END).cast("date"), day >= F.lit(SECOND_START).cast("date")
     parts = F.array_compact(F.array(F.when(in_one, 0), F.when(in_two, 1)))
-    rows = _lines(spark, sf).withColumn("_part", F.explode(parts))
+    rows = _lines(spark, sf, order).withColumn("_part", F.explode(parts))
     return rows.withColumn("line_id", F.col("line_id") * 2 + F.col("_part")).drop("_part")
 
 
@@ -162,10 +162,10 @@ def extracts(spark, sf) -> tuple[DataFrame, DataFrame]:
             base.filter(day >= F.lit(SECOND_START).cast("date")))
 
 
-def _lines(spark, sf) -> DataFrame:
+def _lines(spark, sf, order: str | None = None) -> DataFrame:
     items = table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
-        "l_returnflag", "l_linestatus", "l_shipdate")
+        "l_returnflag", "l_linestatus", "l_shipdate").repartition("l_orderkey")  # once for the join, whatever its kind, and the windows
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     back = F.col("l_returnflag") == "R"
     fee = F.col("l_linenumber") == 7
@@ -182,7 +182,8 @@ def _lines(spark, sf) -> DataFrame:
         F.col("l_shipdate").cast("timestamp_ntz").alias("invoice_date"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         F.when(F.col("o_orderstatus") != "P", F.col("o_custkey")).alias("customer_id"),
-        F.concat(F.lit("country "), F.col("l_linestatus")).alias("country")))
+        F.concat(F.lit("country "), F.col("l_linestatus")).alias("country"),
+        *([] if order is None else [F.col("l_orderkey").alias(order)])))
 
 
 LINE_COLUMNS = ("invoice", "stock_code", "description", "quantity", "invoice_date", "price",

@@ -232,3 +232,21 @@ def test_contact_lists_without_shared_customers(spark):
 
     got = {r["variant"]: (r["added"], r["dropped"], r["moved"]) for r in M.contact_list_moves(variant_scores(spark), "reference", 1.0, 1.0, 40.0).collect()}
     assert got == {"a": (0, 1, 1), "b": (1, 1, 2), "c": (1, 0, 1)}
+
+
+def test_lines_that_carry_their_flags(spark):
+    d = "2024-01-05 10:00:00"
+    rows = [(0, "1", "85123", "a", 1, d, 2.0, 7, "UK"), (1, "1", "85123", "a", 1, d, 2.0, 7, "UK"), (2, "1", "85123", "a", 2, d, 2.0, 7, "UK"),
+            (3, "C2", "85123", "a", -2, d, 2.0, 7, "UK"), (4, "3", "POST", "p", 1, d, 9.0, None, "UK"), (5, "3", "POST", "p", 1, d, 9.0, None, "UK")]
+    df = lines(spark, rows)
+    dealt = df.withColumn("order_id", F.ltrim(F.lit("C"), "invoice")).repartition("order_id")
+    flagged = M.flagged_lines(dealt, dealt_by="order_id")
+    plan = flagged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # the lines are not dealt again
+    flags = M.flag_lines(df)
+    assert sorted(flagged.select(flags.columns).collect()) == sorted(flags.collect())
+    matches = M.match_cancellations(M.kept_lines(flagged))
+    assert sorted(matches.collect()) == sorted(M.match_cancellations(M.kept_lines(df, flags)).collect()) == [(3, 2)]
+    for f in (M.reference_flags, M.purchases):
+        assert sorted(f(flagged, None, matches).collect()) == sorted(f(df, flags, matches).collect())
+    assert M.rule_shares(None, flagged).collect() == M.rule_shares(flags, df).collect()
