@@ -178,14 +178,15 @@ def variant_scores(spark, sf):
     sold = lines.filter(~M.is_cancellation() & (F.col("quantity") > 0) & (F.col("price") > 0)
                         & F.col("customer_id").isNotNull())
     rows = M.with_reference_flags(sold, flags, matches)
-    money = F.col("quantity") * F.col("price")
+    # decimals: a sum of floating-point numbers depends on the order of its rows, and customers of equal spend would be told apart by that
+    money = (F.col("quantity") * F.col("price")).cast("decimal(28,10)")
     sums = []
     for name, kept in VARIANT_RULES.items():
         drop = F.lit(False)
         for rule in ("non_product", "duplicate", "cancellation"):
             if rule not in kept:
                 drop = drop | F.col(rule)
-        sums.append(F.sum(F.when(~drop, money)).alias(name))
+        sums.append(F.sum(F.when(~drop, money)).cast("double").alias(name))
     wide = rows.groupBy("customer_id").agg(*sums)
     return cut_lineage(wide.unpivot("customer_id", list(VARIANT_RULES), "variant", "score")
                        .filter("score is not null"))

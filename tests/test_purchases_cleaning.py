@@ -250,3 +250,16 @@ def test_lines_that_carry_their_flags(spark):
     for f in (M.reference_flags, M.purchases):
         assert sorted(f(flagged, None, matches).collect()) == sorted(f(df, flags, matches).collect())
     assert M.rule_shares(None, flagged).collect() == M.rule_shares(flags, df).collect()
+
+
+def test_equal_spend_ties_whatever_the_order_of_the_lines(spark, monkeypatch):
+    from tallyfield.plans import cleaning as plan
+
+    # 0.1 + 0.2 + 0.3 and 0.3 + 0.2 + 0.1 differ in the last digit as floating-point numbers
+    rows = [(c * 10 + i, str(c), "85123", f"{i}", 1, "2024-01-01 09:00:00", p, c, "UK")
+            for c, prices in ((1, (0.1, 0.2, 0.3)), (2, (0.3, 0.2, 0.1))) for i, p in enumerate(prices)]
+    df = M.flagged_lines(lines(spark, rows).coalesce(1))
+    none = spark.createDataFrame([], "cancel_id int, original_id int")
+    monkeypatch.setattr(plan, "_parts", lambda *_: (df, None, none))
+    scores = plan.variant_scores(spark, "").where("variant = 'reference'").collect()
+    assert [r["score"] for r in scores] == [0.6, 0.6]
