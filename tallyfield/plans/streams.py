@@ -14,12 +14,16 @@ from tallyfield.sources import tables as S
 from tallyfield.streaming import jobs as J
 
 
-def arriving(df, name: str, order: str, files: int = 3):
-    """The rows as a stream of files in time order, one file per batch."""
+def arriving(df, name: str, order: str, batches: int = 3):
+    """The rows as a stream of files, a third of the files per batch.
+
+    Spark chooses the number of files, so none grows with the log. A batch takes the files in the order in which they were written.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.repartitionByRange(files, order).write.parquet(path)
-    return (spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path))
+    df.repartitionByRange(order).write.parquet(path)
+    files = len(spark.read.schema(df.schema).parquet(path).inputFiles())
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", max(1, -(-files // batches))).parquet(path)
 
 
 @query("W1", "stream_arm_stats", "day:d context:i arm:i total:4 n:i", "log", f"""
