@@ -1,5 +1,7 @@
 """Ordered computations against pandas/numpy, in several range buckets, on skewed groups."""
 
+import glob
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.operators import ordering as O
 from tallyfield.operators.asof import asof_left_join
+from tallyfield.session import shared_folder
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -112,3 +115,14 @@ def test_average_ranks_of_values_that_differ_when_computed_again(spark):
     df = spark.range(50).select("id", noisy("id").alias("v"))
     got = O.average_rank(df, "v", "r").collect()
     assert sorted(r["r"] for r in got) == list(range(1, 51))
+
+
+def test_a_batch_of_a_stream_is_more_than_one_file(spark):
+    from tallyfield.plans.streams import arriving
+    from tallyfield.streaming.jobs import run_available
+
+    stream = arriving(spark.range(10000).repartition(4), "arriving", "id")
+    written = glob.glob(f"{shared_folder(spark)}/arriving-*/*.parquet".removeprefix("file:"))
+    assert len(written) > 3
+    got = run_available(stream, "batches", "append")
+    assert got.count() == 10000 and got.select("batch").distinct().count() == 3
