@@ -17,17 +17,27 @@ from pyspark.sql import functions as F
 from tallyfield.operators.draws import hdi, mean_and_hdi, verdict
 from tallyfield.operators.linear import moment_columns, moment_matrix, ols
 from tallyfield.operators.ordering import exact_quantiles
+from tallyfield.session import cut_lineage
 
 
 # ---- transforms -----------------------------------------------------------------------------------
 def adstock_column(spend: str, alpha: Column, window, l_max: int = 8,
                    normalize: bool = True) -> Column:
     """Finite lag-weighted sum over an ordered window; nothing happened before the first row."""
+    return adstock_of(past_values(spend, window, l_max), alpha, normalize)
+
+
+def past_values(spend: str, window, l_max: int = 8) -> list[Column]:
+    """The value of a row and of the ``l_max - 1`` rows before it, 0 before the first."""
+    return [F.col(spend)] + [F.coalesce(F.lag(spend, lag).over(window), F.lit(0.0)) for lag in range(1, l_max)]
+
+
+def adstock_of(past: Sequence[Column], alpha: Column, normalize: bool = True) -> Column:
+    """Sum of past values, the latest first, weighted by powers of ``alpha``."""
     total, weights = F.lit(0.0), F.lit(0.0)
-    for lag in range(l_max):
+    for lag, value in enumerate(past):
         w = F.pow(alpha, F.lit(float(lag)))
-        past = F.col(spend) if lag == 0 else F.coalesce(F.lag(spend, lag).over(window), F.lit(0.0))
-        total = total + w * past
+        total = total + w * value
         weights = weights + w
     return total / weights if normalize else total
 
@@ -115,19 +125,23 @@ def counterfactual_window_roas(spend: DataFrame, params: DataFrame, start: int,
                                l_max: int = 8) -> DataFrame:
     """ROAS of a window by removing its spend: carry-in stays, carry-over counts to the end.
 
-    ``params`` has draw, channel, alpha, lam, beta; spend is scaled by each channel's maximum.
+    ``params`` has draw, channel, alpha, lam, beta, one row per draw and channel; spend is scaled by each channel's maximum.
+    Past spend is laid beside the weeks of a channel once, so the draws are neither shuffled nor sorted by week.
     """
     inside = F.col("week").between(start, end)
     top = F.max("spend").over(W.partitionBy("channel"))
     weekly = spend.withColumn("_x", F.col("spend") / top).withColumn(
         "_cut", F.when(inside, 0.0).otherwise(F.col("_x")))
     cost = spend.filter(inside).groupBy("channel").agg(F.sum("spend").alias("cost"))
-    rows = params.join(weekly, "channel")
-    w = W.partitionBy("draw", "channel").orderBy("week")
+    w = W.partitionBy("channel").orderBy("week")
+    laid = cut_lineage(weekly.select("channel", "week", *[F.array(*past_values(c, w, l_max)).alias(c) for c in ("_x", "_cut")])
+                       .filter(F.col("week") >= start))
     a, lam = F.col("alpha"), F.col("lam")
-    change = F.col("beta") * (logistic_saturation(adstock_column("_x", a, w, l_max), lam)
-                              - logistic_saturation(adstock_column("_cut", a, w, l_max), lam))
-    lost = rows.withColumn("_d", change).filter(F.col("week") >= start)
+
+    def response(column: str) -> Column:
+        return logistic_saturation(adstock_of([F.get(column, F.lit(i)) for i in range(l_max)], a), lam)
+
+    lost = params.join(laid, "channel").withColumn("_d", F.col("beta") * (response("_x") - response("_cut")))
     return lost.groupBy("draw", "channel").agg(F.sum("_d").alias("c")).join(cost, "channel").select(
         "draw", "channel", (F.col("c") / F.col("cost")).alias("value"))
 

@@ -443,3 +443,19 @@ def test_guardrail(spark):
                                "policy string, margin double, opt_out double")
     row = N.guardrail_choice(df, 0.3).first()
     assert (row["choice"], row["best_any"], row["within"]) == ("c", "b", 2)
+
+
+def test_counterfactual_spend_is_laid_out_once_for_all_draws(spark):
+    spend = spark.createDataFrame([(w, "tv", float(1 + w % 3)) for w in range(6)], "week int, channel string, spend double")
+    params = spark.createDataFrame([(d, "tv", 0.5, 2.0, 10.0 * d) for d in (1, 2)], "draw int, channel string, alpha double, lam double, beta double")
+    got = MM.counterfactual_window_roas(spend, params, 2, 3, 3)
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    x = np.array([1 + w % 3 for w in range(6)]) / 3
+    cut = np.where([2 <= w <= 3 for w in range(6)], 0, x)
+
+    def response(v):
+        stock = np.array([sum(0.5**k * (v[w - k] if w >= k else 0) for k in range(3)) for w in range(6)]) / 1.75
+        return (1 - np.exp(-2 * stock)) / (1 + np.exp(-2 * stock))
+
+    lost = (response(x) - response(cut))[2:].sum() / 4  # 3 + 1 were spent inside
+    assert {r["draw"]: round(r["value"], 9) for r in got.collect()} == {d: round(10 * d * lost, 9) for d in (1, 2)}
