@@ -13,7 +13,8 @@ import numpy as np
 
 #: Pieces that a worker keeps; further ones are encoded again in each batch.
 CACHE = 600_000
-_BLANKS = str.maketrans("\t\n\r", "   ")
+#: For UTF-8 bytes: tabs and line ends to spaces, with A-Z lower-cased. Far faster than the same on a text that is not all ASCII.
+_FOLDED = bytes(32 if b in b"\t\n\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 @lru_cache
@@ -33,8 +34,8 @@ def pieces_of(text: str) -> list[str]:
     """What spaces, tabs and line ends separate, A-Z lower-cased (the vocabulary folds case) unless a special token's
     name may stand in the text."""
     if "<|" not in text:
-        text = text.encode().lower().decode()
-    return text.translate(_BLANKS).split(" ")
+        return text.encode().translate(_FOLDED).decode().split(" ")
+    return text.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ")
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:

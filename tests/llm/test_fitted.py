@@ -5,6 +5,7 @@ import collections
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -196,6 +197,22 @@ def test_word_ids_equal_the_tokenizer(monkeypatch):
             assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_pieces_cost_less_than_a_translated_text():
+    text = "Él Niño\tzum\nÄußerer Wert\r" * 40_000
+
+    def seconds(run):
+        def once():
+            start = time.process_time()
+            run()
+            return time.process_time() - start
+        return min(once() for _ in range(5))
+
+    blanks = str.maketrans("\t\n\r", "   ")
+    assert word_ids.pieces_of(text)[:5] == ["Él", "niño", "zum", "Äußerer", "wert"]
+    assert word_ids.pieces_of("<|A\tB") == ["<|A", "B"]
+    assert seconds(lambda: word_ids.pieces_of(text)) < seconds(lambda: text.translate(blanks))
+
+
 def test_packing_is_gapless_and_near_the_bound(spark, monkeypatch):
     monkeypatch.setattr(lp_packing, "RANKED", 50)
     rng = random.Random(9)
