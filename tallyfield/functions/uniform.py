@@ -47,6 +47,14 @@ def poisson_one_of(text: Column) -> Column:
     return weight
 
 
+def poisson_one_below(text: Column) -> Column:
+    """:func:`poisson_one_of` for lambdas, which are not compiled: the first cut above ends the search, most often the first or second."""
+    weight = F.when(text < F.lit(_digest_cuts()[0]), 0)
+    for k, cut in enumerate(_digest_cuts()[1:], 1):
+        weight = weight.when(text < F.lit(cut), k)
+    return weight.otherwise(len(_digest_cuts()))
+
+
 def drawn_at_all(text: Column) -> Column:
     """Whether :func:`poisson_one_of` is above 0."""
     return text >= F.lit(_digest_cuts()[0])

@@ -112,11 +112,19 @@ def with_windows(df: DataFrame, windows: Mapping[str, tuple], at: str = "week")
 
 
 def window_roas(contrib: DataFrame, spend: DataFrame, windows: Mapping[str, tuple]) -> DataFrame:
-    """ROAS draws (window, channel, draw, value) of named windows."""
+    """ROAS draws (window, channel, draw, value) of named windows.
+
+    A window is a conditional sum of one pass: the rows of contributions are not multiplied by the windows they fall into.
+    """
     cost = with_windows(spend, windows).groupBy("window", "channel").agg(
         F.sum("spend").alias("cost"))
-    sales = with_windows(contrib, windows).groupBy("window", "channel", "draw").agg(
-        F.sum("contribution").alias("c"))
+    cells = []
+    for name, (lo, hi) in windows.items():
+        inside = F.col("week").between(lo, hi)
+        cells.append(F.struct(F.lit(name).alias("window"), F.count_if(inside).alias("n"),
+                              F.sum(F.when(inside, F.col("contribution"))).alias("c")))
+    sales = contrib.groupBy("channel", "draw").agg(F.array(*cells).alias("_cells")).select(
+        "channel", "draw", F.inline("_cells")).filter("n > 0")
     return sales.join(cost, ["window", "channel"]).select(
         "window", "channel", "draw", (F.col("c") / F.col("cost")).alias("value"))
 
@@ -196,7 +204,7 @@ def cv_scorecard(pred: DataFrame) -> DataFrame:
 def fold_roas(contrib: DataFrame, spend: DataFrame, folds: Mapping[str, tuple],
               prob: float = 0.94) -> DataFrame:
     """ROAS over each fold's own training weeks: mean and interval."""
-    draws = window_roas(contrib, spend, folds)
+    draws = cut_lineage(window_roas(contrib, spend, folds))  # read by the mean and by the interval
     return mean_and_hdi(draws, ["window", "channel"], prob).withColumnRenamed("window", "cv")
 
 

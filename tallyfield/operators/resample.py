@@ -12,7 +12,17 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.functions.uniform import digest, drawn_at_all, poisson_one, poisson_one_of, uniform
+from tallyfield.functions.uniform import digest, drawn_at_all, poisson_one_below, poisson_one_of
+
+
+def in_all_tasks(df: DataFrame, *key: str | Column) -> DataFrame:
+    """``df`` dealt by ``key`` to as many tasks as the session has, however few bytes it holds.
+
+    Where rows come dealt by the very columns of ``key`` Spark leaves this out; a hash of them is dealt anew.
+    """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *key)
 
 
 def with_resamples(df: DataFrame, key: Sequence[str], resamples: int, salt: str = "boot",
@@ -22,9 +32,7 @@ def with_resamples(df: DataFrame, key: Sequence[str], resamples: int, salt: str
     Rows drawn zero times are left out before any shuffle. The rows are dealt anew by ``key`` before they are multiplied: a few
     small partitions would become few very long tasks.
     """
-    spark = df.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    rows = df.repartition(tasks, *key).select("*", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"))
+    rows = in_all_tasks(df, *key).select("*", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"))
     # the filter reads the digest once a row; a filter on the weight would read it once for every cut
     text = digest(salt, *key, "b")
     return rows.filter(drawn_at_all(text)).withColumn("_digest", text).withColumn(name, poisson_one_of(F.col("_digest"))).drop("_digest")
@@ -32,8 +40,8 @@ def with_resamples(df: DataFrame, key: Sequence[str], resamples: int, salt: str
 
 def resample_weights(key: Sequence[str], resamples: int, salt: str = "boot") -> Column:
     """The weights of :func:`with_resamples` as one array: position b - 1 is resample b's."""
-    u = F.transform(F.sequence(F.lit(1), F.lit(resamples)), lambda b: uniform(salt, *key, b))
-    return F.transform(u, poisson_one)
+    texts = F.transform(F.sequence(F.lit(1), F.lit(resamples)), lambda b: digest(salt, *key, b))
+    return F.transform(texts, poisson_one_below)
 
 
 def sum_each(values: Column, size: int, factor: Column | None = None) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.functions.uniform import uniform
 from tallyfield.operators import media as X
+from tallyfield.operators.resample import in_all_tasks
 from tallyfield.plans import roles as R
 from tallyfield.plans.draws import hdi_sql, mean_hdi_sql
 from tallyfield.plans.registry import query
@@ -97,7 +98,10 @@ def _(spark, sf):
 
 def contrib(spark, sf):
     """Contribution draws (draw, channel, week): saturated spend times the draw's beta."""
-    rows = params(spark, sf).join(R.media_weekly(spark, sf), "channel")
+    # a written copy is known to be small, so that draws need not be dealt by channel, of which there are few
+    weekly = cut_lineage(R.media_weekly(spark, sf))
+    # a small file has few splits: draws go to all tasks before they are multiplied by the weeks
+    rows = in_all_tasks(params(spark, sf), "draw", "channel").join(weekly, "channel")
     value = X.response_curve(F.col("spend"), F.col("beta"), F.col("lam"), F.lit(3000.0))
     return rows.select("draw", "channel", "week", value.alias("contribution"))
 

@@ -247,6 +247,19 @@ def test_window_roas_and_scorecard(spark):
     assert MM.window_roas(c, s, {"w": (2, 4)}).first()["value"] == pytest.approx(2 / 3)
 
 
+def test_contributions_are_not_multiplied_by_windows_and_fill_all_tasks(spark):
+    c = spark.createDataFrame([("a", d, w, float(d * w)) for d in (1, 2) for w in range(6)],
+                              "channel string, draw int, week int, contribution double")
+    s = spark.createDataFrame([("a", w, 1.0) for w in range(6)], "channel string, week int, spend double")
+    got = MM.window_roas(c, s, {"all": (0, 9), "late": (4, 5), "never": (50, 60)})
+    assert {(r["window"], r["draw"]): r["value"] for r in got.collect()} == {
+        ("all", 1): 2.5, ("all", 2): 5.0, ("late", 1): 4.5, ("late", 2): 9.0}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode(") == 1  # of the spend
+    from tallyfield.plans.media import contrib
+    assert contrib(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_optimal_allocation_meets_its_conditions(spark):
     rows = [("s", c, b, lam, 100.0, 0.0, 300.0, 0.0) for c, b, lam in
             (("a", 50.0, 2.0), ("b", 80.0, 1.0), ("c", 10.0, 3.0))]
