@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.functions.special import erfc
 from tallyfield.operators.ordering import cumulate, exact_quantiles, with_range_bucket
-from tallyfield.operators.resample import by_resample, resample_weights, sum_each
+from tallyfield.operators.resample import by_resample, in_all_tasks, resample_weights, sum_each
 from tallyfield.session import cut_lineage
 
 DAYS_PER_MONTH = 30.4375
@@ -200,8 +200,9 @@ def resampled_rmst(df: DataFrame, horizon: float, key: str, resamples: int, salt
     """
     by = list(by)
     gone = F.when(F.col(event) == 1, 1).otherwise(0)
-    rows = df.select(*by, F.col(duration).cast("double").alias("t"), gone.alias("_e"),
-                     resample_weights([key], resamples, salt).alias("_w"))
+    # subscribers are few bytes but many digests each: dealt to all tasks, which Spark would not do by their size
+    rows = in_all_tasks(df.select(*by, key, F.col(duration).cast("double").alias("t"), gone.alias("_e")), F.xxhash64(key)).select(
+        *by, "t", "_e", resample_weights([key], resamples, salt).alias("_w"))
     times = rows.groupBy(*by, "t").agg(sum_each(F.col("_w"), resamples).alias("leaving"),
                                        sum_each(F.col("_w"), resamples, F.col("_e")).alias("d"))
     dealt = with_range_bucket(times, [*by, "t"])
@@ -420,6 +421,7 @@ def nudge_value(gains: DataFrame, q_grid: Sequence[float], margin: float, cost:
     """Per success probability q: value of a call with its interval, share of resamples that pay,
     and the break-even q with its interval."""
     lo, hi = (1 - prob) / 2, (1 + prob) / 2
+    gains = cut_lineage(gains)  # read three times
     # a resample without any gain pays at no success probability
     draws = gains.withColumn("_need", F.when(F.col(value) == 0, F.lit(float("inf"))).otherwise(
         F.lit(cost) / F.nullif(F.col(value) * margin, F.lit(0.0))))

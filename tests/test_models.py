@@ -12,7 +12,7 @@ from tallyfield.operators import draws as I
 from tallyfield.operators import survival as V
 from tallyfield.operators.fitting import FitError
 from tallyfield.operators.linear import ols
-from tallyfield.operators.resample import with_resamples
+from tallyfield.operators.resample import resample_weights, with_resamples
 
 
 def test_sbg_fit_reproduces_published_estimates(spark):
@@ -297,6 +297,31 @@ def test_a_resample_hashes_a_row_once_for_the_filter(spark):
     assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
+def test_weights_of_arrays_stop_at_their_cut_and_equal_those_of_rows(spark):
+    df = spark.range(40)
+    one = df.select("id", F.posexplode(resample_weights(["id"], 30))).select("id", (F.col("pos") + 1).alias("b"), F.col("col").alias("weight"))
+    assert {tuple(r) for r in one.where("weight > 0").collect()} == {
+        (r["id"], r["b"], r["weight"]) for r in with_resamples(df, ["id"], 30).collect()}
+    plan = df.select(resample_weights(["id"], 30))._jdf.queryExecution().optimizedPlan().toString()
+    assert "conv(" not in plan
+
+
+def test_gains_are_computed_once_for_their_value(spark):
+    gains = spark.range(1, 5).select(F.col("id").cast("int").alias("b"), F.col("id").cast("double").alias("gain"))
+    got = V.nudge_value(gains, (0.5,), 2.0, 1.0)
+    assert "Range" not in got._jdf.queryExecution().optimizedPlan().toString()
+    row = got.first()
+    assert (row["value"], row["p_pays"]) == (2.5, 0.75)
+
+
+def test_few_subscribers_are_hashed_in_all_tasks(spark, monkeypatch):
+    seen, real = [], V.with_range_bucket
+    monkeypatch.setattr(V, "with_range_bucket", lambda df, keys: seen.append(df) or real(df, keys))
+    df = spark.range(40).groupBy("id").agg(F.lit(1.0).alias("tenure_months"), F.lit(1).alias("churned"), F.lit("x").alias("plan"))
+    V.resampled_rmst(df, 2.0, "id", 3, "s", ["plan"])
+    assert "REPARTITION_BY_NUM" in seen[0]._jdf.queryExecution().executedPlan().toString()
+
+
 def test_stratified_bootstrap_keeps_sizes_and_the_stratum_without_a_name(spark):
     df = spark.range(60).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("s"))
     for r in I.stratified_bootstrap(df, lambda w: F.sum(w), ["id"], ["s"], 5).collect():
