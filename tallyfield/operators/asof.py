@@ -20,12 +20,13 @@ def asof_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_
     key and bucket) is carried forward.
     """
     keys, carry = list(keys), list(carry)
+    # keys and the id are dealt once, not again inside the structs
     payload = F.struct(F.col(right_time).cast("timestamp").alias("_t"),
-                       F.col(right_id).alias("_id"), *[F.col(c) for c in carry])
+                       F.col(right_id).alias("_id"), *[F.col(c) for c in carry if c != right_id])
     left_cols = left.columns
     lefts = left.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
                         F.col(left_time).cast("timestamp").alias("_at"), F.lit(1).alias("_side"),
-                        F.struct(*left_cols).alias("_left"))
+                        F.struct(*([c for c in left_cols if c not in keys] or [F.lit(1)])).alias("_left"))
     rights = (right.dropna(subset=keys + [right_time])
               .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
                       F.col(right_time).cast("timestamp").alias("_at"), F.lit(0).alias("_side"),
@@ -42,4 +43,5 @@ def asof_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_
                .filter("_before is not null").select(*ks, "_b", "_before"))
     joined = seen.join(carried, [*ks, "_b"], "left")
     hit = F.coalesce("_here", "_before")
-    return joined.select("_left.*", *[hit[c].alias(c) for c in carry])
+    own = [F.col(f"_k{keys.index(c)}").alias(c) if c in keys else F.col("_left")[c].alias(c) for c in left_cols]
+    return joined.select(*own, *[hit["_id" if c == right_id else c].alias(c) for c in carry])

@@ -62,16 +62,19 @@ def kept_lines(lines: DataFrame, flags: DataFrame | None = None) -> DataFrame:
 
 
 def match_cancellations(kept: DataFrame,
-                        keys: Sequence[str] = ("customer_id", "stock_code", "price", "quantity")
-                        ) -> DataFrame:
+                        keys: Sequence[str] = ("customer_id", "stock_code", "price", "quantity"),
+                        written: bool = False) -> DataFrame:
     """Each cancellation line with the latest purchase line at or before it.
 
     The pair shares the ``keys``; a ``quantity`` key means the opposite quantity. Unmatched
     cancellations keep a NULL ``original_id``; one purchase may match twice. The few columns needed
-    are written out once, as both sides and both passes of the match read them.
+    are written out once, as both sides and both passes of the match read them, unless ``kept`` says it is ``written``: a
+    filter of a written copy.
     """
     needed = dict.fromkeys([*keys, "quantity", "invoice_date", "invoice", "line_id"])
-    kept = cut_lineage(kept.select(*needed))
+    kept = kept.select(*needed)
+    if not written:
+        kept = cut_lineage(kept)
     cancel = kept.filter(is_cancellation()).withColumn("quantity", -F.col("quantity")).select(
         *keys, "invoice_date", F.col("line_id").alias("cancel_id"))
     bought = kept.filter(~is_cancellation()).select(

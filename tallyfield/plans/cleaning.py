@@ -14,9 +14,11 @@ MATCH_KEYS = ("customer_id", "stock_code")
 
 
 def _parts(spark, sf):
-    """Lines that carry their flags, and matches. The lines are written out once, as several steps read them."""
-    lines = cut_lineage(M.flagged_lines(R.invoice_lines(spark, sf, "order_id"), dealt_by="order_id"))
-    return lines, None, M.match_cancellations(M.kept_lines(lines), MATCH_KEYS)
+    """Lines that carry their flags, and matches. The lines are written out once, as several steps read them, without the columns
+    that only tell copies apart."""
+    flagged = M.flagged_lines(R.invoice_lines(spark, sf, "order_id"), dealt_by="order_id")
+    lines = cut_lineage(flagged.drop("description", "country", "order_id"))
+    return lines, None, M.match_cancellations(M.kept_lines(lines), MATCH_KEYS, written=True)
 
 
 @query("M1", "flag_lines", "line_id:i no_customer:b non_product:b duplicate:b", "flags",

@@ -263,3 +263,19 @@ def test_equal_spend_ties_whatever_the_order_of_the_lines(spark, monkeypatch):
     monkeypatch.setattr(plan, "_parts", lambda *_: (df, None, none))
     scores = plan.variant_scores(spark, "").where("variant = 'reference'").collect()
     assert [r["score"] for r in scores] == [0.6, 0.6]
+
+
+def test_the_cleaning_step_writes_and_deals_each_column_once(spark, monkeypatch):
+    from tallyfield.operators import cleaning
+    from tallyfield.plans import cleaning as plans
+
+    again = []
+    monkeypatch.setattr(cleaning, "cut_lineage", lambda df: again.append(df) or df)
+    lines, _, matches = plans._parts(spark, "/root/testdata/sf0.001")
+    assert not again  # the match reads the lines that were written
+    assert not {"description", "country", "order_id"} & set(lines.columns)
+    deals = [line for line in matches._jdf.queryExecution().optimizedPlan().toString().splitlines() if "AS _left" in line or "AS _right" in line]
+    assert deals
+    for line in deals:  # keys and ids stand beside the structs, not in them
+        assert not any(f"{name}, {c}" in line for name in ("named_struct(customer_id", "stock_code") for c in ("customer_id", "stock_code"))
+        assert ", original_id, original_id" not in line
