@@ -69,7 +69,7 @@ def match_cancellations(kept: DataFrame,
     The pair shares the ``keys``; a ``quantity`` key means the opposite quantity. Unmatched
     cancellations keep a NULL ``original_id``; one purchase may match twice. The few columns needed
     are written out once, as both sides and both passes of the match read them, unless ``kept`` says it is ``written``: a
-    filter of a written copy.
+    filter of a written copy. Only purchases whose keys some cancellation has take part in the ordered passes.
     """
     needed = dict.fromkeys([*keys, "quantity", "invoice_date", "invoice", "line_id"])
     kept = kept.select(*needed)
@@ -78,7 +78,8 @@ def match_cancellations(kept: DataFrame,
     cancel = kept.filter(is_cancellation()).withColumn("quantity", -F.col("quantity")).select(
         *keys, "invoice_date", F.col("line_id").alias("cancel_id"))
     bought = kept.filter(~is_cancellation()).select(
-        *keys, "invoice_date", F.col("line_id").alias("original_id"))
+        *keys, "invoice_date", F.col("line_id").alias("original_id")).join(
+        cancel.select(*keys).distinct(), list(keys), "left_semi")
     return asof_left_join(cancel, bought, keys, "invoice_date", "invoice_date", "original_id",
                           ["original_id"]).select("cancel_id", "original_id")
 

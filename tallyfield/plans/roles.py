@@ -144,6 +144,7 @@ role_sql("drfm", "dropout_days", ROLE_SQL["rfm"][1].replace("FROM days", "FROM d
 # number 7 is a fee. The second extract repeats the lines shipped on or after its start.
 SECOND_START = "2000-01-01"
 FIRST_END = "2000-12-31"
+TASK_LINES = 500_000
 
 
 def invoice_lines(spark, sf, order: str | None = None) -> DataFrame:
@@ -165,7 +166,11 @@ def extracts(spark, sf) -> tuple[DataFrame, DataFrame]:
 def _lines(spark, sf, order: str | None = None) -> DataFrame:
     items = table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
-        "l_returnflag", "l_linestatus", "l_shipdate").repartition("l_orderkey")  # once for the join, whatever its kind, and the windows
+        "l_returnflag", "l_linestatus", "l_shipdate")
+    # dealt once for the join, whatever its kind, and the windows; in a larger log by more tasks, which sort in memory
+    tasks = -(-items.count() // TASK_LINES)
+    more = tasks > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    items = items.repartition(tasks, "l_orderkey") if more else items.repartition("l_orderkey")
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     back = F.col("l_returnflag") == "R"
     fee = F.col("l_linenumber") == 7

@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -279,3 +280,24 @@ def test_the_cleaning_step_writes_and_deals_each_column_once(spark, monkeypatch)
     for line in deals:  # keys and ids stand beside the structs, not in them
         assert not any(f"{name}, {c}" in line for name in ("named_struct(customer_id", "stock_code") for c in ("customer_id", "stock_code"))
         assert ", original_id, original_id" not in line
+
+
+def test_a_larger_log_is_dealt_to_more_tasks(spark, monkeypatch):
+    from tallyfield.plans import roles
+
+    sf = "/root/testdata/sf0.001"
+    few = roles.invoice_lines(spark, sf, "order_id")
+    monkeypatch.setattr(roles, "TASK_LINES", 100)
+    many = roles.invoice_lines(spark, sf, "order_id")
+    tasks = -(-roles.table(spark, sf, "lineitem").count() // 100)
+    assert re.search(rf"hashpartitioning\(l_orderkey#\d+L?, {tasks}\)", many._jdf.queryExecution().executedPlan().toString())
+    assert sorted(few.collect(), key=str) == sorted(many.collect(), key=str)
+
+
+def test_purchases_without_a_cancellation_of_their_keys_are_not_ordered(spark):
+    d = "2024-01-05 10:00:00"
+    rows = [(0, "1", "85123", "a", 2, d, 2.0, 7, "UK"), (1, "C2", "85123", "a", -2, d, 2.0, 7, "UK"), (2, "3", "85124", "a", 1, d, 2.0, 7, "UK"),
+            (3, "C4", "85125", "a", -1, d, 2.0, None, "UK"), (4, "5", "85125", "a", 1, d, 2.0, None, "UK")]
+    matches = M.match_cancellations(lines(spark, rows))
+    assert sorted(matches.collect()) == [(1, 0), (3, None)]
+    assert "LeftSemi" in matches._jdf.queryExecution().optimizedPlan().toString()
