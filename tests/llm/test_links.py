@@ -255,3 +255,62 @@ def test_lines_of_90_percent_are_found_without_a_block_condition(spark):
     found = sum(got[i] == got[j] for i, j in linked)
     assert len(linked) > 60 and found >= 0.95 * len(linked)
     assert all(want[got[i]] == want[i] for i in got)
+
+
+def scattered(rng, line, edits):
+    out = bytearray(line)
+    for at in sorted(rng.sample(range(len(line)), edits), reverse=True):
+        kind = rng.randrange(3)
+        out[at:at + 1] = [b"", bytes([out[at], 113]), b"q"][kind]
+    return bytes(out)
+
+
+def test_lines_with_ten_percent_scattered_edits_are_linked(spark):
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abcdefghij") for _ in range(n)) for n in (20, 45, 90, 250, 700) for _ in range(6)]
+    copies = []
+    for x in base:
+        edits = len(x) // 10
+        copy = scattered(rng, x.encode(), edits).decode()
+        while not fuzzy_lines.alike(x.encode(), copy.encode(), 90):
+            edits -= 1
+            copy = scattered(rng, x.encode(), edits).decode()
+        copies.append(copy)
+    docs = spark.createDataFrame([(i, x, "x", 1, 0.5) for i, x in enumerate(base + copies)], SCHEMA)
+    got = {r.doc_id: r.first_doc_id for r in fuzzy_lines.line_groups(docs).collect()}
+    assert got == {i: i % len(base) for i in range(2 * len(base))}
+
+
+@pytest.mark.parametrize("probe,matches,percent", [(1 << 18, 1 << 20, 90), (64, 50, 90), (64, 50, 75)])
+def test_edit_links_equal_brute_force(monkeypatch, probe, matches, percent):
+    from tallyfield.llm import edit_links
+
+    monkeypatch.setattr(edit_links, "PROBE", probe)
+    monkeypatch.setattr(edit_links, "MATCHES", matches)
+    rng = random.Random(percent)
+    lines = {b"x" * 400, b"x" * 380 + b"yyy"}
+    for _ in range(25):
+        base = bytes(rng.choice(b"abcde ") for _ in range(rng.choice([3, 9, 10, 12, 19, 20, 30, 50, 100, 250])))
+        lines |= {base} | {scattered(rng, base, rng.randrange(len(base) * (100 - percent) // 100 + 2)) for _ in range(4)}
+    lines = sorted(lines - {b""})
+    rng.shuffle(lines)
+    n = range(len(lines))
+    want = components(n, [(i, j) for i in n for j in range(i) if fuzzy_lines.alike(lines[i], lines[j], percent)])
+    got = edit_links.links_of(lines, np.full(len(lines), 3), percent, lambda i, j: fuzzy_lines.alike(lines[i], lines[j], percent))
+    assert components(n, got) == want and len(set(want.values())) < len(lines)
+
+
+def test_blocks_of_a_class_meet_each_other(spark, monkeypatch):
+    from tallyfield.llm import edit_links
+
+    monkeypatch.setattr(edit_links, "BLOCK", 300)
+    rng = random.Random(2)
+    base = [bytes(rng.choice(b"abcdefgh") for _ in range(n)) for n in range(9, 130, 2)]
+    lines = sorted({y for x in base for y in (x, scattered(rng, x, max(1, len(x) // 12)), scattered(rng, x, 1))})
+    n = range(len(lines))
+    want = components(n, [(i, j) for i in n for j in range(i) if fuzzy_lines.alike(lines[i], lines[j], 90)])
+    nodes = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(lines)], "node long, normal binary")
+    sizes = spark.createDataFrame([(len(x),) for x in lines], "size int")
+    got = {r.node: r.root for r in edit_links.linked_lines(nodes, sizes, 90, fuzzy_lines.alike).collect()}
+    assert {i: got.get(i, i) for i in n} == want
+    assert edit_links.linked_lines(nodes.where("node < 0"), sizes.where("size < 0"), 90, fuzzy_lines.alike).count() == 0
