@@ -286,6 +286,7 @@ def test_edit_links_equal_brute_force(monkeypatch, probe, matches, percent):
     from tallyfield.llm import edit_links
 
     monkeypatch.setattr(edit_links, "PROBE", probe)
+    monkeypatch.setattr(edit_links, "INDEX", probe)
     monkeypatch.setattr(edit_links, "MATCHES", matches)
     rng = random.Random(percent)
     lines = {b"x" * 400, b"x" * 380 + b"yyy"}
