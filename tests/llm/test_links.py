@@ -315,3 +315,28 @@ def test_blocks_of_a_class_meet_each_other(spark, monkeypatch):
     got = {r.node: r.root for r in edit_links.linked_lines(nodes, sizes, 90, fuzzy_lines.alike).collect()}
     assert {i: got.get(i, i) for i in n} == want
     assert edit_links.linked_lines(nodes.where("node < 0"), sizes.where("size < 0"), 90, fuzzy_lines.alike).count() == 0
+
+
+def test_lines_are_dealt_as_compressed_packs(spark, monkeypatch):
+    """Each line once a pack, in less than its bytes; repeats in other packs change nothing."""
+    import pyarrow as pa
+
+    from tallyfield.llm import edit_links
+
+    rng = random.Random(4)
+    base = [" ".join(rng.choice(["apple", "brick", "cloud", "drift", "ember", "frost"]) for _ in range(40)).encode() for _ in range(30)]
+    lines = sorted({y for x in base for y in (x, scattered(rng, x, 4))})
+    size = sum(len(x) for x in lines)
+    made = pa.RecordBatch.from_pydict({"node": list(range(len(lines))) * 3, "normal": pa.array(lines * 3, pa.binary())})
+    blocks = {int(c): 1 for c in edit_links._classes(np.array([len(x) for x in lines]), 90)}
+    packs = pa.Table.from_batches(list(edit_links._packs(iter([made, made.slice(0, 0)]), 90, blocks))).to_pylist()
+    assert sum(p["n"] for p in packs if not p["up"]) == len(lines)
+    assert sum(len(p["lines"]) for p in packs if not p["up"]) < 0.7 * size
+    monkeypatch.setattr(edit_links, "PACK", 2000)
+    monkeypatch.setattr(edit_links, "BLOCK", size // 5)
+    n = range(len(lines))
+    want = components(n, [(i, j) for i in n for j in range(i) if fuzzy_lines.alike(lines[i], lines[j], 90)])
+    nodes = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(lines)] * 3, "node long, normal binary").repartition(5)
+    sizes = spark.createDataFrame([(len(x),) for x in lines], "size int")
+    got = {r.node: r.root for r in edit_links.linked_lines(nodes, sizes, 90, fuzzy_lines.alike).collect()}
+    assert {i: got.get(i, i) for i in n} == want
