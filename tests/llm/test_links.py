@@ -340,3 +340,60 @@ def test_lines_are_dealt_as_compressed_packs(spark, monkeypatch):
     sizes = spark.createDataFrame([(len(x),) for x in lines], "size int")
     got = {r.node: r.root for r in edit_links.linked_lines(nodes, sizes, 90, fuzzy_lines.alike).collect()}
     assert {i: got.get(i, i) for i in n} == want
+
+
+def test_few_lines_are_compared_letter_by_letter():
+    """Lines of a few syllables share many segments, but no block of two parts."""
+    from tallyfield.llm import edit_links
+
+    rng = random.Random(6)
+    parts = [b"the ", b"er", b"tion ", b"an", b"and ", b"of ", b"in", b"ing ", b"ed ", b"re", b"on", b"es "]
+    base = [b"".join(rng.choice(parts) for _ in range(45))[:120] for _ in range(1500)]
+    lines = base + [scattered(rng, x, 8) for x in base[:50]]
+    asked = []
+
+    def decide(i, j):
+        asked.append((i, j))
+        return fuzzy_lines.alike(lines[i], lines[j], 90)
+
+    got = components(range(len(lines)), edit_links.links_of(lines, np.full(len(lines), 3), 90, decide))
+    assert all(got[i] == got[1500 + i] for i in range(50) if fuzzy_lines.alike(lines[i], lines[1500 + i], 90))
+    assert len(asked) < 200
+
+
+@pytest.mark.parametrize("few,matches", [(64, 1 << 19), (1, 30)])
+def test_lines_that_repeat_themselves_and_hot_pieces_equal_brute_force(monkeypatch, few, matches):
+    from tallyfield.llm import edit_links
+
+    monkeypatch.setattr(edit_links, "FEW", few)
+    monkeypatch.setattr(edit_links, "MATCHES", matches)
+    rng = random.Random(7)
+    words = b"one common passage of words that all of these lines hold in their midst "
+    lines = set()
+    for n in (20, 60, 140):
+        base = bytes(rng.choice(b"abcdef ") for _ in range(n))
+        for again in (b"is one ", b"xy", words):
+            lines |= {scattered(rng, base + again * k, rng.randrange(1, 20)) for k in (1, 2, 20, 21, 22) for _ in range(4)}
+            lines |= {base + again * 5 + scattered(rng, base, 2) for _ in range(6)}
+    lines = sorted(lines)
+    rng.shuffle(lines)
+    n = range(len(lines))
+    want = components(n, [(i, j) for i in n for j in range(i) if fuzzy_lines.alike(lines[i], lines[j], 90)])
+    got = edit_links.links_of(lines, np.full(len(lines), 3), 90, lambda i, j: fuzzy_lines.alike(lines[i], lines[j], 90))
+    assert components(n, got) == want and len(set(want.values())) < len(lines)
+
+
+def test_distances_of_many_pairs():
+    from tallyfield.llm import edit_links
+
+    rng = random.Random(1)
+    for low, high in ((1, 64), (60, 70), (65, 128), (129, 192)):
+        lines = [bytes(rng.choice(b"abc ") for _ in range(rng.randrange(low, high))) for _ in range(40)]
+        lines += [scattered(rng, x, min(len(x), 4)) or b"a" for x in lines]
+        size = np.array([len(x) for x in lines])
+        held = np.frombuffer(b"".join(lines) + bytes(edit_links.PAD), np.uint8), np.cumsum(size) - size, size
+        a, b = np.arange(80), np.append(np.arange(40, 80), np.arange(40))
+        words = -(-size[b] // 64)
+        for w in np.unique(words).tolist():
+            got = edit_links._distances(held, a[words == w], b[words == w], w)
+            assert got.tolist() == [levenshtein(lines[i], lines[j]) for i, j in zip(a[words == w], b[words == w], strict=True)]
