@@ -8,8 +8,9 @@ vector below from both sides.
 All rows are indexed. The top of the tree is a net of at most CELLS centres, spread by farthest-first steps over a sample of SAMPLE rows by
 hash; each row goes to its nearest centre's cell, and a cell is cut by hash into bins of about ``bin_rows`` rows, so that a
 crowded cell (or a vector that a third of all rows share) is many bins. Each bin has its own tree below the centre. Anchors are searched
-in blocks: a block meets the bins of those cells that its bounds can't exclude, several bins in a task, the most promising
-first. Inside a tree nodes are taken best first; a node whose bounds lie outside an anchor's windows, or below what the anchor
+in blocks: a block meets the bins of those cells that its bounds can't exclude, a share of them in a task, the most promising
+first. Shares grow with the rows, so that the number of tasks and of their results does not; a task reads its block once and then its trees, one
+after the other. Inside a tree nodes are taken best first; a node whose bounds lie outside an anchor's windows, or below what the anchor
 already holds, is skipped for it, and leaves are verified by exact integer products.
 """
 
@@ -25,11 +26,13 @@ from pyspark.sql import functions as F
 
 from tallyfield.llm.common import batch, rewritten, small_batches
 
-#: Centres of the top net and rows that choose them; children of a node, vectors of a leaf, bins that one task searches.
+#: Centres of the top net and rows that choose them; children of a node, vectors of a leaf, bins that one task searches at least.
 CELLS, SAMPLE = 64, 2048
 FANOUT, LEAF, SHARE = 32, 64, 4
 #: Numbers that a bin's vectors and a block's anchors hold, about.
-BIN_NUMBERS, BLOCK_NUMBERS = 1 << 17, 1 << 18
+BIN_NUMBERS, BLOCK_NUMBERS = 1 << 17, 1 << 21
+#: Tasks of a search for each of Spark's shuffle partitions, at most; found rows between two looks at which of them still count.
+TASKS, FOUND = 2, 1 << 20
 
 
 def matrix(lists: pa.Array, width: int) -> np.ndarray:
@@ -144,6 +147,7 @@ class Search:
         self.q2, self.space, self.same, self.k = (self.q ** 2).sum(1), space, same, k
         self.best = np.full((*self.lo.shape, k), -np.inf)  # ascending; the first is what a row must reach
         self.found: list[tuple] = []
+        self.held, self.room = 0, FOUND
 
     def open(self, who: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Anchors ``who`` for which something between ``low`` and ``high`` (both per anchor) may still count."""
@@ -196,7 +200,12 @@ class Search:
             self.best[mine, w] = np.partition(held, held.shape[1] - self.k, axis=1)[:, -self.k:].copy()
             self.best[mine, w] = np.sort(self.best[mine, w], 1)
             r, c = np.nonzero(fits & (score >= self.best[who, w, :1]))
-            self.found.append((who[r], np.full(len(r), w), score[r, c], ids[c]))
+            self.found.append((who[r].astype(np.int32), np.full(len(r), w, np.int32), score[r, c], ids[c]))
+            self.held += len(r)
+        if self.held > self.room:
+            self.found = [self.results()]
+            self.held = len(self.found[0][0])
+            self.room = FOUND + 2 * self.held
 
     def results(self) -> tuple[np.ndarray, ...]:
         """Anchor, window, score and id: the best k of every window and what ties with the last of them."""
@@ -207,15 +216,22 @@ class Search:
         return who[good], w[good], score[good], ids[good]
 
 
+def _smallest(a: np.ndarray) -> np.ndarray:
+    """``a`` as whole numbers of fewer bytes where it holds no others."""
+    if a.size and a.dtype.kind in "if" and (np.abs(a) < 1 << 31).all() and (a == np.floor(a)).all():
+        return a.astype(np.promote_types(np.min_scalar_type(int(a.min())), np.min_scalar_type(int(a.max()))))
+    return a
+
+
 def _packed(**arrays: np.ndarray) -> bytes:
     out = io.BytesIO()
-    np.savez(out, **arrays)
+    np.savez(out, **{f"{n}:{a.dtype.str}": _smallest(a) for n, a in arrays.items()})
     return out.getvalue()
 
 
 def _unpacked(data: bytes) -> dict[str, np.ndarray]:
     with np.load(io.BytesIO(data)) as held:
-        return dict(held)
+        return {n.partition(":")[0]: held[n].astype(n.partition(":")[2]) for n in held.files}
 
 
 class Index:
@@ -266,7 +282,8 @@ class Index:
         width, space = self.width, self.space
         centers, radius, cells = self.centers, self.radius, self.cells
         blocks = max(1, -(-count * width // BLOCK_NUMBERS))
-        shares = max(1, self.bins // SHARE)
+        tasks = TASKS * int(anchors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        shares = max(1, min(self.bins // SHARE, tasks // blocks))
 
         def pack(table: pa.Table) -> pa.Table:
             side = lambda name: matrix(table[name], windows)
@@ -296,12 +313,16 @@ class Index:
 
         units = (packed.mapInArrow(visits, "block int, cell int, hope double").join(self.trees.select("cell", "bin"), "cell")
                  .withColumn("share", F.pmod(F.xxhash64("cell", "bin"), F.lit(shares)).cast("int")))
-        copies = packed.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-        work = (units.join(self.trees, ["cell", "bin"]).join(copies, ["block", "share"])
-                .repartition(2 * blocks * shares, "block", "share").sortWithinPartitions("block", "share", F.desc("hope"), "cell", "bin"))
+        # a block goes before its trees as a row of its own: not beside each of them, nor into a join, whose side Spark might take for small
+        copies = packed.select("block", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), F.lit(float("inf")).alias("hope"),
+                               F.lit(-1).alias("cell"), F.lit(-1).alias("bin"), F.col("anchors").alias("data"))
+        work = (copies.unionByName(units.join(self.trees, ["cell", "bin"])
+                                   .select("block", "share", "hope", "cell", "bin", F.col("tree").alias("data")))
+                .repartition(min(2 * blocks * shares, tasks), "block", "share")
+                .sortWithinPartitions("block", "share", F.desc(F.col("cell") < 0), F.desc("hope"), "cell", "bin"))
 
         def run(batches):
-            look, at, keys = None, None, None
+            look, keys = None, None
 
             def rows():
                 who, w, score, ids = look.results()
@@ -309,19 +330,19 @@ class Index:
                              [pa.int64(), pa.int32(), pa.int64(), pa.int64()])
 
             for rb in batches:
-                cols = [rb.column(c) for c in ("block", "share", "anchors", "tree")]
+                cell, data = rb.column("cell"), rb.column("data")
                 for i in range(rb.num_rows):
-                    here = (cols[0][i].as_py(), cols[1][i].as_py())
-                    if here != at:
-                        if look is not None:
-                            yield rows()
-                        block = _unpacked(cols[2][i].as_py())
-                        look, at, keys = Search(block, space, same, k), here, block["key"]
-                    look.visit(_unpacked(cols[3][i].as_py()))
+                    held = _unpacked(data[i].as_py())
+                    if cell[i].as_py() >= 0:
+                        look.visit(held)
+                        continue
+                    if look is not None:
+                        yield rows()
+                    look, keys = Search(held, space, same, k), held["key"]
             if look is not None:
                 yield rows()
 
-        return work.select("block", "share", "anchors", "tree").mapInArrow(run, "key long, w int, score long, vec_id long")
+        return work.select("cell", "data").mapInArrow(run, "key long, w int, score long, vec_id long")
 
 
 def hard_negatives(rows: DataFrame, anchors: Column, id_col: str = "vec_id", label_col: str | Column = "label",

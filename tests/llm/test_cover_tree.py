@@ -83,3 +83,48 @@ def test_nodes_cover_and_bound_what_is_below(spark):
         assert away.max() <= tree["radius"][node] + 1e-3
         skipped += (high[:, node] < 0.5 * (q @ x.T).max(1)).sum()
     assert skipped > 0 and sorted(tree["id"]) == list(range(500))
+
+
+def test_anchors_are_not_broadcast_and_tasks_do_not_grow_with_the_bins(spark, monkeypatch):
+    import re
+
+    monkeypatch.setattr(cover_tree, "BIN_NUMBERS", 8)
+    monkeypatch.setattr(cover_tree, "CELLS", 1)
+    rows = spark.createDataFrame([(i, i % 2, [float(i), 1.0] + [0.0] * 6, float(i * i + 1)) for i in range(150)],
+                                 "vec_id long, label long, v array<double>, norm2 double")
+    index = cover_tree.Index(rows, 3)
+    anchors = rows.where("vec_id in (1, 2, 3)").selectExpr("vec_id as key", "vec_id", "label", "v", "array(-1e9D) as lo", "array(1e9D) as hi")
+    found = index.search(anchors, 3, True, 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    dealt = [int(n) for n in re.findall(r"hashpartitioning\(block#\d+, share#\d+, (\d+)\), REPARTITION", plan)]
+    assert index.bins == 150 and len(dealt) == 1
+    assert dealt[0] <= cover_tree.TASKS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines = plan.splitlines()
+    exploded = next(i for i, x in enumerate(lines) if "Generate explode(" in x)
+    above = [x for x in lines[:exploded] if "Union" in x or "BroadcastExchange" in x]
+    assert above and "Union" in above[-1]
+    best = {}
+    for r in sorted(found.collect(), key=lambda r: -r.score):
+        best.setdefault(r.key, []).append(r.vec_id)
+    assert {k: v[:2] for k, v in best.items()} == {1: [149, 147], 2: [148, 146], 3: [149, 147]}
+
+
+def test_found_rows_that_no_longer_count_are_let_go(monkeypatch):
+    monkeypatch.setattr(cover_tree, "FOUND", 20)
+    space = cover_tree.Space(1e6)
+    block = {"v": np.array([[1.0]]), "label": np.array([0]), "id": np.array([-1]), "lo": np.array([[-np.inf]]), "hi": np.array([[np.inf]])}
+    look = cover_tree.Search(block, space, True, 3)
+    for k in range(200):  # ever better rows
+        look.visit(cover_tree.grow(np.array([[float(k)]]), np.array([0]), np.array([k]), space, 3))
+        assert sum(len(x[0]) for x in look.found) <= 27
+    assert sorted(look.results()[3].tolist())[-3:] == [197, 198, 199]
+
+
+def test_packed_arrays_come_back_as_they_were():
+    held = {"v": np.array([[1.0, -300.0]]), "lo": np.array([[-np.inf, 2.0]]), "radius": np.array([0.5]), "points": np.array([[1e12]]),
+            "id": np.array([1 << 40, -5]), "at": np.array([], np.int64), "some": np.array([3, 70_000])}
+    back = cover_tree._unpacked(cover_tree._packed(**held))
+    assert set(back) == set(held)
+    assert all(back[n].dtype == a.dtype and back[n].shape == a.shape and (back[n] == a).all() for n, a in held.items())
+    many = {"points": np.ones((2048, 64))}
+    assert len(cover_tree._packed(**many)) < many["points"].nbytes // 4
